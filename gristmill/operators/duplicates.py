@@ -1,20 +1,80 @@
 """Near duplicates by exact Jaccard similarity of shingles, and the groups they make.
 
-The join is a prefix-filter set-similarity join (AllPairs, PPJoin): with shingles in order of how few documents have them, two sets of
-similarity t or more share one of their first n - ceil(t n) + 1 shingles. Only those rare prefixes are exploded and joined;
-shingles that every document has are never join keys, so no hot key arises from common text.
+Candidates come from banded MinHash, whose shuffle is a few hundred bytes a text whatever its length: enough bands that a pair at the
+threshold is missed with a chance below MISS, less than the reference's own eight bands allow. Every candidate is then verified on
+its shingles. ``prefix_pairs`` is the lossless way beside it (AllPairs, PPJoin): with shingles in order of how few documents have
+them, two sets of similarity t or more share one of their first n - ceil(t n) + 1; it shuffles every shingle once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as X
 from gristmill.operators.components import least_labels
 from gristmill.plans.shared import Scratch
+from gristmill.session import spread
+
+#: Chance to miss a pair whose similarity is just the threshold, and the most bands worth their shuffle.
+MISS, MOST_BANDS = 1e-7, 24
+
+
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, rows of a band): the most selective bands that keep to MISS."""
+    for rows in range(8, 0, -1):
+        hit = threshold**rows
+        bands = 1 if hit >= 1 else math.ceil(math.log(MISS) / math.log(1 - hit))
+        if bands <= MOST_BANDS or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def band_keys(text: str, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key a band: the minima of its hash functions over the shingles, mixed."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    width = min(X.SHINGLE, len(codes))
+    base = np.zeros(len(codes) - width + 1, dtype=np.uint64)
+    for i in range(width):
+        base = base * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - width + 1 + i]
+    base = np.unique(base ^ (base >> np.uint64(29)))
+    multipliers = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    minima = np.empty(bands * rows, dtype=np.uint64)
+    for k, m in enumerate(multipliers):
+        h = base * m
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        minima[k] = h.min()
+    keys = np.zeros(bands, dtype=np.uint64)
+    for r in range(rows):
+        keys = (keys ^ minima[r::rows]) * np.uint64(0x94D049BB133111EB)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b, jaccard), a < b, for the pairs of distinct texts (digest, key) of similarity ``threshold`` or more."""
+    bands, rows = banding(threshold)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"digest": batch["digest"].to_numpy(), "keys": [band_keys(k, bands, rows) for k in batch["key"]]})
+
+    signed = scratch.keep(spread(texts.where("key <> ''")).mapInPandas(keys, "digest string, keys array<bigint>"), "bands")
+    banded = signed.select("digest", F.posexplode("keys").alias("band", "k"))
+    left, right = banded.select(F.col("digest").alias("a"), "band", "k"), banded.select(F.col("digest").alias("b"), "band", "k")
+    pairs = left.join(right, ["band", "k"]).where("a < b").select("a", "b").distinct()
+    ka, kb = texts.select(F.col("digest").alias("a"), F.col("key").alias("ka")), texts.select(F.col("digest").alias("b"), F.col("key").alias("kb"))
+    sets = pairs.join(ka, "a").join(kb, "b").select("a", "b", X.shingles(F.col("ka")).alias("sa"), X.shingles(F.col("kb")).alias("sb"))
+    fits = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * threshold - 1e-9
+    common = F.size(F.array_intersect("sa", "sb"))
+    scored = sets.where(fits).select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold)
 
 
 def shingled(texts: DataFrame) -> DataFrame:
@@ -24,8 +84,8 @@ def shingled(texts: DataFrame) -> DataFrame:
     return texts.select("digest", hashes.alias("hashes")).withColumn("n", F.size("hashes"))
 
 
-def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b, jaccard), a < b, for every pair of distinct texts (digest, key) of similarity ``threshold`` or more."""
+def prefix_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """What ``near_pairs`` gives, without a chance to miss any, at a shuffle of all shingles."""
     sets = scratch.keep(shingled(texts), "shingles")
     postings = sets.select("digest", "n", F.explode("hashes").alias("h"))
     common = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")

@@ -74,16 +74,21 @@ def text_reason(text: Column, key: Column, settings: Settings) -> Column:
     )
 
 
-def tagged(records: DataFrame, settings: Settings) -> DataFrame:
+def tagged(records: DataFrame, settings: Settings, html_in_code: str = "error") -> DataFrame:
     """Records with cleaned ``text``, canonical ``key``, ``content_sha256`` and the ``reason`` against each, null for none.
 
     Texts are cleaned only where provenance stands, and only HTML passes the Python parser: a UDF inside ``when`` would run on
-    every row. A null text is an empty one. HTML in the code domain is an error.
+    every row. A null text is an empty one. HTML in the code domain is an error, or with ``html_in_code="text"`` taken as it stands,
+    since its angle brackets may be code.
     """
+    if html_in_code not in ("error", "text"):
+        raise ValueError(html_in_code)
     checked = records.withColumn("reason", provenance_reason(settings))
     rejected = checked.where("reason is not null").withColumns({"text": F.lit(None).cast("string"), "key": F.lit(None).cast("string")})
     passed = checked.where("reason is null").withColumn("text", F.coalesce("text", F.lit("")))
     html = F.coalesce(F.col("content_type") == "html", F.lit(False))
+    if html_in_code == "text":
+        html = html & (F.col("domain") != "code")
     pages = passed.where(html).withColumn("text", F.when(F.col("domain") == "code", F.raise_error(F.lit("code cannot be HTML"))).otherwise(F.col("text")))
     cleaned = passed.where(~html).unionByName(pages.withColumn("text", X.html_to_text("text")))
     cleaned = cleaned.withColumn("text", X.plain_newlines(F.col("text")))

@@ -33,10 +33,10 @@ class Prepared:
         return self.clean.groupBy(F.concat_ws(":", "source", "domain").alias("source_domain")).agg(F.count("*").alias("documents"))
 
 
-def prepare(records: DataFrame, settings: Settings) -> Prepared:
+def prepare(records: DataFrame, settings: Settings, html_in_code: str = "error") -> Prepared:
     """Tag, drop copies, group and split. The tagged table is written once; what follows reads it back, since it needs Python."""
     scratch = Scratch(records.sparkSession, "prepare")
-    tagged = scratch.keep(preparation.tagged(records, settings), "tagged")
+    tagged = scratch.keep(preparation.tagged(records, settings, html_in_code), "tagged")
     kept = tagged.where("reason is null")
     first = scratch.keep(preparation.first_arrivals(kept), "first")
     arrivals = kept.select("content_sha256", F.col("group_id").alias("external"))

@@ -13,7 +13,7 @@ from gristmill.operators.preparation import Settings
 from gristmill.plans import prepare as plan
 from gristmill.plans import stages
 from gristmill.plans.shared import Scratch
-from gristmill.session import table
+from gristmill.session import spread, table
 from gristmill.sources import records, wiki
 from gristmill.streaming import events as streams
 
@@ -59,7 +59,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return records.raw_records(table(spark, d, "documents"))
+    return records.raw_records(_spread(spark, d))
 
 
 def _settings(spark: SparkSession, d: str) -> Settings:
@@ -70,6 +70,11 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for work in Python, on all cores even if they come in one small file."""
+    return spread(_documents(spark, d))
+
+
 # ---- scans and sinks ----------------------------------------------------------------------------------------------------------
 
 
@@ -155,14 +160,14 @@ def x07_canonical_digest(spark, d):
 @query(f"WITH t AS (SELECT doc_id, {_CANONICAL % 'text'} AS k FROM documents WHERE text IS NOT NULL), x AS (SELECT * FROM t WHERE k <> '') SELECT doc_id, count(*) AS shingles FROM ({_grams('x', 'doc_id', 'k', 5, True)}) GROUP BY doc_id")
 def x16_shingles(spark, d):
     """Number of distinct shingles of each canonical text."""
-    keyed = _documents(spark, d).where("text is not null").select("doc_id", X.canonical(F.col("text")).alias("key")).where("key <> ''")
+    keyed = _spread(spark, d).where("text is not null").select("doc_id", X.canonical(F.col("text")).alias("key")).where("key <> ''")
     return keyed.select("doc_id", F.size(X.shingles(F.col("key"))).cast("bigint").alias("shingles"))
 
 
 @query()
 def x17_minhash(spark, d):
     """MinHash signatures."""
-    keyed = _documents(spark, d).where("text is not null").select("doc_id", X.canonical(F.col("text")).alias("key")).where("key <> ''")
+    keyed = _spread(spark, d).where("text is not null").select("doc_id", X.canonical(F.col("text")).alias("key")).where("key <> ''")
     return keyed.select("doc_id", X.minhash(X.shingles(F.col("key"))).alias("signature"))
 
 
@@ -192,7 +197,7 @@ def f06_reasons(spark, d):
 @query()
 def f00_tagged(spark, d):
     """The whole cleaning, HTML included: reason and digest of each record."""
-    return preparation.tagged(_records(spark, d), _settings(spark, d)).select(F.col("ordinal").alias("doc_id"), "reason", "content_sha256")
+    return preparation.tagged(_records(spark, d), _settings(spark, d), html_in_code="text").select(F.col("ordinal").alias("doc_id"), "reason", "content_sha256")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM sources s, preparation p WHERE s.license = d.license AND list_contains(p.allowed_licenses, s.license))")
@@ -206,7 +211,7 @@ def f02_unlicensed(spark, d):
 @query(f"SELECT digest, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, sha256({_CANONICAL % 'text'}) AS digest FROM documents WHERE text IS NOT NULL) GROUP BY digest")
 def d01_first_arrivals(spark, d):
     """The first record of each canonical text."""
-    keyed = _documents(spark, d).where("text is not null").select(F.col("doc_id").alias("ordinal"), X.digest(X.canonical(F.col("text"))).alias("content_sha256"))
+    keyed = _spread(spark, d).where("text is not null").select(F.col("doc_id").alias("ordinal"), X.digest(X.canonical(F.col("text"))).alias("content_sha256"))
     return preparation.first_arrivals(keyed).select(F.col("content_sha256").alias("digest"), F.col("ordinal").alias("doc_id"), "copies")
 
 
@@ -223,7 +228,7 @@ pairs AS (SELECT a, b, i / (na.n + nb.n - i) AS jaccard FROM common JOIN n na ON
 
 
 def _keys(spark, d):
-    keyed = _documents(spark, d).where("text is not null").select(X.canonical(F.col("text")).alias("key"), F.col("group_id").alias("external")).where("key <> ''")
+    keyed = _spread(spark, d).where("text is not null").select(X.canonical(F.col("text")).alias("key"), F.col("group_id").alias("external")).where("key <> ''")
     return keyed.withColumn("digest", X.digest(F.col("key")))
 
 
@@ -235,6 +240,14 @@ def d03_near_pairs(spark, d):
     return duplicates.near_pairs(texts, 0.85, scratch)
 
 
+@query(_PAIRS + "SELECT a, b, jaccard FROM pairs")
+def d03_prefix_pairs(spark, d):
+    """The same by the lossless prefix filter."""
+    scratch = Scratch(spark, "prefix")
+    texts = scratch.keep(_keys(spark, d).select("digest", "key").distinct(), "texts")
+    return duplicates.prefix_pairs(texts, 0.85, scratch)
+
+
 @query()
 def d02_banded_candidates(spark, d):
     """Candidates by the banded scheme of the reference."""
@@ -273,7 +286,7 @@ def g03_torn_labels(spark, d):
 
 
 def prepared(spark: SparkSession, d: str):
-    return plan.prepare(_records(spark, d), _settings(spark, d))
+    return plan.prepare(_records(spark, d), _settings(spark, d), html_in_code="text")  # the tables have such rows
 
 
 def prepared_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -356,7 +369,7 @@ def t01_round_trip(spark, d):
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def t03_round_trip(spark, d):
     """Documents through a public byte-level tokenizer and back."""
-    texts = _documents(spark, d).where("text is not null")
+    texts = _spread(spark, d).where("text is not null")
     return texts.select("doc_id", corpus.encoder("byte_bpe_50k")(F.col("text")).alias("ids")).select("doc_id", corpus.decoder("byte_bpe_50k")(F.col("ids")).alias("text"))
 
 
@@ -369,7 +382,7 @@ def t06_broken_pieces(spark, d):
 @query()
 def a05_tokenizer_report(spark, d):
     """Documents, tokens, bytes and round-trip failures by domain."""
-    ids = _documents(spark, d).select("domain", "text", corpus.encoder("byte_bpe_50k")(F.col("text")).alias("ids"))
+    ids = _spread(spark, d).select("domain", "text", corpus.encoder("byte_bpe_50k")(F.col("text")).alias("ids"))
     return corpus.tokenizer_report(ids.withColumn("decoded", corpus.decoder("byte_bpe_50k")(F.col("ids"))))
 
 

@@ -28,3 +28,10 @@ def local_session(app: str = "gristmill", cores: int | str = "*", partitions: in
 def table(spark: SparkSession, folder: str, name: str):
     """One of the Parquet tables of a data folder; a table is a file or a folder of files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df):
+    """A scan with fewer partitions than there are cores, dealt out to all of them: that is a small input in few files, for which the
+    shuffle is cheap and one busy core is not. Any larger scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

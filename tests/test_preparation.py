@@ -39,6 +39,7 @@ def test_html_code_is_an_error(spark):
     rows = [("a", "s", "cc", "code", "<p>x</p>", None, "html", 0)]
     with pytest.raises(Exception, match="code cannot be HTML"):
         preparation.tagged(spark.createDataFrame(rows, RAW), SETTINGS).collect()
+    assert preparation.tagged(spark.createDataFrame(rows, RAW), SETTINGS, "text").first()["text"] == "<p>x</p>"
 
 
 @pytest.mark.parametrize("bad", [{"allowed_licenses": []}, {"min_chars": 0}, {"min_chars": 9, "max_chars": 8}, {"near_duplicate_jaccard": 0.0}, {"test_ratio": 0.6, "validation_ratio": 0.6}, {"surprise": 1}])
@@ -76,8 +77,8 @@ def test_near_pairs_equal_brute_force(spark):
                 if digests[i] < digests[j] and s >= threshold:
                     want[digests[i], digests[j]] = s
         df = spark.createDataFrame(list(zip(digests, texts)), "digest string, key string")
-        got = {(r["a"], r["b"]): r["jaccard"] for r in duplicates.near_pairs(df, threshold, Scratch(spark, "t")).collect()}
-        assert got == pytest.approx(want)
+        for found in (duplicates.near_pairs(df, threshold, Scratch(spark, "t")), duplicates.prefix_pairs(df, threshold, Scratch(spark, "t"))):
+            assert {(r["a"], r["b"]): r["jaccard"] for r in found.collect()} == pytest.approx(want)
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(150)], [(0, i) for i in range(1, 60)], [(3, 1), (1, 3), (5, 4), (4, 9), (9, 1)]])
