@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gristmill.llm import transducer
+from gristmill.session import spread
 
 #: Tokens of one Arrow batch that goes back to Spark; a longer document makes a batch of its own.
 LOT = 1_000_000
@@ -44,7 +45,7 @@ def encoded(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str |
     exist on every executor.
     """
     at = folder or transducer.folder()
-    return documents.select("doc_id", "text").mapInArrow(lambda b: _encode(tokenizer, at, b), "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(lambda b: _encode(tokenizer, at, b), "doc_id bigint, ids array<int>")
 
 
 def _decode(name: str, folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,4 +78,4 @@ def token_counts(documents: DataFrame, tokenizers: list[str], folder: str | None
     """(doc_id, n0, n1, ...): tokens of each document by each of the tokenizers; 0 for empty and null texts."""
     at = folder or transducer.folder()
     schema = ", ".join(["doc_id bigint", *[f"n{k} bigint" for k in range(len(tokenizers))]])
-    return documents.select("doc_id", "text").mapInArrow(lambda b: _sizes(tokenizers, at, b), schema)
+    return spread(documents.select("doc_id", "text")).mapInArrow(lambda b: _sizes(tokenizers, at, b), schema)

@@ -54,7 +54,9 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     run, group, capacity = key
     rows = rows.sort_values(["doc_id", "n"], kind="stable")
-    docs, n = rows["doc_id"], rows["n"].to_numpy(dtype=np.int64)
+    # An id is a number and whether there is one: a column with nulls would come as floating point.
+    docs = pd.Series(pd.arrays.IntegerArray(rows["doc_id"].to_numpy(dtype=np.int64), rows["no_id"].to_numpy(dtype=bool)))
+    n = rows["n"].to_numpy(dtype=np.int64)
     full, rest = n // capacity, n % capacity
     # Whole containers of a document that alone exceeds the capacity, then what is left of it as an item like the others.
     whole = np.repeat(np.arange(len(n)), full)
@@ -68,7 +70,7 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         {
             "run_name": run,
             "container": number,
-            "doc_id": docs.iloc[row].to_numpy(),
+            "doc_id": docs.iloc[row].array,
             "start": np.concatenate([full[item] * capacity, start]),
             "n_tokens": np.concatenate([rest[item], np.full(len(whole), capacity)]),
         }
@@ -87,7 +89,7 @@ def filled(documents: DataFrame, packing: DataFrame, folder: str | None = None,
     spark = documents.sparkSession
     runs = [
         r for r in packing.select("run_name", "tokenizer", "sequence_length").distinct().toLocalIterator()
-        if None not in r and r["sequence_length"] >= 1
+        if None not in tuple(r) and r["sequence_length"] >= 1
     ]
     if not runs:
         return spark.createDataFrame([], FILLED)
@@ -98,14 +100,16 @@ def filled(documents: DataFrame, packing: DataFrame, folder: str | None = None,
     items = F.array(
         *[
             F.struct(
-                F.lit(r["run_name"]).alias("run_name"), F.lit(int(r["sequence_length"])).alias("capacity"), F.col(f"n{names.index(r['tokenizer'])}").alias("n")
+                F.lit(r["run_name"]).alias("run_name"),
+                F.lit(int(r["sequence_length"])).alias("capacity"),
+                F.col(f"n{names.index(r['tokenizer'])}").alias("n"),
             )
             for r in sorted(runs)
         ]
     )
     dealt = (
-        counts.select("doc_id", F.pmod(F.xxhash64("doc_id", "seq"), F.lit(groups)).alias("grp"), F.explode(items).alias("i"))
-        .select("doc_id", "grp", "i.run_name", "i.capacity", "i.n")
+        counts.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.pmod(F.xxhash64("doc_id", "seq"), F.lit(groups)).alias("grp"), F.explode(items).alias("i"))
+        .select("doc_id", "no_id", "grp", "i.run_name", "i.capacity", "i.n")
         .where("n > 0")
     )
     return dealt.groupBy("run_name", "grp", "capacity").applyInPandas(_pack, FILLED)

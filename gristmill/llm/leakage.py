@@ -1,8 +1,8 @@
 """Evaluation texts that leaked into training text.
 
 Every part of a test item (text, prompt, each answer) is brought to NFKC, lower case, letters and digits only. Seeds are its
-rarest 16-grams: of the grams in every window of 30 characters the one that the fewest corpus documents contain (counted over
-the whole corpus), so that any 30 characters in common with a document contain a seed. Seeds that occur in a document start
+rarest 16-grams: of the grams in every window of 22 characters the one that the fewest corpus documents contain (counted over
+the whole corpus), so that any 22 characters in common with a document, and so any 30, contain a seed. Seeds that occur in a document start
 a Smith-Waterman alignment of the part along their diagonal; it scores paraphrased and edited copies and counts the longest
 run without an edit.
 
@@ -20,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.session import spread
+
 GRAM = 16
-#: Fewest consecutive characters in common.
-RUN = 30
+#: Fewest consecutive characters in common that make a leak, and the fewest that are sure to hold a seed.
+RUN, WINDOW = 30, 22
 #: Alignment: score of a match, a mismatch and a gap. RUN matches alone reach MIN_SCORE, so no exact passage is lost.
 MATCH, MISMATCH, GAP = 2, -2, -2
 MIN_SCORE = MATCH * RUN
@@ -129,9 +131,9 @@ class Suite:
         return np.concatenate(self.grams) if self.grams else np.zeros(0, dtype=np.uint64)
 
     def choose(self, frequency: dict[int, int]) -> None:
-        """Keep as seeds the rarest gram of every window of RUN characters; of equally rare ones the smallest hash."""
+        """Keep as seeds the rarest gram of every window of WINDOW characters; of equally rare ones the smallest hash."""
         hashes, piece, offset = [], [], []
-        width = RUN - GRAM + 1
+        width = WINDOW - GRAM + 1
         for k, g in enumerate(self.grams):
             rank = np.array([frequency.get(int(x), 0) for x in g], dtype=np.float64)
             order = np.lexsort((g, rank))
@@ -152,8 +154,11 @@ class Suite:
         self.grams = []
 
 
-def align(pieces: list[np.ndarray], document: np.ndarray, piece_of: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smith-Waterman along a band around each (piece, diagonal = place in document - place in piece): (scores, longest runs).
+def align(
+    pieces: list[np.ndarray], text: np.ndarray, piece_of: np.ndarray, diagonal: np.ndarray, begin: np.ndarray, end: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Smith-Waterman along a band around each (piece, diagonal = place in text - place in piece): (scores, longest runs). An alignment
+    stays within its document, from ``begin`` to before ``end`` of the joined text.
 
     All alignments go row by row together. A band's columns are diagonals: the cell above lies one column to the right, the cell
     diagonally before lies in the same column, and gaps along the row are a running maximum.
@@ -168,11 +173,11 @@ def align(pieces: list[np.ndarray], document: np.ndarray, piece_of: np.ndarray,
     score = np.zeros((n, width), dtype=np.int32)
     run = np.zeros((n, width), dtype=np.int32)
     best, longest_run = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
-    last = len(document) - 1
+    begin, end, last = begin[:, None], end[:, None], len(text) - 1
     for r in range(longest):
         place = reach + r
-        there = document[np.clip(place, 0, last)]
-        same = (there == own[:, r, None]) & (place >= 0) & (place <= last) & (there > 0)
+        there = text[np.clip(place, 0, last)]
+        same = (there == own[:, r, None]) & (place >= begin) & (place < end) & (there > 0)
         run = np.where(same, run + 1, 0)
         step = score + np.where(same, MATCH, MISMATCH)
         step[:, :-1] = np.maximum(step[:, :-1], score[:, 1:] + GAP)
@@ -204,7 +209,7 @@ def _search(suite: Suite, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 last = key
         found: dict[tuple[int, str], list[int]] = {}
         for lot in np.array_split(np.array(bands), -(-len(bands) // 512)):
-            score, run = align(suite.pieces, joined, piece[lot], diagonal[lot])
+            score, run = align(suite.pieces, joined, piece[lot], diagonal[lot], starts[document[lot]], starts[document[lot] + 1] - 1)
             for d, p, s, r in zip(document[lot].tolist(), piece[lot].tolist(), score.tolist(), run.tolist()):
                 if s >= MIN_SCORE:
                     for item in suite.items[suite.part_of[p]]:
@@ -260,7 +265,7 @@ def leaked(documents: DataFrame, suite: DataFrame) -> DataFrame:
     whole. Empty tables give an empty result.
     """
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text").where("text is not null and length(text) >= 1")
+    texts = spread(documents.select("doc_id", "text").where("text is not null and length(text) >= 1"))
     out = None
     for parts in _blocks(suite):
         block = Suite(parts)

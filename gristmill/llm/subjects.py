@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.session import spread
+
 #: Rated documents that the models are trained on: those with the smallest hashes of their ids.
 RATED = 6_000
 #: A stem in fewer of them, or a bigram that occurs less often, is unknown.
@@ -287,5 +289,5 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, rated
     schema = "doc_id bigint, subject string, share double"
     if not hasattr(models, "spelled"):
         return documents.sparkSession.createDataFrame([], schema)
-    texts = documents.select("doc_id", "text").where("text is not null and length(text) > 0")
+    texts = spread(documents.select("doc_id", "text").where("text is not null and length(text) > 0"))
     return texts.mapInArrow(lambda b: _classify(models, b), schema)
