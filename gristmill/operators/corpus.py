@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,17 +31,36 @@ def character_vocabulary(texts: DataFrame) -> DataFrame:
     return texts.sparkSession.createDataFrame([(0, UNKNOWN)], "id int, ch string").unionAll(ranked)
 
 
+def _code_points(vocabulary: DataFrame) -> np.ndarray:
+    """Id of each code point, 0 for those a vocabulary (id, ch) does not have. A vocabulary is no larger than Unicode."""
+    table = np.zeros(0x110000, dtype=np.int32)
+    for row in vocabulary.where(F.col("id") > 0).toLocalIterator():
+        table[ord(row["ch"])] = row["id"]
+    return table
+
+
 def encode_characters(texts: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
-    """(keys, ids) by a vocabulary (id, ch); what it does not have is 0. The vocabulary goes to the tasks as one map."""
-    table = vocabulary.where(F.col("id") > 0).agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("table"))
-    joined = texts.join(F.broadcast(table))
-    return joined.select(*keys, F.transform(letters(F.coalesce("text", F.lit(""))), lambda c: F.coalesce(F.try_element_at("table", c), F.lit(0))).alias("ids"))
+    """(keys, ids) by a vocabulary (id, ch); what it does not have is 0; null and empty texts give an empty list."""
+    table = texts.sparkSession.sparkContext.broadcast(_code_points(vocabulary))
+
+    @F.pandas_udf("array<int>")
+    def ids(column: pd.Series) -> pd.Series:
+        return pd.Series([table.value[np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)] for t in column.fillna("")])
+
+    return texts.select(*keys, ids("text").alias("ids"))
 
 
 def decode_characters(encoded: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
-    """(keys, text) of (keys, ids)."""
-    table = vocabulary.agg(F.map_from_entries(F.collect_list(F.struct("id", "ch"))).alias("table"))
-    return encoded.join(F.broadcast(table)).select(*keys, F.array_join(F.transform("ids", lambda i: F.element_at("table", i)), "").alias("text"))
+    """(keys, text) of (keys, ids); id 0 stands for the sign of the unknown."""
+    table = _code_points(vocabulary)
+    known = np.flatnonzero(table)
+    back = encoded.sparkSession.sparkContext.broadcast({int(table[c]): chr(c) for c in known} | {0: UNKNOWN})
+
+    @F.pandas_udf("string")
+    def text(column: pd.Series) -> pd.Series:
+        return pd.Series(["".join([back.value[int(i)] for i in ids]) for ids in column])
+
+    return encoded.select(*keys, text("ids").alias("text"))
 
 
 def tokenizer_folder() -> str:

@@ -308,7 +308,7 @@ def e01_clean(spark, d):
     return prepared(spark, d).clean.select("content_sha256", "id", "group_id", "split", "copies")
 
 
-@query()
+@query("SELECT '' AS group_id, CAST(0 AS BIGINT) AS splits WHERE false")
 def g03_leaks(spark, d):
     """Groups of the preparation in more than one split: none."""
     return duplicates.torn_groups(prepared(spark, d).clean)
@@ -551,7 +551,7 @@ def a08_task_metrics(spark, d):
     return evaluation.task_metrics(_results(spark, d))
 
 
-@query()
+@query(f"SELECT type, avg(e) AS macro FROM (SELECT type, task, avg(eos) AS e FROM {_RESULTS} WHERE type IN ('qa', 'generation') GROUP BY type, task) GROUP BY type")
 def b07_macro(spark, d):
     """Macro average of the end rates over domains, by type of task."""
     return evaluation.macro_average(a08_task_metrics(spark, d), "eos_rate")
@@ -663,7 +663,8 @@ def b11_lengths(spark, d):
     return corpus.length_distribution(_documents(spark, d), "n_chars", 1024, "source")
 
 
-@query()
+@query(f"""SELECT doc_id, len(l)::INTEGER AS lines, (len(l) - len(list_distinct(l)))::INTEGER AS repeated_lines, len(list_filter(l, lambda x: length(x) < 40 AND regexp_matches(x, '{"|".join(corpus.MENU_WORDS)}')))::INTEGER AS menu_lines,
+CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g'))::DOUBLE / length(text) ELSE 0.0 END AS letters_share FROM (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)""")
 def b02_line_quality(spark, d):
     """Signs of menus and repetition in each document."""
     return corpus.line_quality(_documents(spark, d).where("text is not null"), "doc_id")

@@ -52,7 +52,8 @@ def to_records(pages: DataFrame, source: str, license: str, domain: str = "korea
 def conversion_counters(pages: DataFrame, records: DataFrame) -> DataFrame:
     """(scanned, empty_after_strip, short, kept, utf8_bytes, truncated)."""
     counted = records.agg(
-        F.count("*").alias("scanned"), F.count_if(F.col("reason") == "empty_after_strip").alias("empty_after_strip"), F.count_if(F.col("reason") == "short").alias("short"),
+        F.lit(1).alias("one"), F.count("*").alias("scanned"), F.count_if(F.col("reason") == "empty_after_strip").alias("empty_after_strip"), F.count_if(F.col("reason") == "short").alias("short"),
         F.count_if(F.col("reason").isNull()).alias("kept"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.octet_length("text"))), F.lit(0)).alias("utf8_bytes"),
     )
-    return counted.join(pages.agg(F.coalesce(F.bool_or(F.col("broken") | F.col("page_id").isNull()), F.lit(False)).alias("truncated")))
+    cut = pages.agg(F.lit(1).alias("one"), F.coalesce(F.bool_or(F.col("broken") | F.col("page_id").isNull()), F.lit(False)).alias("truncated"))
+    return counted.join(cut, "one").drop("one")
