@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from gristmill.functions import text as X
 from gristmill.operators import corpus, duplicates, evaluation, packing, preparation
 from gristmill.operators.preparation import Settings
+from gristmill.plans import pack, stages
 from gristmill.plans import prepare as plan
-from gristmill.plans import stages
 from gristmill.plans.shared import Scratch
 from gristmill.session import spread, table
 from gristmill.sources import records, wiki
@@ -110,6 +110,25 @@ def s04_wiki(spark, d):
     return wiki.to_records(wiki.scan_pages(spark, root), "dump-1", "cc-by-sa-4.0", min_chars=40).select("id", "group_id", F.length("text").alias("chars"), "reason")
 
 
+@query("SELECT DISTINCT prompt || chr(10) AS text FROM (SELECT unnest(string_split(prompt, chr(10))) AS prompt FROM suite WHERE prompt IS NOT NULL)")
+def s07_lines(spark, d):
+    """Prompts written as lines of text and read line by line."""
+    root = Scratch(spark, "lines").root
+    table(spark, d, "suite").where("prompt is not null").select("prompt").write.text(root)
+    return records.scan_lines(spark, root).distinct()
+
+
+_REJECTED = "SELECT id, reason FROM (SELECT record_id AS id, CASE WHEN coalesce(record_id, '') = '' OR coalesce(source, '') = '' OR coalesce(license, '') = '' OR coalesce(domain, '') = '' THEN 'missing_provenance' WHEN NOT list_contains(allowed_licenses, license) THEN 'license_not_allowed' END AS reason FROM documents, preparation) WHERE reason IS NOT NULL"
+
+
+@query(_REJECTED)
+def s09_rejects(spark, d):
+    """Records that provenance rejects, written and read again."""
+    root = Scratch(spark, "rejects").root
+    records.write_rejects(_records(spark, d).withColumn("reason", preparation.provenance_reason(_settings(spark, d))), root)
+    return spark.read.schema("id string, reason string").json(root)
+
+
 @query("SELECT doc_id, split FROM (SELECT doc_id, CASE WHEN b < 0.05 THEN 'test' WHEN b < 0.1 THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, (('0x' || substr(sha256('42:' || CAST(doc_id AS VARCHAR)), 1, 16))::UBIGINT)::DOUBLE / pow(2, 64) AS b FROM documents)) WHERE split <> 'train'")
 def s08_split_sink(spark, d):
     """Splits written as folders; two of them are read again, the third is pruned."""
@@ -435,6 +454,41 @@ def a06_valid_targets(spark, d):
     return rows.agg(F.sum(packing.valid_targets(F.col("document_ids"), F.col("attention_mask"))).alias("targets"))
 
 
+@query()
+def k03_packed(spark, d):
+    """The clean training records encoded and packed in rows of 1,024."""
+    clean = prepared(spark, d).clean.where("split = 'train'")
+    return pack.pack_split(clean, "train", "byte_bpe_50k", _ROW, 50256, 50256, 50256).select("row_number", "input_ids", "document_ids")
+
+
+@query("SELECT record_id, ordinal FROM (SELECT record_id, doc_id AS ordinal FROM documents, preparation WHERE list_contains(allowed_licenses, license) AND coalesce(record_id, '') <> '' AND coalesce(source, '') <> '' AND coalesce(domain, '') <> '' ORDER BY doc_id LIMIT 50)")
+def k08_first_kept(spark, d):
+    """The first fifty records that provenance lets pass."""
+    passed = _records(spark, d).withColumn("reason", preparation.provenance_reason(_settings(spark, d)))
+    return pack.first_kept(passed, 50).select(F.col("id").alias("record_id"), "ordinal")
+
+
+@query("SELECT doc_id, CASE WHEN n < 2 THEN 0 ELSE CAST(ceil((n - 1) / 63) AS INTEGER) END AS chunks, CAST(CASE WHEN n < 2 THEN 0 ELSE n - 1 END AS BIGINT) AS scored FROM (SELECT doc_id, coalesce(length(text), 0) AS n FROM documents)")
+def m03_chunks(spark, d):
+    """Windows of 64 in which a text is scored (one token a character), and the neighbours they score."""
+    ids = F.transform(corpus.letters(F.coalesce("text", F.lit(""))), lambda c: F.lit(1))
+    chunks = _documents(spark, d).select("doc_id", pack.text_chunks(ids, 64).alias("c"))
+    return chunks.select("doc_id", F.size("c").alias("chunks"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x) - 1).alias("scored"))
+
+
+@query("SELECT id FROM docs WHERE split = 'train'")
+def f09_split_guard(spark, d):
+    """Records of one split, behind the guard that refuses any other."""
+    return pack.only_split(table(spark, d, "docs").where("split = 'train'"), "train").select("id")
+
+
+@query("SELECT count(*) AS documents FROM documents WHERE text IS NOT NULL")
+def t07_corpus_digest(spark, d):
+    """How many documents the order-free digest of the corpus covers; the digest is the same for the table turned round."""
+    one, other = pack.corpus_digest(_documents(spark, d)), pack.corpus_digest(_documents(spark, d).orderBy(F.desc("doc_id")))
+    return one.join(other, ["documents", "digest"]).select("documents")
+
+
 @query()
 def k04_epoch_order(spark, d):
     """Which record each of two epochs' cursors reads."""

@@ -74,3 +74,50 @@ def test_bad_arguments(spark):
         packing.layout(spark.createDataFrame([], "doc_number bigint, n_tokens int"), 1)
     with pytest.raises(ValueError):
         packing.epoch_step(0, 1, 0)
+
+
+def test_export_and_read_back(spark, tmp_path):
+    from gristmill.plans import pack
+
+    tokens = spark.createDataFrame([(i, list(range(i + 1))) for i in range(40)], "doc_number bigint, ids array<int>")
+    rows = packing.packed_rows(packing.layout(tokens.select("doc_number", F.size("ids").alias("n_tokens")), 16), tokens, 16, 0)
+    manifest = pack.packed_manifest(rows, "train", 16)
+    assert manifest["valid_targets"] == sum(i for i in range(1, 40))
+    pack.export_arrays(rows, str(tmp_path / "out"), 16, manifest, shards=3)
+    held = pack.IndexedRows(str(tmp_path / "out"))
+    want = rows.orderBy("row_number").collect()
+    assert len(held) == len(want) == manifest["rows"]
+    assert all(held[i]["input_ids"].tolist() == r["input_ids"] and held[i]["document_ids"].tolist() == r["document_ids"] for i, r in enumerate(want))
+    assert [r["input_ids"].tolist() for r in held[1:3]] == [r["input_ids"] for r in want[1:3]]
+    with pytest.raises(IndexError):
+        held[len(held)]
+    with pytest.raises(FileExistsError):
+        pack.export_arrays(rows, str(tmp_path / "out"), 16, manifest)
+    part = sorted((tmp_path / "out").glob("input_ids-*.bin"))[0]
+    raw = bytearray(part.read_bytes())
+    raw[0] ^= 1
+    part.write_bytes(bytes(raw))
+    with pytest.raises(ValueError, match="checksum"):
+        pack.IndexedRows(str(tmp_path / "out"))
+    part.write_bytes(bytes(raw[:-1]))
+    with pytest.raises(ValueError, match="size"):
+        pack.IndexedRows(str(tmp_path / "out"))
+    with pytest.raises(ValueError):
+        pack.packed_manifest(rows.where("false"), "train", 16)
+
+
+def test_guards(spark):
+    from gristmill.operators.corpus import tokenizer_folder
+    from gristmill.plans import pack
+
+    with pytest.raises(Exception, match="not of split"):
+        pack.only_split(spark.createDataFrame([("train",), ("test",)], "split string"), "train").collect()
+    path = f"{tokenizer_folder()}/byte_bpe_50k.json"
+    assert pack.checked_tokenizer(path, vocab_size=50257, specials={"<|endoftext|>": 50256}) == {"<|endoftext|>": 50256}
+    for bad in ({"sha256": "0"}, {"vocab_size": 1}, {"specials": {"<|endoftext|>": 1}}):
+        with pytest.raises(ValueError):
+            pack.checked_tokenizer(path, **bad)
+    chunks = spark.createDataFrame([(list(range(7)),), ([1],), ([],), ([1, 2],)], "i array<int>").select(pack.text_chunks(F.col("i"), 4).alias("c")).collect()
+    assert [r["c"] for r in chunks] == [[[0, 1, 2, 3], [3, 4, 5, 6]], [], [], [[1, 2]]]
+    ordered = spark.createDataFrame([(3, None), (1, "bad"), (2, None), (0, None)], "ordinal int, reason string")
+    assert [r["ordinal"] for r in pack.first_kept(ordered, 2).collect()] == [0, 2]
