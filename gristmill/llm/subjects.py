@@ -33,7 +33,7 @@ ROUNDS = 8
 #: strength of the unigram behind a bigram, in tokens.
 UNIGRAM_FLOOR, BIGRAM_BACK = 1.0, 30.0
 #: The least responsibility of a subject for a sentence that is about it.
-SURE = 0.9
+SURE = 0.99
 #: Make-up of a document before it is seen: subject named by a rater, other subject, background, mentions.
 NAMED, OTHER, PLAIN, MENTION = 3.0, 0.05, 1.5, 0.25
 #: The share from which a document is about a subject, where rated documents are too few to calibrate it.
