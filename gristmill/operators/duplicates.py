@@ -3,7 +3,7 @@
 Candidates come from banded MinHash, whose shuffle is a few hundred bytes a text whatever its length: enough bands that a pair at the
 threshold is missed with a chance below MISS, less than the reference's own eight bands allow. Every candidate is then verified on
 its shingles. ``prefix_pairs`` is the lossless way beside it (AllPairs, PPJoin): with shingles in order of how few documents have
-them, two sets of similarity t or more share one of their first n - ceil(t n) + 1; it shuffles every shingle once.
+them, two sets of similarity t or more share one of their first n - ceil(t n) + 1; it shuffles every shingle.
 """
 
 from __future__ import annotations
@@ -35,45 +35,70 @@ def banding(threshold: float) -> tuple[int, int]:
     raise AssertionError
 
 
-def band_keys(text: str, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key a band: the minima of its hash functions over the shingles, mixed."""
+def signature(text: str, hashes: int) -> tuple[int, np.ndarray]:
+    """(distinct shingles, minimum of each of ``hashes`` 32-bit hash functions over them)."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     width = min(X.SHINGLE, len(codes))
     base = np.zeros(len(codes) - width + 1, dtype=np.uint64)
     for i in range(width):
         base = base * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - width + 1 + i]
-    base = np.unique(base ^ (base >> np.uint64(29)))
-    multipliers = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-    minima = np.empty(bands * rows, dtype=np.uint64)
-    for k, m in enumerate(multipliers):
-        h = base * m
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        minima[k] = h.min()
+    base = np.unique(base)
+    base ^= base >> np.uint64(29)
+    base *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (base >> np.uint64(32)).astype(np.uint32)
+    drawn = np.random.default_rng(20260101).integers(0, 1 << 32, size=(2, hashes, 1), dtype=np.uint32)
+    minima = np.full(hashes, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(mixed), 2048):  # a table of at most hashes x 2,048
+        np.minimum(minima, (mixed[None, at : at + 2048] * (drawn[0] | np.uint32(1)) + drawn[1]).min(axis=1), out=minima)
+    return len(base), minima
+
+
+def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key a band from its minima."""
     keys = np.zeros(bands, dtype=np.uint64)
     for r in range(rows):
-        keys = (keys ^ minima[r::rows]) * np.uint64(0x94D049BB133111EB)
+        keys = (keys ^ minima[r::rows].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
         keys ^= keys >> np.uint64(31)
     return keys.view(np.int64)
 
 
 def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b, jaccard), a < b, for the pairs of distinct texts (digest, key) of similarity ``threshold`` or more."""
+    """(a, b, jaccard), a < b, for the pairs of distinct texts (digest, key) of similarity ``threshold`` or more.
+
+    Texts travel as numbers; candidates must fit in size, then agree in as many low bytes of their minima as a pair at the threshold does
+    but for a chance below MISS, and only the rest fetch their texts and are compared shingle by shingle.
+    """
     bands, rows = banding(threshold)
+    hashes = bands * rows
+    likely = threshold + (1 - threshold) / 256
+    fewest = hashes * likely - 5.4 * math.sqrt(hashes * likely * (1 - likely))
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"digest": batch["digest"].to_numpy(), "keys": [band_keys(k, bands, rows) for k in batch["key"]]})
-
-    signed = scratch.keep(spread(texts.where("key <> ''")).mapInPandas(keys, "digest string, keys array<bigint>"), "bands")
-    banded = signed.select("digest", F.posexplode("keys").alias("band", "k"))
-    left, right = banded.select(F.col("digest").alias("a"), "band", "k"), banded.select(F.col("digest").alias("b"), "band", "k")
-    pairs = left.join(right, ["band", "k"]).where("a < b").select("a", "b").distinct()
-    ka, kb = texts.select(F.col("digest").alias("a"), F.col("key").alias("ka")), texts.select(F.col("digest").alias("b"), F.col("key").alias("kb"))
-    sets = pairs.join(ka, "a").join(kb, "b").select("a", "b", X.shingles(F.col("ka")).alias("sa"), X.shingles(F.col("kb")).alias("sb"))
-    fits = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * threshold - 1e-9
+            found = [signature(k, hashes) for k in batch["key"]]
+            yield pd.DataFrame({
+                "digest": batch["digest"].to_numpy(), "n": [n for n, _ in found], "keys": [band_keys(m, bands, rows) for _, m in found],
+                "low": [(m & np.uint32(255)).astype(np.uint8).tobytes() for _, m in found],
+            })
+
+    @F.pandas_udf("int")
+    def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
+        left, right = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, hashes) for s in (x, y))
+        return pd.Series((left == right).sum(axis=1).astype(np.int32))
+
+    signed = spread(texts.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
+    signed = scratch.keep(signed.withColumn("id", F.monotonically_increasing_id()), "signed")
+    banded = signed.select("id", "n", F.posexplode("keys").alias("band", "k"))
+    side = lambda x: banded.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "band", "k")
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    pairs = side("a").join(side("b"), ["band", "k"]).where(fits).select("a", "b").distinct()
+    of = lambda x: signed.select(F.col("id").alias(x), F.col("digest").alias(f"d{x}"), F.col("low").alias(f"low{x}"))
+    likely_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(agreeing("lowa", "lowb") >= fewest).select("da", "db")
+    kept = scratch.keep(likely_pairs, "likely")
+    ka, kb = texts.select(F.col("digest").alias("da"), F.col("key").alias("ka")), texts.select(F.col("digest").alias("db"), F.col("key").alias("kb"))
+    sets = kept.join(ka, "da").join(kb, "db").select("da", "db", X.shingles(F.col("ka")).alias("sa"), X.shingles(F.col("kb")).alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    scored = sets.where(fits).select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
+    scored = sets.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold)
 
 
