@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "<unk>"
+#: Texts that the tokenizer library encodes at once.
+LOT = 64
 MENU_WORDS = ("목록", "이전 글", "다음 글", "로그인", "회원가입", "닫기", "확인", "메뉴", "Home", "Login", "Sign up", "Menu", "Next", "Previous", "Copyright")
 
 
@@ -82,8 +84,10 @@ def encoder(name: str, folder: str | None = None):
 
             loaded[path] = Tokenizer.from_file(path)
             loaded[path].encode_special_tokens = True
-        found = loaded[path].encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
-        return pd.Series([e.ids for e in found])
+        given, found = texts.fillna("").tolist(), []
+        for at in range(0, len(given), LOT):  # the library keeps much beside the ids, so lots are small
+            found += [np.array(e.ids, dtype=np.int32) for e in loaded[path].encode_batch(given[at : at + LOT], add_special_tokens=False)]
+        return pd.Series(found)
 
     return ids
 
@@ -99,7 +103,7 @@ def decoder(name: str, folder: str | None = None):
             from tokenizers import Tokenizer
 
             loaded[path] = Tokenizer.from_file(path)
-        return pd.Series(loaded[path].decode_batch([list(x) for x in ids], skip_special_tokens=False))
+        return pd.Series([loaded[path].decode(x.tolist(), skip_special_tokens=False) for x in ids])
 
     return text
 
