@@ -33,7 +33,7 @@ BAND = 24
 #: Parts are aligned in pieces of this many characters that overlap by OVERLAP (at least RUN).
 PIECE, OVERLAP = 512, 64
 #: Normalised characters of suite in one broadcast block, and of documents in one pass of the seed search.
-BLOCK, CHUNK = 8_000_000, 2_000_000
+BLOCK, CHUNK = 1_000_000, 2_000_000
 FOUND = "doc_id bigint, item_id string, score int, run int"
 
 _P = 0x9E3779B97F4A7C15
