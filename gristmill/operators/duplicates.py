@@ -63,7 +63,7 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b, jaccard), a < b, for the pairs of distinct texts (digest, key) of similarity ``threshold`` or more.
+    """(a, b, jaccard), a < b, for the pairs of different texts (digest, key) of similarity ``threshold`` or more; copies count once.
 
     Texts travel as numbers; candidates must fit in size, then agree in as many low bytes of their minima as a pair at the threshold does
     but for a chance below MISS, and only the rest fetch their texts and are compared shingle by shingle.
@@ -87,7 +87,7 @@ def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFram
         return pd.Series((left == right).sum(axis=1).astype(np.int32))
 
     signed = spread(texts.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
-    signed = scratch.keep(signed.withColumn("id", F.monotonically_increasing_id()), "signed")
+    signed = scratch.keep(signed.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "signed")
     banded = signed.select("id", "n", F.posexplode("keys").alias("band", "k"))
     side = lambda x: banded.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "band", "k")
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
@@ -95,10 +95,12 @@ def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFram
     of = lambda x: signed.select(F.col("id").alias(x), F.col("digest").alias(f"d{x}"), F.col("low").alias(f"low{x}"))
     likely_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(agreeing("lowa", "lowb") >= fewest).select("da", "db")
     kept = scratch.keep(likely_pairs, "likely")
-    ka, kb = texts.select(F.col("digest").alias("da"), F.col("key").alias("ka")), texts.select(F.col("digest").alias("db"), F.col("key").alias("kb"))
-    sets = kept.join(ka, "da").join(kb, "db").select("da", "db", X.shingles(F.col("ka")).alias("sa"), X.shingles(F.col("kb")).alias("sb"))
+    wanted = kept.select(F.col("da").alias("digest")).unionAll(kept.select(F.col("db").alias("digest"))).distinct()
+    fetched = texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    sets = scratch.keep(fetched.select("digest", X.shingles(F.col("key")).alias("s")), "shingles")
+    one, other = sets.select(F.col("digest").alias("da"), F.col("s").alias("sa")), sets.select(F.col("digest").alias("db"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    scored = sets.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
+    scored = kept.join(one, "da").join(other, "db").select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= threshold)
 
 

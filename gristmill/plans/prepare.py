@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import text as X
 from gristmill.operators import duplicates, preparation
 from gristmill.operators.preparation import Settings
 from gristmill.plans.shared import Scratch
@@ -21,7 +22,7 @@ class Prepared:
         by_reason = self.tagged.groupBy(F.coalesce("reason", F.lit("_kept")).alias("counter")).agg(F.count("*").alias("value"))
         total = by_reason.agg(F.lit("input").alias("counter"), F.sum("value").alias("value"))
         copies = self.clean.agg(F.lit("exact_duplicates_removed").alias("counter"), F.sum(F.col("copies") - 1).alias("value"))
-        split = self.clean.groupBy("split").agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).cast("bigint").alias("utf8_bytes"))
+        split = self.clean.groupBy("split").agg(F.count("*").alias("documents"), F.sum("utf8_bytes").cast("bigint").alias("utf8_bytes"))
         by_split = split.select(F.explode(F.array(*[F.struct(F.concat("split", F.lit(f"_{c}")).alias("counter"), F.col(c).alias("value")) for c in ("documents", "utf8_bytes")])).alias("c")).select("c.*")
         out = total.unionByName(by_reason.where("counter <> '_kept'")).unionByName(copies).unionByName(by_split)
         if self.pairs is not None:
@@ -34,16 +35,22 @@ class Prepared:
 
 
 def prepare(records: DataFrame, settings: Settings, html_in_code: str = "error") -> Prepared:
-    """Tag, drop copies, group and split. The tagged table is written once; what follows reads it back, since it needs Python."""
+    """Tag, drop copies, group and split. Ordinals of records are unique.
+
+    The tagged table, the only one that needs Python for every text, is written once and read back. Texts move once more at most, when the
+    clean records are read: first arrivals, near duplicates, groups and splits go by digests, ordinals and signatures.
+    """
     scratch = Scratch(records.sparkSession, "prepare")
-    tagged = scratch.keep(preparation.tagged(records, settings, html_in_code), "tagged")
+    measured = preparation.tagged(records, settings, html_in_code).drop("key").withColumn("utf8_bytes", F.octet_length("text"))
+    tagged = scratch.keep(measured, "tagged")
     kept = tagged.where("reason is null")
-    first = scratch.keep(preparation.first_arrivals(kept), "first")
+    first = kept.groupBy("content_sha256").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("copies"))
     arrivals = kept.select("content_sha256", F.col("group_id").alias("external"))
     pairs = None
     if settings.near_duplicate_grouping:
-        pairs = scratch.keep(duplicates.near_pairs(first.select(F.col("content_sha256").alias("digest"), "key"), settings.near_duplicate_jaccard, scratch), "pairs")
-    groups = duplicates.membership(arrivals, pairs, scratch)
-    clean = first.withColumnRenamed("group_id", "external_group").join(groups, "content_sha256").withColumnRenamed("group", "group_id")
-    clean = clean.withColumn("split", preparation.hash_split(F.col("group_id"), settings)).drop("reason")
-    return Prepared(tagged, scratch.keep(clean, "clean"), pairs)
+        texts = kept.select(F.col("content_sha256").alias("digest"), X.canonical(F.col("text")).alias("key"))
+        pairs = scratch.keep(duplicates.near_pairs(texts, settings.near_duplicate_jaccard, scratch), "pairs")
+    groups = duplicates.membership(arrivals, pairs, scratch).withColumnRenamed("group", "group_id")
+    decided = first.join(groups, "content_sha256").withColumn("split", preparation.hash_split(F.col("group_id"), settings))
+    clean = kept.drop("reason").withColumnRenamed("group_id", "external_group").join(scratch.keep(decided, "decided"), ["content_sha256", "ordinal"])
+    return Prepared(tagged, clean, pairs)
