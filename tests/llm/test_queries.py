@@ -19,3 +19,21 @@ def test_columns(spark, data, name):
 
 def test_every_problem_has_a_query():
     assert {n[:2] for n in queries.queries()} == {f"p{i}" for i in range(1, 8)}
+
+
+NAMES = "a b v u root root_id label rep key least now torn split bin weight rank bucket even taken n n0 seq grp i capacity start container spans ids share subject score run item_id gram doc_id id text named value pii_type sentence centre best_x near at".split()
+
+
+def test_clashing_columns_change_nothing(spark, data, tmp_path):
+    """Further columns, named like the ones that the operators make, are ignored in every table."""
+    from pyspark.sql import functions as F
+
+    for name in ("documents", "docs", "links", "aliases", "suite", "preparation", "packing", "subject_labels", "subject_areas"):
+        df = spark.read.parquet(f"{data}/{name}.parquet")
+        df.select("*", *[F.lit("clash").alias(n) for n in NAMES if n not in df.columns]).write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = lambda df: sorted(repr(r) for r in df.collect())
+    for name in ("p1_alignments", "p2_groups", "p3_splits", "p4_redacted", "p5_ids", "p7_shares"):
+        f = queries.queries()[name]
+        assert plain(f(spark, str(tmp_path))) == plain(f(spark, data)), name
+    places = lambda d: sorted((r["run_name"], r["doc_id"], r["start"], r["n_tokens"]) for r in queries.p6_containers(spark, d).collect())
+    assert places(str(tmp_path)) == places(data)
