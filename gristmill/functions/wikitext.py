@@ -9,22 +9,24 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Link targets that are no prose, redirect words, headings after which nothing is prose, elements without prose.
+# Fixed values, which decide what counts as prose: link targets that are none, redirect words, headings after which nothing is, elements
+# without any, and the patterns of markup in the order in which they apply.
 NO_PROSE_TARGETS = "파일|그림|이미지|분류|틀|File|Image|Category|Template|미디어|Media"
 REDIRECTS = "redirect|넘겨주기"
 TAIL_HEADINGS = "각주|주석|참고 ?문헌|외부 ?링크|같이 ?보기|더 ?보기|참조|출처"
 NO_PROSE_ELEMENTS = "gallery table math score timeline syntaxhighlight source imagemap".split()
+COMMENT, REFERENCE, REFERENCE_SPAN, ELEMENT_SPAN = r"<!--.*?-->", r"<ref[^>]*/>", r"<ref[^>]*>.*?</ref>", r"<{0}[^>]*>.*?</{0}>"
+LABELLED_URL, BARE_URL, OPEN_URL = r"\[(?:https?|ftp)://\S+?\s+([^\]]*)\]", r"\[(?:https?|ftp)://\S+?\]", r"\[(?:https?|ftp)://\S+"
+ELEMENT = r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>"
+HEADING, BULLET, QUOTES, RULE, BLANKS, GAP = r"^\s*=+\s*(.*?)\s*=+\s*$", r"^[*#:;]+\s*", r"'{2,}", r"^\s*-{4,}\s*$", r"[ \t]+", r"\n{3,}"
 
 _TARGET = re.compile(rf"^(?:{NO_PROSE_TARGETS}):", re.I)
 _TAIL = re.compile(rf"^(?:{TAIL_HEADINGS})\s*$", re.M)
-_TAKEN_OUT = [re.compile(r"<!--.*?-->", re.S), re.compile(r"<ref[^>]*/>", re.I), re.compile(r"<ref[^>]*>.*?</ref>", re.S | re.I)]
-_TAKEN_OUT += [re.compile(rf"<{e}[^>]*>.*?</{e}>", re.S | re.I) for e in NO_PROSE_ELEMENTS]
-_EXTERNAL = [(re.compile(r"\[(?:https?|ftp)://\S+?\s+([^\]]*)\]"), r"\1"), (re.compile(r"\[(?:https?|ftp)://\S+?\]"), ""), (re.compile(r"\[(?:https?|ftp)://\S+"), "")]
-_ELEMENT = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>")
-_LINES = [
-    (re.compile(r"^\s*=+\s*(.*?)\s*=+\s*$", re.M), r"\1"), (re.compile(r"^[*#:;]+\s*", re.M), ""), (re.compile(r"'{2,}"), ""),
-    (re.compile(r"^\s*-{4,}\s*$", re.M), ""), (re.compile(r"[ \t]+"), " "), (re.compile(r"\n{3,}"), "\n\n"),
-]
+_TAKEN_OUT = [re.compile(COMMENT, re.S), re.compile(REFERENCE, re.I), re.compile(REFERENCE_SPAN, re.S | re.I)]
+_TAKEN_OUT += [re.compile(ELEMENT_SPAN.format(e), re.S | re.I) for e in NO_PROSE_ELEMENTS]
+_EXTERNAL = [(re.compile(LABELLED_URL), r"\1"), (re.compile(BARE_URL), ""), (re.compile(OPEN_URL), "")]
+_ELEMENT = re.compile(ELEMENT)
+_LINES = [(re.compile(p, re.M), by) for p, by in ((HEADING, r"\1"), (BULLET, ""), (QUOTES, ""), (RULE, ""), (BLANKS, " "), (GAP, "\n\n"))]
 
 
 def without_nested(text: str, opening: str, closing: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as X
 
+#: Kinds of items, metrics of reports, and the domain of items that name none.
 TASKS = ("text", "multiple_choice", "qa", "generation")
 #: Where the report of one section holds numbers that can be compared; the last two only under one tokenizer.
 TEXT_METRICS = ("bits_per_byte", "ce", "perplexity")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as X
 
+#: The reasons against a record, first match first, and the fields that give provenance.
 REASONS = ("missing_provenance", "license_not_allowed", "too_short", "too_long", "broken_text", "repeated_character")
 PROVENANCE = ("id", "source", "license", "domain")
 
