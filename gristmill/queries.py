@@ -255,8 +255,7 @@ def _keys(spark, d):
 def d03_near_pairs(spark, d):
     """Near duplicates among the distinct canonical texts, with their exact similarity."""
     scratch = Scratch(spark, "near")
-    texts = scratch.keep(_keys(spark, d).select("digest", "key").distinct(), "texts")
-    return duplicates.near_pairs(texts, 0.85, scratch)
+    return duplicates.near_pairs(scratch.keep(_keys(spark, d).select("digest", "key"), "texts"), 0.85, scratch)
 
 
 @query(_PAIRS + "SELECT a, b, jaccard FROM pairs")
@@ -284,7 +283,7 @@ def g01_groups(spark, d):
     """The group of each distinct text over near duplicates and external keys, keys of copies included."""
     scratch = Scratch(spark, "members")
     keyed = scratch.keep(_keys(spark, d), "keys")
-    pairs = duplicates.near_pairs(keyed.select("digest", "key").distinct(), 0.85, scratch)
+    pairs = duplicates.near_pairs(keyed.select("digest", "key"), 0.85, scratch)
     return duplicates.membership(keyed.select(F.col("digest").alias("content_sha256"), "external"), pairs, scratch)
 
 

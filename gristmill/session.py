@@ -32,6 +32,7 @@ def table(spark: SparkSession, folder: str, name: str):
 
 def spread(df):
     """A scan with fewer partitions than there are cores, dealt out to all of them: that is a small input in few files, for which the
-    shuffle is cheap and one busy core is not. Any larger scan stays as it is."""
+    shuffle is cheap and one busy core is not. Any larger scan stays as it is. Not for plans with a shuffle: to count their partitions
+    would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
