@@ -17,8 +17,6 @@ from pyspark.sql import types as T
 #: Fixed patterns: e-mail addresses, and Korean mobile numbers with optional separators.
 EMAIL = r"(?U)[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
 MOBILE = r"(?U)(?<!\d)01[016789][- .]?\d{3,4}[- .]?\d{4}(?!\d)"
-#: White space as Python splits on it.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Code points of a shingle.
 SHINGLE = 5
 
@@ -69,13 +67,15 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def plain_newlines(text: Column) -> Column:
-    """CRLF and CR as LF."""
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    """CRLF and CR as LF. Texts without a CR skip the pattern."""
+    return F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
 
 
 def redacted_contacts(text: Column) -> Column:
-    """E-mail addresses and mobile numbers as [EMAIL] and [PHONE]."""
-    return F.regexp_replace(F.regexp_replace(text, EMAIL, "[EMAIL]"), MOBILE, "[PHONE]")
+    """E-mail addresses and mobile numbers as [EMAIL] and [PHONE]. Without an @ there is no address, and the pattern, which tries every
+    run of letters, is skipped."""
+    mailless = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, "[EMAIL]")).otherwise(text)
+    return F.regexp_replace(mailless, MOBILE, "[PHONE]")
 
 
 def contact_counts(text: Column) -> tuple[Column, Column]:
@@ -83,14 +83,14 @@ def contact_counts(text: Column) -> tuple[Column, Column]:
     return F.regexp_count(text, F.lit(EMAIL)), F.regexp_count(F.regexp_replace(text, EMAIL, "[EMAIL]"), F.lit(MOBILE))
 
 
-def single_spaced(text: Column) -> Column:
-    """Runs of white space as one space, none at either end."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+@F.pandas_udf(T.StringType())
+def _canonical(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: " ".join((t if t.isascii() else unicodedata.normalize("NFC", t)).split()), na_action="ignore")
 
 
 def canonical(text: Column) -> Column:
-    """Key under which texts are the same: NFC and single spaced. The text itself stays as it is."""
-    return single_spaced(nfc(text))
+    """Key under which texts are the same: NFC, runs of white space as one space, none at either end. The text itself stays as it is."""
+    return _canonical(text)
 
 
 def digest(canonical_text: Column) -> Column:

@@ -22,7 +22,7 @@ from gristmill.plans.shared import Scratch
 from gristmill.session import spread
 
 #: Chance to miss a pair whose similarity is just the threshold, and the most bands worth their shuffle.
-MISS, MOST_BANDS = 1e-7, 40
+MISS, MOST_BANDS = 1e-7, 30
 
 
 def banding(threshold: float) -> tuple[int, int]:
