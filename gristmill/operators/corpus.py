@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "<unk>"
-#: Texts that the tokenizer library encodes at once.
-LOT = 64
+#: Fixed value: how byte-level vocabularies cut a text before they merge.
+PRESPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MENU_WORDS = ("목록", "이전 글", "다음 글", "로그인", "회원가입", "닫기", "확인", "메뉴", "Home", "Login", "Sign up", "Menu", "Next", "Previous", "Copyright")
 
 
@@ -70,44 +71,76 @@ def tokenizer_folder() -> str:
     return os.environ.get("GRISTMILL_TOKENIZERS", "/opt/tokenizers")
 
 
+class Tokenizer:
+    """A public tokenizer file: byte-level ranks by their library if there are such, else a described tokenizer. Strings of special tokens are
+    ordinary text."""
+
+    def __init__(self, name: str, folder: str):
+        if os.path.exists(f"{folder}/{name}.tiktoken"):
+            import tiktoken
+
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(f"{folder}/{name}.tiktoken", "rb"))}
+            library = tiktoken.Encoding(name, pat_str=PRESPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.encode, self.decode = library.encode_ordinary, library.decode
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer as Described
+
+            library = Described.from_file(f"{folder}/{name}.json")
+            library.encode_special_tokens = True
+            self.encode = lambda text: library.encode(text, add_special_tokens=False).ids
+            self.decode = lambda ids: library.decode(ids, skip_special_tokens=False)
+
+
+_tokenizers: dict[tuple[str, str], Tokenizer] = {}
+
+
+def tokenizer(name: str, folder: str) -> Tokenizer:
+    """A tokenizer, loaded once a worker."""
+    if (name, folder) not in _tokenizers:
+        _tokenizers[name, folder] = Tokenizer(name, folder)
+    return _tokenizers[name, folder]
+
+
 def encoder(name: str, folder: str | None = None):
-    """Arrow UDF text -> ids by a public tokenizer file of the ``tokenizers`` library, loaded once a worker. Strings of special tokens are
-    ordinary text; null and empty give an empty list."""
-    path = f"{folder or tokenizer_folder()}/{name}.json"
-    loaded: dict = {}
+    """Arrow UDF text -> ids by a public tokenizer; null and empty give an empty list."""
+    at = folder or tokenizer_folder()
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        if path not in loaded:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            loaded[path] = Tokenizer.from_file(path)
-            loaded[path].encode_special_tokens = True
-        given, found = texts.fillna("").tolist(), []
-        for at in range(0, len(given), LOT):  # the library keeps much beside the ids, so lots are small
-            found += [np.array(e.ids, dtype=np.int32) for e in loaded[path].encode_batch(given[at : at + LOT], add_special_tokens=False)]
-        return pd.Series(found)
+        encode = tokenizer(name, at).encode
+        return pd.Series([np.array(encode(t), dtype=np.int32) for t in texts.fillna("")])
 
     return ids
 
 
 def decoder(name: str, folder: str | None = None):
     """Arrow UDF ids -> text, the inverse of ``encoder``."""
-    path = f"{folder or tokenizer_folder()}/{name}.json"
-    loaded: dict = {}
+    at = folder or tokenizer_folder()
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        if path not in loaded:
-            from tokenizers import Tokenizer
-
-            loaded[path] = Tokenizer.from_file(path)
-        return pd.Series([loaded[path].decode(x.tolist(), skip_special_tokens=False) for x in ids])
+        decode = tokenizer(name, at).decode
+        return pd.Series([decode(x.tolist()) for x in ids])
 
     return text
 
 
+def measurer(name: str, folder: str | None = None):
+    """Arrow UDF text -> (tokens, whether decoding gives the text again), so that no ids leave Python."""
+    at = folder or tokenizer_folder()
+
+    @F.pandas_udf("tokens int, same boolean")
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        t, rows = tokenizer(name, at), []
+        for text in texts.fillna(""):
+            ids = t.encode(text)
+            rows.append((len(ids), t.decode(ids) == text))
+        return pd.DataFrame(rows, columns=["tokens", "same"])
+
+    return measured
+
+
 def splitter(pattern: str = r"\s*\S+|\s+$"):
     """Expression that cuts a text into pieces that together are the text; other splitters plug in as any function of a column. No
     Korean morphological analyser is installed, so there is none here."""
@@ -125,11 +158,11 @@ def token_document(ids: Column, bos: int, eos: int) -> Column:
 
 
 def tokenizer_report(measured: DataFrame) -> DataFrame:
-    """(domain, documents, tokens, utf8_bytes, characters, roundtrip_failures, tokens_per_byte) of rows (domain, text, ids, decoded);
+    """(domain, documents, tokens, utf8_bytes, characters, roundtrip_failures, tokens_per_byte) of rows (domain, text, tokens, same);
     empty texts are left out."""
     per = measured.where("text <> ''").groupBy(F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(
-        F.count("*").alias("documents"), F.sum(F.size("ids")).alias("tokens"), F.sum(F.octet_length("text")).alias("utf8_bytes"), F.sum(F.length("text")).alias("characters"),
-        F.count_if(F.col("decoded") != F.col("text")).alias("roundtrip_failures"),
+        F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.octet_length("text")).alias("utf8_bytes"), F.sum(F.length("text")).alias("characters"),
+        F.count_if(~F.col("same")).alias("roundtrip_failures"),
     )
     return per.withColumn("tokens_per_byte", F.col("tokens") / F.col("utf8_bytes"))
 

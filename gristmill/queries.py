@@ -400,8 +400,8 @@ def t06_broken_pieces(spark, d):
 @query()
 def a05_tokenizer_report(spark, d):
     """Documents, tokens, bytes and round-trip failures by domain."""
-    ids = _spread(spark, d).select("domain", "text", corpus.encoder("byte_bpe_50k")(F.col("text")).alias("ids"))
-    return corpus.tokenizer_report(ids.withColumn("decoded", corpus.decoder("byte_bpe_50k")(F.col("ids"))))
+    rows = _spread(spark, d).select("domain", "text", corpus.measurer("byte_bpe_50k")(F.col("text")).alias("m"))
+    return corpus.tokenizer_report(rows.select("domain", "text", "m.tokens", "m.same"))
 
 
 # ---- windows, packing, order ------------------------------------------------------------------------------------------------------
