@@ -8,6 +8,7 @@ them, two sets of similarity t or more share one of their first n - ceil(t n) +
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -46,13 +47,19 @@ def signature(text: str, hashes: int) -> tuple[int, np.ndarray]:
     base ^= base >> np.uint64(29)
     base *= np.uint64(0xBF58476D1CE4E5B9)
     mixed = (base >> np.uint64(32)).astype(np.uint32)
-    drawn = np.random.default_rng(20260101).integers(0, 1 << 32, size=(2, hashes, 1), dtype=np.uint32)
+    factors = _factors(hashes)
     minima = np.full(hashes, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for at in range(0, len(mixed), 2048):  # a table of at most hashes x 2,048
-        np.minimum(minima, (mixed[None, at : at + 2048] * (drawn[0] | np.uint32(1)) + drawn[1]).min(axis=1), out=minima)
+    for at in range(0, len(mixed), 512):  # a table of at most hashes x 512, which stays in the cache
+        np.minimum(minima, (mixed[None, at : at + 512] * factors).min(axis=1), out=minima)
     return len(base), minima
 
 
+@functools.cache
+def _factors(hashes: int) -> np.ndarray:
+    """Odd factors: each permutes the 32-bit numbers, which are well mixed before."""
+    return np.random.default_rng(20260101).integers(0, 1 << 32, size=(hashes, 1), dtype=np.uint32) | np.uint32(1)
+
+
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key a band from its minima."""
     keys = np.zeros(bands, dtype=np.uint64)
