@@ -69,8 +69,9 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b, jaccard), a < b, for the pairs of different texts (digest, key) of similarity ``threshold`` or more; copies count once.
+def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch, raw: bool = False) -> DataFrame:
+    """(a, b, jaccard), a < b, for the pairs of different texts (digest, key) of similarity ``threshold`` or more; copies count once. With
+    ``raw``, key is the text as it stands, and digest that of its canonical form.
 
     Texts travel as numbers; candidates must fit in size, then agree in as many low bytes of their minima as a pair at the threshold does
     but for a chance below MISS, and only the rest fetch their texts and are compared shingle by shingle.
@@ -93,7 +94,8 @@ def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFram
         left, right = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, hashes) for s in (x, y))
         return pd.Series((left == right).sum(axis=1).astype(np.int32))
 
-    signed = spread(texts.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
+    keyed = texts.withColumn("key", X.canonical(F.col("key"))) if raw else texts
+    signed = spread(keyed.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
     signed = scratch.keep(signed.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "signed")
     banded = signed.select("id", "n", F.posexplode("keys").alias("band", "k"))
     side = lambda x: banded.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "band", "k")
@@ -104,6 +106,8 @@ def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFram
     kept = scratch.keep(likely_pairs, "likely")
     wanted = kept.select(F.col("da").alias("digest")).unionAll(kept.select(F.col("db").alias("digest"))).distinct()
     fetched = texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    if raw:  # canonical again, but only for these
+        fetched = fetched.withColumn("key", X.canonical(F.col("key")))
     sets = scratch.keep(fetched.select("digest", X.shingles(F.col("key")).alias("s")), "shingles")
     one, other = sets.select(F.col("digest").alias("da"), F.col("s").alias("sa")), sets.select(F.col("digest").alias("db"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))

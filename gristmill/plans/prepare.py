@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions import text as X
 from gristmill.operators import duplicates, preparation
 from gristmill.operators.preparation import Settings
 from gristmill.plans.shared import Scratch
@@ -48,8 +47,8 @@ def prepare(records: DataFrame, settings: Settings, html_in_code: str = "error")
     arrivals = kept.select("content_sha256", F.col("group_id").alias("external"))
     pairs = None
     if settings.near_duplicate_grouping:
-        texts = kept.select(F.col("content_sha256").alias("digest"), X.canonical(F.col("text")).alias("key"))
-        pairs = scratch.keep(duplicates.near_pairs(texts, settings.near_duplicate_jaccard, scratch), "pairs")
+        texts = kept.select(F.col("content_sha256").alias("digest"), F.col("text").alias("key"))
+        pairs = scratch.keep(duplicates.near_pairs(texts, settings.near_duplicate_jaccard, scratch, raw=True), "pairs")
     groups = duplicates.membership(arrivals, pairs, scratch).withColumnRenamed("group", "group_id")
     decided = first.join(groups, "content_sha256").withColumn("split", preparation.hash_split(F.col("group_id"), settings))
     clean = kept.drop("reason").withColumnRenamed("group_id", "external_group").join(scratch.keep(decided, "decided"), ["content_sha256", "ordinal"])
