@@ -104,14 +104,32 @@ def folded_label(label: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(label, r"(?U)^[\s\x1c-\x1f]*([0-9a-fA-F]{64})[\s\x1c-\x1f]*$", 1), F.lit("")))
 
 
+def _first_free(tables: list[tuple[DataFrame, str]]) -> tuple[int, int]:
+    """(number, step): numbers from there on in steps, which no id of the tables has. Ids may be any 64-bit numbers, but not reach into the
+    last quarter of them at both ends."""
+    ends = [t.agg(F.min(c).alias("lo"), F.max(c).alias("hi")) for t, c in tables]
+    found = ends[0]
+    for more in ends[1:]:
+        found = found.unionAll(more)
+    lo, hi = found.agg(F.min("lo"), F.max("hi")).first()
+    lo, hi = min(0, lo or 0), max(0, hi or 0)
+    if lo > -(1 << 62):
+        return lo - 1, -1
+    if hi < 1 << 62:
+        return hi + 1, 1
+    raise ValueError("ids take up the whole range of 64-bit numbers")
+
+
 def record_ties(docs: DataFrame, links: DataFrame, aliases: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(a, b) ties between record ids. A label stands for its smallest record id; a label that no record has gets a negative
-    number, written once so that it cannot change; an external key ties its labels to the least of their numbers."""
-    labelled = docs.select("id", folded_label(F.col("group_id")).alias("label")).where("id is not null and label is not null").distinct()
+    """(a, b) ties between record ids. A label stands for its smallest record id; a label that no record has gets a number that
+    no record and no end of a link has, written once so that it cannot change; an external key ties its labels to the least of
+    their numbers."""
+    labelled = docs.select("id", folded_label(F.col("group_id")).alias("label")).where("id is not null and label is not null")
     named = aliases.select(_folded_key(F.col("external_group")).alias("key"), folded_label(F.col("group_id")).alias("label"))
     named = scratch.keep(named.where("key is not null and label is not null").distinct(), "named")
+    free, step = _first_free([(docs, "id"), (links, "left_id"), (links, "right_id")])
     first = labelled.unionAll(named.select(F.lit(None).cast("bigint").alias("id"), "label")).groupBy("label").agg(F.min("id").alias("rep"))
-    first = scratch.keep(first.withColumn("rep", F.coalesce("rep", -1 - F.monotonically_increasing_id())), "labels")
+    first = scratch.keep(first.withColumn("rep", F.coalesce("rep", F.lit(free) + step * F.monotonically_increasing_id())), "labels")
     by_label = labelled.join(first, "label").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     keyed = named.join(first, "label").select("key", "rep").distinct()
     by_key = keyed.join(keyed.groupBy("key").agg(F.min("rep").alias("least")), "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
@@ -129,7 +147,7 @@ def jaccard_threshold(preparation: DataFrame) -> float:
 def record_groups(docs: DataFrame, links: DataFrame, aliases: DataFrame, preparation: DataFrame) -> DataFrame:
     """(id, root_id): one row per distinct record id; root_id is the smallest record id of its group, itself if it is alone.
 
-    Null ids are no records. Repeated rows, empty tables, further columns and ties through ids without a record are allowed.
+    Null ids are no records; negative ids are ids like others. Repeated rows, empty tables, further columns and ties through ids without a record are allowed.
     A hot group costs no more than any other: minima are combined before the shuffle and the joins back to the members may be
     split by the adaptive skew join.
     """

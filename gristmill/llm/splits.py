@@ -6,14 +6,15 @@ the lightest of the other, until one packing is left; whole bins are then handed
 
 Only the histogram of weights (how many groups have 1, 2, 3 ... records) goes to the driver. It has at most sqrt(2n) lines for n
 records, at ten billion records under 142,000. Groups of equal weight are interchangeable, so the plan is made on the
-histogram: of c groups of one weight, every bin takes c // bins, and only the rest enters the differencing. Every group then
-finds its own bin from its rank among the groups of its weight.
+histogram: of c groups of one weight, every bin takes c // bins, and only the rest, at most sqrt(2 bins n) groups, enters the
+differencing: the HEAVIEST of it one by one, the others in runs of one item a bin. That is at most HEAVIEST + sqrt(2n / bins)
+vectors of ``bins`` sums: 12,000 vectors or 20 MB at ten billion records. Every group then finds its own bin from its rank
+among the groups of its weight.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -26,44 +27,52 @@ SPLITS = ("train", "validation", "test")
 BINS = 200
 #: Groups of one weight are ranked within buckets of about this many, so that no task ranks them all.
 BUCKET = 100_000
+#: Left-over groups that enter the differencing each by itself, the heaviest first.
+HEAVIEST = 2_000
 
 
 def difference(weights: list[int], bins: int) -> tuple[np.ndarray, np.ndarray]:
     """Largest differencing of ``weights`` into ``bins``: (bin of each weight, sum of each bin).
 
-    A partial packing is a vector of bin sums, of which only the spread matters for the order. Ties go to the older packing, so
-    the result is a function of the input.
+    A partial packing is a vector of bin sums in descending order; only its spread matters for the order in which packings are
+    combined. To begin with, each of the HEAVIEST weights is a packing of its own, and each run of ``bins`` of the others, in descending
+    order, is one with an item a bin. Ties go to the older packing, so the result is a function of the input.
     """
+    bin_of = np.zeros(len(weights), dtype=np.int64)
     if not weights:
-        return np.zeros(0, dtype=np.int64), np.zeros(bins, dtype=np.int64)
-    # Packings: sums in descending order with, for each bin, the chain of members as a linked list (tail, head) over weights.
-    turn = itertools.count()
-    heap = []
-    link = np.full(len(weights), -1, dtype=np.int64)
-    for i, w in enumerate(weights):
-        sums = np.zeros(bins, dtype=np.int64)
-        first, last = np.full(bins, -1, dtype=np.int64), np.full(bins, -1, dtype=np.int64)
-        sums[0], first[0], last[0] = w, i, i
-        heap.append((-int(w), next(turn), sums, first, last))
+        return bin_of, np.zeros(bins, dtype=np.int64)
+    falling = np.argsort(-np.asarray(weights, dtype=np.int64), kind="stable")
+    cuts = [*range(min(HEAVIEST, len(weights))), *range(HEAVIEST, len(weights), bins), len(weights)]
+    sums: list[np.ndarray | None] = []
+    #: Of a packing at the start, its members; of a combined one, both parts and how the bins were sorted after.
+    made: list[np.ndarray | tuple[int, int, np.ndarray]] = []
+    for a, b in zip(cuts, cuts[1:]):
+        held = np.zeros(bins, dtype=np.int64)
+        held[: b - a] = np.asarray(weights, dtype=np.int64)[falling[a:b]]
+        sums.append(held)
+        made.append(falling[a:b])
+    heap = [(int(s[-1] - s[0]), k) for k, s in enumerate(sums)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, _, s1, f1, l1 = heapq.heappop(heap)
-        _, _, s2, f2, l2 = heapq.heappop(heap)
-        s2, f2, l2 = s2[::-1], f2[::-1], l2[::-1]
-        joined = (l1 >= 0) & (f2 >= 0)
-        link[l1[joined]] = f2[joined]
-        sums, first, last = s1 + s2, np.where(f1 >= 0, f1, f2), np.where(l2 >= 0, l2, l1)
-        order = np.argsort(-sums, kind="stable")
-        sums, first, last = sums[order], first[order], last[order]
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), next(turn), sums, first, last))
-    _, _, sums, first, _ = heap[0]
-    bin_of = np.empty(len(weights), dtype=np.int64)
-    for b in range(bins):
-        i = first[b]
-        while i >= 0:
-            bin_of[i] = b
-            i = link[i]
-    return bin_of, sums
+        (_, i), (_, j) = heapq.heappop(heap), heapq.heappop(heap)
+        both = sums[i] + sums[j][::-1]
+        order = np.argsort(-both, kind="stable")
+        sums[i] = sums[j] = None
+        sums.append(both[order])
+        made.append((i, j, order.astype(np.int32)))
+        heapq.heappush(heap, (int(sums[-1][-1] - sums[-1][0]), len(sums) - 1))
+    top = heap[0][1]
+    todo = [(top, np.arange(bins))]
+    while todo:
+        k, places = todo.pop()
+        if isinstance(made[k], tuple):
+            i, j, order = made[k]
+            before = np.empty(bins, dtype=np.int64)
+            before[order] = places
+            todo += [(i, before), (j, before[::-1])]
+        else:
+            bin_of[made[k]] = places[: len(made[k])]
+    return bin_of, sums[top]
 
 
 def plan(histogram: dict[int, int], bins: int) -> tuple[dict[int, tuple[int, list[int]]], int, np.ndarray]:
@@ -118,17 +127,14 @@ def balanced_bins(groups: DataFrame, scratch: Scratch, bins: int = BINS) -> tupl
     histogram = {int(w): int(c) for w, c in groups.groupBy("weight").count().collect()}  # at most sqrt(2n) lines
     taken, even_bins, sums = plan(histogram, bins)
     buckets = max(1, -(-sum(histogram.values()) // BUCKET))
-    bucket = F.pmod(F.xxhash64("root_id"), F.lit(buckets)).cast("int")
-    spread = groups.withColumn("bucket", bucket)
-    sizes = {}
-    for w, b, c in spread.groupBy("weight", "bucket").count().collect() if buckets > 1 else []:  # weights x buckets
-        sizes.setdefault(int(w), {})[int(b)] = int(c)
-    before = [(w, b, sum(c for k, c in by.items() if k < b)) for w, by in sizes.items() for b in by]
+    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("root_id"), F.lit(buckets)).cast("int"))
     rank = F.row_number().over(Window.partitionBy("weight", "bucket").orderBy("root_id")) - 1
-    ranked = spread.withColumn("rank", rank.cast("bigint"))
-    if before:
-        offsets = spark.createDataFrame(before, "weight bigint, bucket int, before bigint")
-        ranked = ranked.join(offsets, ["weight", "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before")
+    ranked = dealt.withColumn("rank", rank.cast("bigint"))
+    if buckets > 1:
+        # Groups of a weight in the buckets before: at most a row a bucket and weight, each weight's in one task.
+        earlier = F.sum("n").over(Window.partitionBy("weight").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = dealt.groupBy("weight", "bucket").agg(F.count("*").alias("n")).select("weight", "bucket", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+        ranked = ranked.join(offsets, ["weight", "bucket"]).withColumn("rank", F.col("rank") + F.col("earlier")).drop("earlier")
     rest = spark.createDataFrame([(w, e, t) for w, (e, t) in taken.items()], "weight bigint, even bigint, taken array<int>")
     placed = ranked.join(rest, "weight").withColumn(
         "bin",

@@ -136,3 +136,24 @@ def test_one_group_holds_everything(spark):
     docs = spark.createDataFrame([(i, label(1), "train") for i in range(50)], DOCS)
     rows = splits.group_splits(docs, spark.createDataFrame([], LINKS), spark.createDataFrame([], ALIASES), prepared(spark)).collect()
     assert {(r["split"], r["root_id"], r["torn"]) for r in rows} == {("train", 0, False)}
+
+
+@pytest.mark.parametrize("far", [0, 1])
+def test_negative_ids_are_no_labels(spark, far):
+    """An alias key ties the label of a record to one that no record has; records of negative ids stay by themselves."""
+    low = -(1 << 63) if far else -2
+    docs = spark.createDataFrame([(-1, None, None), (low, label(7), None), (5, label(5), None)], DOCS)
+    aliases = spark.createDataFrame([("s:1", label(5)), ("s:1", label(6)), ("s:2", label(6)), ("s:2", label(8))], ALIASES)
+    got = {r["id"]: r["root_id"] for r in components.record_groups(docs, spark.createDataFrame([], LINKS), aliases, prepared(spark)).collect()}
+    assert got == {-1: -1, low: low, 5: 5}
+
+
+def test_many_left_over_groups_stay_cheap():
+    import tracemalloc
+
+    histogram = {w: 199 for w in range(1, 2000)}
+    tracemalloc.start()
+    taken, even_bins, sums = splits.plan(histogram, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and sums.sum() == sum(w * c for w, c in histogram.items()) and sums.max() - sums.min() < 20
