@@ -70,18 +70,17 @@ def components(edges: DataFrame, scratch: Scratch, rate: float = RATE, rounds: i
 
 
 def _grow(edges: DataFrame, level: int, rate: float, rounds: int) -> DataFrame:
-    """(v, centre) after ``rounds`` hops of growth."""
+    """(v, centre) after ``rounds`` hops of growth. State is two plain numbers, so that every aggregation is by hashes; which of two
+    centres at one and the same distance wins does not matter to the result, and head starts of 52 bits hardly ever tie."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # Hop one needs no join: the head start of a neighbour is a function of its id.
-    own = F.struct((-_start(F.col("v"), level, rate)).alias("at"), F.col("v").alias("centre"))
-    near = F.struct((1 - _start(F.col("u"), level, rate)).alias("at"), F.col("u").alias("centre"))
-    state = both.groupBy("v").agg(F.min(near).alias("near")).select("v", F.least(own, F.col("near")).alias("best"))
+    near = both.select("v", "u", (1 - _start(F.col("u"), level, rate)).alias("at")).groupBy("v").agg(F.min_by("u", "at").alias("centre"), F.min("at").alias("at"))
+    own = -_start(F.col("v"), level, rate)
+    state = near.select("v", F.when(own <= F.col("at"), F.col("v")).otherwise(F.col("centre")).alias("centre"), F.least(own, F.col("at")).alias("at"))
     for _ in range(rounds - 1):
-        sent = both.join(state.select(F.col("v").alias("u"), "best"), "u").select(
-            "v", F.struct((F.col("best.at") + 1).alias("at"), F.col("best.centre").alias("centre")).alias("best")
-        )
-        state = sent.unionAll(state).groupBy("v").agg(F.min("best").alias("best"))
-    return state.select("v", F.col("best.centre").alias("centre"))
+        sent = both.join(state.withColumnRenamed("v", "u"), "u").select("v", "centre", (F.col("at") + 1).alias("at"))
+        state = sent.unionAll(state).groupBy("v").agg(F.min_by("centre", "at").alias("centre"), F.min("at").alias("at"))
+    return state.select("v", "centre")
 
 
 @F.pandas_udf(T.StringType())
