@@ -1,10 +1,11 @@
 """Evaluation texts that leaked into training text.
 
 Every part of a test item (text, prompt, each answer) is brought to NFKC, lower case, letters and digits only. Seeds are its
-rarest 16-grams: of the grams in every window of 22 characters the one that the fewest corpus documents contain (counted over
-the whole corpus), so that any 22 characters in common with a document, and so any 30, contain a seed. Seeds that occur in a document start
-a Smith-Waterman alignment of the part along their diagonal; it scores paraphrased and edited copies and counts the longest
-run without an edit.
+rarest grams, counted over the whole corpus: of the 16-grams in every window of 22 characters the one that the fewest documents contain, so
+that any 22 characters in common with a document, and so any 30, contain a seed; and of the 8-grams in every window of 10 likewise,
+for edited copies, of which a document must hold two on nearby diagonals. A seed, or two short ones, start a Smith-Waterman
+alignment along their diagonal over as much of the part as has seeds, and MARGIN more on both sides; it scores paraphrased and
+edited copies and counts the longest run without an edit.
 
 The suite is the stated query set: it is taken in blocks of bounded size, each broadcast to the tasks; the corpus is read twice
 a block and nothing of it is shuffled but the counts of suite grams and the rows found.
@@ -22,18 +23,20 @@ from pyspark.sql import functions as F
 
 from gristmill.session import spread
 
-GRAM = 16
-#: Fewest consecutive characters in common that make a leak, and the fewest that are sure to hold a seed.
-RUN, WINDOW = 30, 22
+GRAM, SHORT = 16, 8
+#: Fewest consecutive characters in common that make a leak, the fewest that are sure to hold a seed, and a short seed.
+RUN, WINDOW, SHORT_WINDOW = 30, 22, 10
+#: Two short seeds: how far apart they may lie in the part, and by how much their diagonals may differ.
+NEAR, SHIFT = 96, 16
 #: Alignment: score of a match, a mismatch and a gap. RUN matches alone reach MIN_SCORE, so no exact passage is lost.
-MATCH, MISMATCH, GAP = 2, -2, -2
+MATCH, MISMATCH, GAP = 2, -1, -2
 MIN_SCORE = MATCH * RUN
-#: Diagonals to either side of a seed's that an alignment may use.
-BAND = 24
-#: Parts are aligned in pieces of this many characters that overlap by OVERLAP (at least RUN).
-PIECE, OVERLAP = 512, 64
-#: Normalised characters of suite in one broadcast block, and of documents in one pass of the seed search.
-BLOCK, CHUNK = 1_000_000, 2_000_000
+#: Diagonals to either side of a seed's that an alignment may use, and characters of the part before the first and after the last seed.
+BAND, MARGIN = 24, 128
+#: Of equal seeds closer than this one stands for all, in a part and in a document; twice this is within the band.
+STEP = BAND // 2
+#: Normalised characters of suite in one broadcast block, of documents in one pass of the seed search, and cells of one lot of alignments.
+BLOCK, CHUNK, CELLS = 4_000_000, 2_000_000, 500_000
 FOUND = "doc_id bigint, item_id string, score int, run int"
 
 _P = 0x9E3779B97F4A7C15
@@ -51,18 +54,20 @@ def codes(text: str) -> np.ndarray:
     return found[_alnum[found]]
 
 
-def gram_hashes(c: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM code points from each position on; built by doubling, so GRAM is a power of two."""
+def gram_hashes(c: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of the SHORT and of the GRAM code points from each position on; built by doubling, so both are powers of two."""
     h = c.astype(np.uint64)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    width, power = 1, _P
+    width, power, out = 1, _P, {}
     while width < GRAM:
-        h = h[:-width] * np.uint64(power) + h[width:]
+        h = h[:-width] * np.uint64(power) + h[width:] if len(h) > width else h[:0]
         width, power = width * 2, power * power % (1 << 64)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h
+        if width in (SHORT, GRAM):
+            mixed = h ^ (h >> np.uint64(29))
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            out[width] = mixed
+    return out
 
 
 class Seeds:
@@ -114,61 +119,85 @@ def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Suite:
-    """The parts of one block of test items, cut to pieces, with their grams."""
+    """The parts of one block of test items with their grams, and where the seeds among them stand."""
 
     def __init__(self, parts: dict[bytes, list[str]]):
         self.items = list(parts.values())
-        texts = [np.frombuffer(k, dtype=np.uint32) for k in parts]
-        self.pieces, self.part_of = [], []
-        for p, t in enumerate(texts):
-            for s in range(0, max(1, len(t) - OVERLAP), PIECE - OVERLAP):
-                if len(t[s : s + PIECE]) >= RUN:
-                    self.pieces.append(t[s : s + PIECE])
-                    self.part_of.append(p)
-        self.grams = [gram_hashes(t) for t in self.pieces]
-
-    def all_grams(self) -> np.ndarray:
-        return np.concatenate(self.grams) if self.grams else np.zeros(0, dtype=np.uint64)
-
-    def choose(self, frequency: dict[int, int]) -> None:
-        """Keep as seeds the rarest gram of every window of WINDOW characters; of equally rare ones the smallest hash."""
-        hashes, piece, offset = [], [], []
-        width = WINDOW - GRAM + 1
-        for k, g in enumerate(self.grams):
-            rank = np.array([frequency.get(int(x), 0) for x in g], dtype=np.float64)
-            order = np.lexsort((g, rank))
+        self.parts = [np.frombuffer(k, dtype=np.uint32) for k in parts]
+        self.grams = [gram_hashes(t) for t in self.parts]
+
+    def all_grams(self, width: int) -> np.ndarray:
+        return np.concatenate([g[width] for g in self.grams]) if self.grams else np.zeros(0, dtype=np.uint64)
+
+    def choose(self, counted: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """Keep as seeds the rarest gram of every window; of equally rare ones the smallest hash. ``counted``: for each width the
+        sorted hashes and how many documents have each."""
+        self.seeds = {w: self._seeds(w, window, *counted[w]) for w, window in ((GRAM, WINDOW), (SHORT, SHORT_WINDOW))}
+        self.grams = []
+
+    def _seeds(self, width: int, window: int, known: np.ndarray, documents: np.ndarray) -> Postings:
+        hashes, parts, offsets = [], [], []
+        for k, grams in enumerate(self.grams):
+            g = grams[width]
+            rank = documents[np.searchsorted(known, g)]
             place = np.empty(len(g), dtype=np.int64)
-            place[order] = np.arange(len(g))
-            windows = np.lib.stride_tricks.sliding_window_view(place, width)
+            place[np.lexsort((g, rank))] = np.arange(len(g))
+            windows = np.lib.stride_tricks.sliding_window_view(place, min(len(g), window - width + 1))
             chosen = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+            order = np.lexsort((chosen, g[chosen]))
+            chosen = np.sort(chosen[order][_first_of_each(g[chosen][order], chosen[order] // STEP)])
             hashes.append(g[chosen])
-            piece.append(np.full(len(chosen), k))
-            offset.append(chosen)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
-        self.seeds = Seeds(h)
-        where = np.searchsorted(self.seeds.hashes, h)
+            parts.append(np.full(len(chosen), k))
+            offsets.append(chosen)
+        return Postings(*[np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in ((hashes, np.uint64), (parts, np.int64), (offsets, np.int64))])
+
+
+def _first_of_each(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted keys differs from the row before."""
+    out = np.ones(len(keys[0]), dtype=bool)
+    if len(out):
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
+class Postings:
+    """Seeds and the places in parts that have them."""
+
+    def __init__(self, hashes: np.ndarray, parts: np.ndarray, offsets: np.ndarray):
+        self.seeds = Seeds(hashes)
+        where = np.searchsorted(self.seeds.hashes, hashes)
         order = np.argsort(where, kind="stable")
         self.first = np.searchsorted(where[order], np.arange(len(self.seeds.hashes) + 1))
-        self.piece = np.concatenate(piece)[order] if hashes else np.zeros(0, dtype=np.int64)
-        self.offset = np.concatenate(offset)[order] if hashes else np.zeros(0, dtype=np.int64)
-        self.grams = []
+        self.part, self.offset = parts[order], offsets[order]
+
+    def find(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in h, part, offset in the part) for each place of each seed; of a seed that stands several times within STEP characters of a
+        document, as in runs of one letter, the first will do: the others lie in its band."""
+        at, seed = self.seeds.find(h)
+        document = np.searchsorted(starts, at, side="right")
+        order = np.lexsort((at, seed, document))
+        first = _first_of_each(document[order], seed[order], at[order] // STEP)
+        at, seed = at[order][first], seed[order][first]
+        times = self.first[seed + 1] - self.first[seed]
+        posting = np.repeat(self.first[seed], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        return np.repeat(at, times), self.part[posting], self.offset[posting]
 
 
 def align(
-    pieces: list[np.ndarray], text: np.ndarray, piece_of: np.ndarray, diagonal: np.ndarray, begin: np.ndarray, end: np.ndarray
+    parts: list[np.ndarray], text: np.ndarray, part_of: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, begin: np.ndarray, end: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Smith-Waterman along a band around each (piece, diagonal = place in text - place in piece): (scores, longest runs). An alignment
-    stays within its document, from ``begin`` to before ``end`` of the joined text.
+    """Smith-Waterman along a band around each (part from ``low`` to before ``high``, diagonal = place in text - place in part): (scores,
+    longest runs). An alignment stays within its document, from ``begin`` to before ``end`` of the joined text.
 
     All alignments go row by row together. A band's columns are diagonals: the cell above lies one column to the right, the cell
     diagonally before lies in the same column, and gaps along the row are a running maximum.
     """
     width = 2 * BAND + 1
-    n, longest = len(piece_of), max(len(pieces[p]) for p in piece_of)
+    n, longest = len(part_of), int((high - low).max())
     own = np.zeros((n, longest), dtype=np.uint32)
-    for i, p in enumerate(piece_of):
-        own[i, : len(pieces[p])] = pieces[p]
-    reach = diagonal[:, None] - BAND + np.arange(width)[None, :]
+    for i, (p, a, b) in enumerate(zip(part_of.tolist(), low.tolist(), high.tolist())):
+        own[i, : b - a] = parts[p][a:b]
+    reach = (diagonal + low)[:, None] - BAND + np.arange(width)[None, :]
     slope = (-GAP * np.arange(width)).astype(np.int32)
     score = np.zeros((n, width), dtype=np.int32)
     run = np.zeros((n, width), dtype=np.int32)
@@ -188,51 +217,87 @@ def align(
     return best, longest_run
 
 
+def _hits(suite: Suite, joined: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, part, diagonal, offset) of what may start an alignment, in this order: long seeds, and short ones with another nearby."""
+    found = []
+    for width, h in gram_hashes(joined).items():
+        place, part, offset = suite.seeds[width].find(h, starts)
+        document, diagonal = np.searchsorted(starts, place, side="right") - 1, place - offset
+        order = np.lexsort((offset, diagonal, part, document))
+        hit = np.stack([document[order], part[order], diagonal[order], offset[order]])
+        if width == SHORT and hit.shape[1]:
+            paired = np.zeros(hit.shape[1], dtype=bool)
+            for lag in range(1, 9):
+                one, other = hit[:, :-lag], hit[:, lag:]
+                apart = np.abs(one[3] - other[3])
+                near = (one[0] == other[0]) & (one[1] == other[1]) & (other[2] - one[2] <= SHIFT) & (apart >= SHORT) & (apart <= NEAR)
+                paired[:-lag] |= near
+                paired[lag:] |= near
+            hit = hit[:, paired]
+        found.append(hit)
+    both = np.concatenate(found, axis=1)
+    return tuple(both[:, np.lexsort((both[2], both[1], both[0]))])
+
+
+def _bands(document: np.ndarray, part: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Where, in sorted hits, a new band of diagonals begins: at another document or part, or more than BAND beyond the band's first one."""
+    begins, last = [], None
+    for i, key in enumerate(zip(document.tolist(), part.tolist(), diagonal.tolist())):
+        if last is None or key[:2] != last[:2] or key[2] - last[2] > BAND:
+            begins.append(i)
+            last = key
+    return np.array(begins, dtype=np.int64)
+
+
 def _search(suite: Suite, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in _chunks(batches):
         joined, starts = _joined(texts)
-        at, seed = suite.seeds.find(gram_hashes(joined))
-        if not len(at):
+        document, part, diagonal, offset = _hits(suite, joined, starts)
+        if not len(document):
             continue
-        # One row for each place of each seed, then one alignment for each band of diagonals with a seed.
-        times = suite.first[seed + 1] - suite.first[seed]
-        posting = np.repeat(suite.first[seed], times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-        place = np.repeat(at, times)
-        piece, diagonal = suite.piece[posting], place - suite.offset[posting]
-        document = np.searchsorted(starts, place, side="right") - 1
-        order = np.lexsort((diagonal, piece, document))
-        document, piece, diagonal = document[order], piece[order], diagonal[order]
-        bands, last = [], None
-        for i, key in enumerate(zip(document.tolist(), piece.tolist(), diagonal.tolist())):
-            if last is None or key[:2] != last[:2] or key[2] - last[2] > BAND:
-                bands.append(i)
-                last = key
+        bands = _bands(document, part, diagonal)
+        sizes = np.array([len(p) for p in suite.parts])
+        low, high = np.maximum.reduceat(-offset, bands), np.maximum.reduceat(offset, bands)
+        document, part, diagonal = document[bands], part[bands], diagonal[bands]
+        low, high = np.maximum(0, -low - MARGIN), np.minimum(sizes[part], high + GRAM + MARGIN)
+        rows = high - low
+        order = np.argsort(rows, kind="stable")
+        # Lots of alignments of like length, of at most CELLS letters, or of one.
+        lots, lot = [], []
+        for i in order.tolist():
+            if lot and (len(lot) + 1) * rows[i] > CELLS:
+                lots.append(np.array(lot))
+                lot = []
+            lot.append(i)
+        lots.append(np.array(lot))
         found: dict[tuple[int, str], list[int]] = {}
-        for lot in np.array_split(np.array(bands), -(-len(bands) // 512)):
-            score, run = align(suite.pieces, joined, piece[lot], diagonal[lot], starts[document[lot]], starts[document[lot] + 1] - 1)
-            for d, p, s, r in zip(document[lot].tolist(), piece[lot].tolist(), score.tolist(), run.tolist()):
+        for lot in lots:
+            d, p = document[lot], part[lot]
+            score, run = align(suite.parts, joined, p, low[lot], high[lot], diagonal[lot], starts[d], starts[d + 1] - 1)
+            for d, p, s, r in zip(d.tolist(), p.tolist(), score.tolist(), run.tolist()):
                 if s >= MIN_SCORE:
-                    for item in suite.items[suite.part_of[p]]:
-                        kept = found.setdefault((ids[d], item), [0, 0])
+                    for item in suite.items[p]:
+                        kept = found.setdefault((d, item), [0, 0])
                         kept[:] = max(kept[0], s), max(kept[1], r)
         if found:
-            rows = [(d, i, s, r) for (d, i), (s, r) in found.items()]
+            columns = zip(*[(ids[d], i, s, r) for (d, i), (s, r) in found.items()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int32(), pa.int32()))],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32()))],
                 names=["doc_id", "item_id", "score", "run"],
             )
 
 
-def _count(seeds: Seeds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(seeds.hashes), dtype=np.int64)
+def _count(grams: dict[int, Seeds], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = {w: np.zeros(len(s.hashes), dtype=np.int64) for w, s in grams.items()}
     for _, texts in _chunks(batches):
         joined, starts = _joined(texts)
-        at, k = seeds.find(gram_hashes(joined))
-        document = np.searchsorted(starts, at, side="right") - 1
-        pairs = np.unique(document * len(seeds.hashes) + k)
-        total += np.bincount(pairs % max(1, len(seeds.hashes)), minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["gram", "n"])
+        for w, h in gram_hashes(joined).items():
+            at, k = grams[w].find(h)
+            document, n = np.searchsorted(starts, at, side="right") - 1, max(1, len(totals[w]))
+            totals[w] += np.bincount(np.unique(document * n + k) % n, minlength=len(totals[w]))
+    for w, total in totals.items():
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), w), pa.int32()), pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["width", "gram", "n"])
 
 
 def _blocks(suite: DataFrame) -> Iterator[dict[bytes, list[str]]]:
@@ -259,7 +324,8 @@ def _blocks(suite: DataFrame) -> Iterator[dict[bytes, list[str]]]:
 def leaked(documents: DataFrame, suite: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, run): one row per document and test item with an alignment of at least MIN_SCORE.
 
-    score is the best alignment of one part of the item, run the longest stretch of it without an edit. Null, empty and short
+    score is that of the best alignment of one part of the item within a band of diagonals (an insertion of more than BAND characters
+    begins another), run the longest stretch of it without an edit. Null, empty and short
     texts (under RUN letters and digits) give no row; null ids of documents are kept as null, items without an id are left out;
     an item given twice under one id gives one row; copies of a document each give their own. Texts of any length are searched
     whole. Empty tables give an empty result.
@@ -269,9 +335,16 @@ def leaked(documents: DataFrame, suite: DataFrame) -> DataFrame:
     out = None
     for parts in _blocks(suite):
         block = Suite(parts)
-        seeds = Seeds(block.all_grams())
-        counts = texts.mapInArrow(lambda b, s=seeds: _count(s, b), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        block.choose({int(seeds.hashes[g]): n for g, n in counts.collect()})  # at most one row per gram of the block
+        grams = {w: Seeds(block.all_grams(w)) for w in (GRAM, SHORT)}
+        counts = texts.mapInArrow(lambda b, g=grams: _count(g, b), "width int, gram bigint, n bigint").groupBy("width", "gram").agg(F.sum("n").alias("n"))
+        found = counts.toArrow()  # at most two rows a character of the block, as arrays
+        width, gram, n = (found.column(c).to_numpy() for c in ("width", "gram", "n"))
+        counted = {}
+        for w, s in grams.items():
+            documents_with = np.zeros(len(s.hashes), dtype=np.int64)
+            documents_with[gram[width == w]] = n[width == w]
+            counted[w] = s.hashes, documents_with
+        block.choose(counted)
         rows = texts.mapInArrow(lambda b, s=block: _search(s, b), FOUND)
         out = rows if out is None else out.unionAll(rows)
     if out is None:

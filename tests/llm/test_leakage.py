@@ -99,10 +99,59 @@ def test_long_text_and_empty_tables(spark):
     assert leakage.leaked(documents.limit(0), suite).count() == 0 and leakage.leaked(documents, suite.limit(0)).count() == 0
 
 
+def counted(suite, batch=None, drawn=None):
+    out = {}
+    for w in (leakage.GRAM, leakage.SHORT):
+        seeds = leakage.Seeds(suite.all_grams(w))
+        out[w] = seeds.hashes, drawn.integers(0, 9, len(seeds.hashes)) if drawn else np.zeros(len(seeds.hashes), dtype=np.int64)
+    return out
+
+
 def test_every_window_has_a_seed():
     drawn = np.random.default_rng(1)
     part = drawn.integers(97, 110, 400).astype(np.uint32)
     suite = leakage.Suite({part.tobytes(): ["i"]})
-    suite.choose({int(g): int(n) for g, n in zip(suite.grams[0], drawn.integers(0, 9, 385))})
-    at = sorted(suite.offset.tolist())
-    assert all(any(s <= o <= s + leakage.WINDOW - leakage.GRAM for o in at) for s in range(len(part) - leakage.WINDOW + 1))
+    suite.choose(counted(suite, drawn=drawn))
+    for width, window in ((leakage.GRAM, leakage.WINDOW), (leakage.SHORT, leakage.SHORT_WINDOW)):
+        at = sorted(suite.seeds[width].offset.tolist())
+        assert len(at) > 50 and all(any(s <= o <= s + window - width for o in at) for s in range(len(part) - window + 1))
+
+
+def searched(passages, documents):
+    parts = {}
+    for k, p in enumerate(passages):
+        parts.setdefault(leakage.codes(p).tobytes(), []).append(k)
+    suite = leakage.Suite(parts)
+    suite.choose(counted(suite))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(documents)), pa.int64()), pa.array(documents)], names=["doc_id", "text"])
+    items = [[str(i) for i in x] for x in suite.items]
+    suite.items = items
+    return {(r["doc_id"], int(r["item_id"])): (r["score"], r["run"]) for b in leakage._search(suite, [batch]) for r in b.to_pylist()}
+
+
+@pytest.mark.parametrize("words, change, least", [(20, 0.1, 0.98), (20, 0.3, 0.9), (40, 0.4, 0.9), (40, 5, 0.98), (40, 3, 0.95), (60, 0.5, 0.9)])
+def test_recall_of_edited_copies(words, change, least):
+    """Passages of made-up words of which some, drawn or every so many-th, are replaced by others."""
+    drawn = random.Random(7)
+    known = ["".join(drawn.choice("etaoinshrdlucmfwypvbgk") for _ in range(drawn.choice([2, 3, 4, 4, 5, 5, 6, 7, 8, 9]))) for _ in range(3000)]
+    some = lambda n: [drawn.choice(known) for _ in range(n)]
+    passages = [some(words) for _ in range(150)]
+    replaced = lambda k: drawn.random() < change if isinstance(change, float) else k % change == change - 1
+    documents = [" ".join(some(40) + [drawn.choice(known) if replaced(k) else w for k, w in enumerate(p)] + some(40)) for p in passages]
+    got = searched([" ".join(p) for p in passages], documents)
+    assert sum((k, k) in got for k in range(150)) >= least * 150 and all(a == b for a, b in got)
+
+
+def test_long_copy_has_its_whole_score():
+    drawn = random.Random(11)
+    passage = "".join(drawn.choice("abcdefghijklmnop") for _ in range(3000))
+    assert searched([passage], ["zzz" + passage + "zzz"]) == {(0, 0): (6000, 3000)}
+    assert searched([passage], ["zzz" + passage[:1500] + "yy" + passage[1500:]])[0, 0] == (6000 + 2 * leakage.GAP, 1500)
+
+
+def test_runs_of_one_letter_stay_cheap():
+    passages = ["k" * 500 + "end of it all", "ab" * 200, "kkkkkkkkkkkkkkkkkkkkkkkkkkkkkk"]
+    got = searched(passages, ["k" * 300_000, "ba" * 100_000, "x" * 50_000])
+    assert {k: v[1] for k, v in got.items()} == {(0, 0): 500, (0, 2): 30, (1, 1): 400}
