@@ -154,9 +154,13 @@ def banded_candidates(texts: DataFrame, threshold: float, bands: int = 8) -> Dat
     return left.join(right, ["band", "least", "size_class"]).where(fits).select("a", "b").distinct()
 
 
-def membership(arrivals: DataFrame, pairs: DataFrame | None, scratch: Scratch) -> DataFrame:
+def membership(arrivals: DataFrame, pairs: DataFrame | None, scratch: Scratch, strict: bool = False) -> DataFrame:
     """(content_sha256, group) for arrivals (content_sha256, external): the least digest of the component over near pairs and
-    shared external keys; keys of dropped copies count, so ``arrivals`` has a row for every record, copies included."""
+    shared external keys; keys of dropped copies count, so ``arrivals`` has a row for every record, copies included. Null is no key; an
+    empty key fails the query if ``strict``, else it is none either."""
+    if strict:
+        empty = F.raise_error(F.concat(F.lit("empty group key of the record "), "content_sha256"))
+        arrivals = arrivals.withColumn("external", F.when(F.trim("external") == "", empty).otherwise(F.col("external")))
     digests = arrivals.select(F.col("content_sha256").alias("node")).distinct()
     keyed = arrivals.where("external <> ''").select("external", "content_sha256").distinct()
     first = keyed.groupBy("external").agg(F.min("content_sha256").alias("a"))

@@ -168,13 +168,18 @@ def budget(configs: DataFrame, tokens: int, batch: int, sequence: int, accumulat
 
 
 def learning_rate(steps: DataFrame, total: int, warmup_ratio: float = 0.01, floor: float = 0.1) -> DataFrame:
-    """(step, multiplier): linear warm-up, then a cosine down to ``floor``."""
-    if total <= 0 or not 0 <= warmup_ratio < 1 or not 0 <= floor <= 1:
-        raise ValueError("invalid schedule")
-    warmup = max(1, int(total * warmup_ratio)) if warmup_ratio else 0
-    progress = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("step") - warmup) / float(max(1, total - warmup - 1))))
-    cosine = floor + (1 - floor) * 0.5 * (1 + F.cos(math.pi * progress))
-    return steps.select("step", F.when(F.col("step") < warmup, (F.col("step") + 1) / float(max(1, warmup))).otherwise(cosine).alias("multiplier"))
+    """(step, multiplier): a straight rise over the first steps (at least one, none at ratio 0), then half a cosine wave that ends at
+    ``floor`` on the last step."""
+    problems = [what for what, bad in (("total", total < 1), ("warmup_ratio", not 0 <= warmup_ratio < 1), ("floor", not 0 <= floor <= 1)) if bad]
+    if problems:
+        raise ValueError("out of range: " + ", ".join(problems))
+    rise = 0 if warmup_ratio == 0 else max(1, math.floor(total * warmup_ratio))
+    fall = total - rise - 1  # steps from the crest to the last one
+    done = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("step") - rise) / float(fall if fall > 0 else 1)))
+    half_wave = (F.cos(done * F.pi()) + 1) / 2
+    falling = half_wave * (1 - floor) + floor
+    rising = (F.col("step") + 1) / F.lit(float(rise or 1))
+    return steps.select("step", F.when(F.col("step") >= rise, falling).otherwise(rising).alias("multiplier"))
 
 
 def log_totals(log: DataFrame) -> DataFrame:

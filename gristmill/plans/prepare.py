@@ -33,8 +33,8 @@ class Prepared:
         return self.clean.groupBy(F.concat_ws(":", "source", "domain").alias("source_domain")).agg(F.count("*").alias("documents"))
 
 
-def prepare(records: DataFrame, settings: Settings, html_in_code: str = "error") -> Prepared:
-    """Tag, drop copies, group and split. Ordinals of records are unique.
+def prepare(records: DataFrame, settings: Settings, html_in_code: str = "error", strict_keys: bool = False) -> Prepared:
+    """Tag, drop copies, group and split. Ordinals of records are unique. With ``strict_keys`` an empty group key of a kept record fails.
 
     The tagged table, the only one that needs Python for every text, is written once and read back. Texts move once more at most, when the
     clean records are read: first arrivals, near duplicates, groups and splits go by digests, ordinals and signatures.
@@ -49,7 +49,7 @@ def prepare(records: DataFrame, settings: Settings, html_in_code: str = "error")
     if settings.near_duplicate_grouping:
         texts = kept.select(F.col("content_sha256").alias("digest"), F.col("text").alias("key"))
         pairs = scratch.keep(duplicates.near_pairs(texts, settings.near_duplicate_jaccard, scratch, raw=True), "pairs")
-    groups = duplicates.membership(arrivals, pairs, scratch).withColumnRenamed("group", "group_id")
+    groups = duplicates.membership(arrivals, pairs, scratch, strict_keys).withColumnRenamed("group", "group_id")
     decided = first.join(groups, "content_sha256").withColumn("split", preparation.hash_split(F.col("group_id"), settings))
     clean = kept.drop("reason").withColumnRenamed("group_id", "external_group").join(scratch.keep(decided, "decided"), ["content_sha256", "ordinal"])
     return Prepared(tagged, clean, pairs)

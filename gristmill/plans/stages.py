@@ -8,11 +8,11 @@ import json
 import platform
 import re
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.sources.records import write_report
+from gristmill.sources import files
+from gristmill.sources.records import write_report, write_splits
 
 #: Names a run may have.
 RUN_NAME = re.compile(r"[a-z0-9][a-z0-9-]{2,62}")
@@ -34,33 +34,72 @@ class Run:
     def __init__(self, root: str, name: str):
         if not RUN_NAME.fullmatch(name):
             raise ValueError(f"not a run name: {name!r}")
-        self.folder = Path(root) / name
-        self.markers = self.folder / "done"
+        self.folder = f"{root.rstrip('/')}/{name}"
+        self.markers = f"{self.folder}/done"
 
     def output(self, stage: str) -> str:
-        return str(self.folder / stage)
+        return f"{self.folder}/{stage}"
 
     def done(self) -> list[dict]:
         """Markers of the finished stages, oldest first."""
-        found = [json.loads(p.read_text(encoding="utf-8")) for p in self.markers.glob("*.json")] if self.markers.exists() else []
+        found = [files.read_json(f"{self.markers}/{name}") for name in files.listed(self.markers, ".json")]
         return sorted(found, key=lambda m: (m["completed_at"], m["stage"]))
 
     def stage(self, name: str, work: Callable[[str], dict | None], settings: object = None) -> dict:
         """Run ``work`` with the stage's output path, unless it is done; returns the marker."""
-        marker, wanted = self.markers / f"{name}.json", fingerprint(settings)
-        if marker.exists():
-            known = json.loads(marker.read_text(encoding="utf-8"))
+        marker, wanted = f"{self.markers}/{name}.json", fingerprint(settings)
+        if files.exists(marker):
+            known = files.read_json(marker)
             if known["settings"] != wanted:
                 raise ValueError(f"stage {name} was done with other settings")
             return known
-        if Path(self.output(name)).exists():
+        if files.exists(self.output(name)):
             raise FileExistsError(f"stage {name} left output but no marker; move it away first")
         about = work(self.output(name)) or {}
         entry = {"stage": name, "completed_at": datetime.datetime.now(datetime.UTC).isoformat(), "settings": wanted, **about}
-        write_report(str(marker), entry)
+        write_report(marker, entry)
         return entry
 
 
+def run_corpus(spark: SparkSession, run: Run, records: DataFrame, settings, tokenizer: str, length: int, specials: tuple[int, int, int], html_in_code: str = "error") -> list[dict]:
+    """The stages prepare and pack of a run, in order: clean splits with a manifest, then packed arrays of train and validation. Each stage is done once;
+    packing refuses splits that are not what was prepared, and empty splits are left out."""
+    import dataclasses
+
+    from gristmill.plans import pack
+    from gristmill.plans.prepare import prepare
+
+    def prepared(folder: str) -> dict:
+        done = prepare(records, settings, html_in_code)
+        write_splits(done.clean, f"{folder}/clean")
+        splits = {s: split_entry(spark, f"{folder}/clean/split={s}") for s in ("train", "validation", "test") if files.exists(f"{folder}/clean/split={s}")}
+        write_report(f"{folder}/manifest.json", manifest(done, settings, [], splits))
+        return {"splits": sorted(splits)}
+
+    def packed(folder: str) -> dict:
+        held = files.read_json(f"{run.output('prepare')}/manifest.json")
+        counts = {}
+        for split in ("train", "validation"):
+            if split in held["splits"]:
+                rows = pack.pack_split(pack.sound_split(spark, held, split), split, tokenizer, length, *specials)
+                rows.write.parquet(f"{folder}/{split}/rows")
+                rows = spark.read.parquet(f"{folder}/{split}/rows")
+                about = pack.packed_manifest(rows, split, length, corpus=held["splits"][split]["sha256"], tokenizer=tokenizer)
+                pack.export_arrays(rows, f"{folder}/{split}/arrays", length, about)
+                counts[split] = about["rows"]
+        return {"rows": counts}
+
+    wanted = {"settings": dataclasses.asdict(settings), "html_in_code": html_in_code}
+    run.stage("prepare", prepared, wanted)
+    run.stage("pack", packed, wanted | {"tokenizer": tokenizer, "length": length, "specials": list(specials)})
+    return run.done()
+
+
+def split_entry(spark: SparkSession, path: str, format: str = "parquet") -> dict:
+    """What a manifest says of one split: where it is and its checksum."""
+    return {"path": path, "format": format, "sha256": files.folder_digest(spark, path)}
+
+
 def preflight(spark: SparkSession, checks: dict[str, Callable[[], object]]) -> DataFrame:
     """(check, ok, detail): all checks, also those after one that fails. A check passes unless it raises or returns False."""
     rows = []
@@ -81,8 +120,8 @@ def environment(spark: SparkSession) -> dict:
     return {"python": platform.python_version(), "spark": spark.version, "pyarrow": pyarrow.__version__, "pandas": pandas.__version__, "machine": platform.machine()}
 
 
-def manifest(prepared, settings, inputs: list[tuple[str, str]]) -> dict:
-    """What a preparation did: settings, inputs with checksums, counters, sources. Counters come as a few rows."""
+def manifest(prepared, settings, inputs: list[tuple[str, str]], splits: dict[str, dict] | None = None) -> dict:
+    """What a preparation did: settings, inputs and splits with checksums, counters, sources. Counters come as a few rows."""
     import dataclasses
 
     return {
@@ -90,6 +129,7 @@ def manifest(prepared, settings, inputs: list[tuple[str, str]]) -> dict:
         "kind": "clean_corpus",
         "config": dataclasses.asdict(settings),
         "inputs": [{"name": n, "sha256": s} for n, s in inputs],
+        "splits": splits or {},
         "stats": {r["counter"]: r["value"] for r in prepared.counters().collect()},
         "sources": {r["source_domain"]: r["documents"] for r in prepared.sources().collect()},
         "limitations": ["similarity is decided on 64-bit hashes of shingles", "contact patterns cover e-mail addresses and Korean mobile numbers"],

@@ -83,25 +83,38 @@ def test_export_and_read_back(spark, tmp_path):
     rows = packing.packed_rows(packing.layout(tokens.select("doc_number", F.size("ids").alias("n_tokens")), 16), tokens, 16, 0)
     manifest = pack.packed_manifest(rows, "train", 16)
     assert manifest["valid_targets"] == sum(i for i in range(1, 40))
-    pack.export_arrays(rows, str(tmp_path / "out"), 16, manifest, shards=3)
-    held = pack.IndexedRows(str(tmp_path / "out"))
+    out = str(tmp_path / "out")
+    written = pack.export_arrays(rows, out, 16, manifest, shard=17)
+    assert [w["shard"] for w in written] == list(range(len(written))) and len(written) > 2 and {w["rows"] for w in written[:-1]} == {17}
+    held = pack.open_packed(out)
     want = rows.orderBy("row_number").collect()
-    assert len(held) == len(want) == manifest["rows"]
-    assert all(held[i]["input_ids"].tolist() == r["input_ids"] and held[i]["document_ids"].tolist() == r["document_ids"] for i, r in enumerate(want))
-    assert [r["input_ids"].tolist() for r in held[1:3]] == [r["input_ids"] for r in want[1:3]]
-    with pytest.raises(IndexError):
-        held[len(held)]
+    assert held.rows == len(want) == manifest["rows"]
+    for first, count in ((0, len(want)), (3, 1), (10, 20), (17, 17), (len(want), 0)):
+        got = held.read(first, count)
+        for k in ("input_ids", "document_ids", "attention_mask"):
+            assert got[k].shape == (count, 16) and got[k].tolist() == [r[k] for r in want[first : first + count]]
+    for first, count in ((len(want), 1), (-1, 2), (0, len(want) + 1)):
+        with pytest.raises(ValueError):
+            held.read(first, count)
     with pytest.raises(FileExistsError):
-        pack.export_arrays(rows, str(tmp_path / "out"), 16, manifest)
-    part = sorted((tmp_path / "out").glob("input_ids-*.bin"))[0]
+        pack.export_arrays(rows, out, 16, manifest)
+    # What another attempt of a task left behind does not count.
+    (tmp_path / "out" / "000000-input_ids-0123456789ab.bin").write_bytes(b"half")
+    assert pack.open_packed(out).read(0)["input_ids"].tolist() == [want[0]["input_ids"]]
+    part = tmp_path / "out" / written[0]["input_ids_file"]
     raw = bytearray(part.read_bytes())
     raw[0] ^= 1
     part.write_bytes(bytes(raw))
     with pytest.raises(ValueError, match="checksum"):
-        pack.IndexedRows(str(tmp_path / "out"))
+        pack.open_packed(out)
     part.write_bytes(bytes(raw[:-1]))
     with pytest.raises(ValueError, match="size"):
-        pack.IndexedRows(str(tmp_path / "out"))
+        pack.open_packed(out)
+    (tmp_path / "out" / "manifest.json").write_text('{"kind": "other"}')
+    with pytest.raises(ValueError, match="known"):
+        pack.open_packed(out)
+    nothing = str(tmp_path / "none")
+    assert pack.export_arrays(rows.where("false"), nothing, 16, manifest) == [] and pack.open_packed(nothing).rows == 0
     with pytest.raises(ValueError):
         pack.packed_manifest(rows.where("false"), "train", 16)
 

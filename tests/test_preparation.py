@@ -10,7 +10,7 @@ from gristmill.operators.components import least_labels
 from gristmill.operators.preparation import Settings
 from gristmill.plans.prepare import prepare
 from gristmill.plans.shared import Scratch
-from gristmill.sources import records
+from gristmill.sources import files, records
 from gristmill.session import table
 
 SETTINGS = Settings(("cc",), min_chars=5, max_chars=60)
@@ -138,7 +138,7 @@ def test_sinks(spark, tmp_path):
     assert not (tmp_path / "n.json").exists()
     with pytest.raises(ValueError):
         records.inside(str(tmp_path), "../x")
-    assert records.checksums(spark, str(tmp_path / "r.json")).first()["sha256"] == hashlib.sha256((tmp_path / "r.json").read_bytes()).hexdigest()
+    assert files.checksums(spark, str(tmp_path / "r.json")).first()["sha256"] == hashlib.sha256((tmp_path / "r.json").read_bytes()).hexdigest()
 
 
 def test_whole_preparation(spark, data):
@@ -150,3 +150,75 @@ def test_whole_preparation(spark, data):
     rejected = sum(counted.get(r, 0) for r in preparation.REASONS)
     assert counted["input"] == rejected + counted.get("exact_duplicates_removed", 0) + kept
     assert duplicates.torn_groups(done.clean).isEmpty()
+
+
+def test_splits_are_spread_and_ordered(spark, tmp_path):
+    clean = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_sha256"), F.when(F.col("id") % 100 == 0, "test").otherwise("train").alias("split"))
+    out = str(tmp_path / "clean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        records.write_splits(clean, out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "clean" / "split=train").glob("*.parquet"))) > 1
+    for f in (tmp_path / "clean" / "split=train").glob("*.parquet"):
+        digests = [r[0] for r in spark.read.parquet(str(f)).select("content_sha256").collect()]
+        assert digests == sorted(digests)
+    with pytest.raises(Exception, match="exist"):
+        records.write_splits(clean, out)
+
+
+def test_changed_splits_are_refused(spark, tmp_path):
+    from gristmill.plans import pack, stages
+
+    df = spark.createDataFrame([("a", "text", "train")], "content_sha256 string, text string, split string")
+    records.write_splits(df, str(tmp_path / "clean"))
+    manifest = {"kind": "clean_corpus", "splits": {"train": stages.split_entry(spark, str(tmp_path / "clean" / "split=train"))}}
+    assert pack.sound_split(spark, manifest, "train").select("text").collect()[0]["text"] == "text"
+    with pytest.raises(ValueError, match="names no split"):
+        pack.sound_split(spark, manifest, "test")
+    df.drop("split").write.mode("append").parquet(str(tmp_path / "clean" / "split=train"))
+    with pytest.raises(ValueError, match="not what was prepared"):
+        pack.sound_split(spark, manifest, "train")
+
+
+def test_checksums_of_folders(spark, tmp_path):
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    for name, content in (("x/a", b"1"), ("x/y/b", b"2" * 3_000_000)):
+        (tmp_path / name).write_bytes(content)
+    got = {r["file"]: r["sha256"] for r in files.checksums(spark, str(tmp_path / "x")).collect()}
+    assert got == {"a": hashlib.sha256(b"1").hexdigest(), "y/b": hashlib.sha256(b"2" * 3_000_000).hexdigest()}
+    one = files.folder_digest(spark, str(tmp_path / "x"))
+    (tmp_path / "x" / "a").write_bytes(b"3")
+    assert one != files.folder_digest(spark, str(tmp_path / "x"))
+
+
+def test_empty_group_keys(spark):
+    arrivals = spark.createDataFrame([("a", None), ("b", " "), ("c", "k"), ("d", "k")], "content_sha256 string, external string")
+    with pytest.raises(Exception, match="empty group key"):
+        duplicates.membership(arrivals, None, Scratch(spark, "t"), strict=True).collect()
+    fine = arrivals.where("content_sha256 <> 'b'")
+    assert {tuple(r) for r in duplicates.membership(fine, None, Scratch(spark, "t"), strict=True).collect()} == {("a", "a"), ("c", "c"), ("d", "c")}
+
+
+def test_order_within_a_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.jsonl").write_text("".join(json.dumps({"id": f"b{i}"}) + "\n" for i in range(50)))
+    (tmp_path / "in" / "a.jsonl").write_text("".join(json.dumps({"id": f"a{i}", "text": "x" * 3000}) + "\n" for i in range(500)))
+    got = [r["id"] for r in records.scan_jsonl(spark, str(tmp_path / "in"), keep_raw=False).orderBy("ordinal").collect()]
+    assert got == [f"a{i}" for i in range(500)] + [f"b{i}" for i in range(50)]
+
+
+def test_predictions_and_logs(spark, tmp_path):
+    from gristmill.streaming import events
+
+    rows = spark.createDataFrame([("i", "qa", "x")], "id string, task string, prediction string")
+    records.write_predictions(rows, str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).collect()[0]["prediction"] == "x"
+    with pytest.raises(Exception, match="exist"):
+        records.write_predictions(rows, str(tmp_path / "p"))
+    for step in (1, 2):
+        records.append_log(spark.createDataFrame([("r", "train", step, 0.5, 10)], "run string, event string, step bigint, ce double, tokens bigint"), str(tmp_path / "log"))
+    run = events.log_stream(spark, str(tmp_path / "log")).writeStream.format("memory").queryName("log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(r["step"] for r in spark.table("log").collect()) == [1, 2]

@@ -79,3 +79,29 @@ def test_queries_have_documents_and_names():
     for name, f in entry.queries().items():
         assert f.__doc__, name
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_corpus_run(spark, data, tmp_path):
+    """Prepare and pack as stages: done once, resumed, and refused after the clean files were changed."""
+    from gristmill.operators.preparation import Settings
+    from gristmill.plans import pack
+    from gristmill.sources.records import raw_records
+
+    records, settings = raw_records(table(spark, data, "documents")), Settings.of(table(spark, data, "preparation"))
+    call = lambda run: stages.run_corpus(spark, run, records, settings, "byte_bpe_50k", 256, (50256, 50256, 50256), html_in_code="text")
+    run = stages.Run(str(tmp_path), "first-run")
+    done = call(run)
+    assert [m["stage"] for m in done] == ["prepare", "pack"] and call(run) == done
+    held = pack.open_packed(f"{run.output('pack')}/train/arrays")
+    assert held.rows == done[1]["rows"]["train"] > 0 and held.read(0, held.rows)["input_ids"].shape == (held.rows, 256)
+    other = stages.Run(str(tmp_path), "second-run")
+    call_prepare = stages.Run.stage
+    kept = []
+    stages.Run.stage = lambda self, name, work, settings=None: kept.append(name) if name == "pack" else call_prepare(self, name, work, settings)
+    try:
+        call(other)
+    finally:
+        stages.Run.stage = call_prepare
+    spark.range(1).write.mode("append").parquet(f"{other.output('prepare')}/clean/split=train")
+    with pytest.raises(ValueError, match="not what was prepared"):
+        call(other)
