@@ -69,50 +69,111 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+class _Near:
+    """The steps that pairs and links share: signatures, buckets, and the verification of candidates."""
+
+    def __init__(self, texts: DataFrame, threshold: float, scratch: Scratch, raw: bool):
+        self.texts, self.threshold, self.scratch, self.raw = texts, threshold, scratch, raw
+        bands, rows = banding(threshold)
+        self.hashes = hashes = bands * rows
+        likely = threshold + (1 - threshold) / 256
+        self.fewest = hashes * likely - 5.4 * math.sqrt(hashes * likely * (1 - likely))
+
+        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [signature(k, hashes) for k in batch["key"]]
+                yield pd.DataFrame({
+                    "digest": batch["digest"].to_numpy(), "n": [n for n, _ in found], "keys": [band_keys(m, bands, rows) for _, m in found],
+                    "low": [(m & np.uint32(255)).astype(np.uint8).tobytes() for _, m in found],
+                })
+
+        keyed = texts.withColumn("key", X.canonical(F.col("key"))) if raw else texts
+        signed = spread(keyed.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
+        self.signed = scratch.keep(signed.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "signed")
+        banded = self.signed.select("id", "n", F.posexplode("keys").alias("band", "k"))
+        # Most buckets hold one text. Counts combine before the shuffle; only buckets of several texts get their members.
+        sizes = banded.groupBy("band", "k").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.max("id").alias("most")).where("m > 1")
+        self.members = scratch.keep(banded.join(sizes, ["band", "k"]), "members")
+
+    def fits(self, a: str, b: str):
+        return F.least(a, b) >= F.greatest(a, b) * self.threshold - 1e-9
+
+    def all_of(self, members: DataFrame, others: DataFrame | None = None) -> DataFrame:
+        """(a, b) of one bucket that fit in size; with ``others``, one of each."""
+        side = lambda x, of: of.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "band", "k", *[F.col(c).alias(f"{c}{x}") for c in of.columns if c == "part"])
+        joined = side("a", members).join(side("b", others if others is not None else members), ["band", "k"]).where(self.fits("na", "nb"))
+        joined = joined.where("a < b") if others is None else joined.where("parta <> partb")
+        return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(ia, ib, a, b, jaccard), a and b being digests, of candidates (a, b) that are similar enough.
+
+        Candidates must agree in as many low bytes of their minima as a pair at the threshold does but for a chance below MISS; only the rest
+        fetch their texts and are compared shingle by shingle."""
+        hashes, fewest = self.hashes, self.fewest
+
+        @F.pandas_udf("int")
+        def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
+            left, right = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, hashes) for s in (x, y))
+            return pd.Series((left == right).sum(axis=1).astype(np.int32))
+
+        of = lambda x: self.signed.select(F.col("id").alias(x), F.col("digest").alias(f"d{x}"), F.col("low").alias(f"low{x}"))
+        likely = pairs.join(of("a"), "a").join(of("b"), "b").where(agreeing("lowa", "lowb") >= fewest)
+        kept = self.scratch.keep(likely.select(F.col("a").alias("ia"), F.col("b").alias("ib"), "da", "db"), f"likely-{name}")
+        wanted = kept.select(F.col("da").alias("digest")).unionAll(kept.select(F.col("db").alias("digest"))).distinct()
+        fetched = self.texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+        if self.raw:  # canonical again, but only for these
+            fetched = fetched.withColumn("key", X.canonical(F.col("key")))
+        sets = self.scratch.keep(fetched.select("digest", X.shingles(F.col("key")).alias("s")), f"shingles-{name}")
+        one, other = sets.select(F.col("digest").alias("da"), F.col("s").alias("sa")), sets.select(F.col("digest").alias("db"), F.col("s").alias("sb"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        scored = kept.join(one, "da").join(other, "db").select(
+            "ia", "ib", F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")
+        )
+        return scored.where(F.col("jaccard") >= self.threshold)
+
+
 def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch, raw: bool = False) -> DataFrame:
-    """(a, b, jaccard), a < b, for the pairs of different texts (digest, key) of similarity ``threshold`` or more; copies count once. With
+    """(a, b, jaccard), a < b, for all pairs of different texts (digest, key) of similarity ``threshold`` or more; copies count once. With
     ``raw``, key is the text as it stands, and digest that of its canonical form.
 
-    Texts travel as numbers; candidates must fit in size, then agree in as many low bytes of their minima as a pair at the threshold does
-    but for a chance below MISS, and only the rest fetch their texts and are compared shingle by shingle.
+    The result is as large as there are pairs: m texts that are all alike make m (m - 1) / 2. Where only groups matter, ``near_links`` has
+    as many rows as there are texts.
     """
-    bands, rows = banding(threshold)
-    hashes = bands * rows
-    likely = threshold + (1 - threshold) / 256
-    fewest = hashes * likely - 5.4 * math.sqrt(hashes * likely * (1 - likely))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [signature(k, hashes) for k in batch["key"]]
-            yield pd.DataFrame({
-                "digest": batch["digest"].to_numpy(), "n": [n for n, _ in found], "keys": [band_keys(m, bands, rows) for _, m in found],
-                "low": [(m & np.uint32(255)).astype(np.uint8).tobytes() for _, m in found],
-            })
-
-    @F.pandas_udf("int")
-    def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-        left, right = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, hashes) for s in (x, y))
-        return pd.Series((left == right).sum(axis=1).astype(np.int32))
-
-    keyed = texts.withColumn("key", X.canonical(F.col("key"))) if raw else texts
-    signed = spread(keyed.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
-    signed = scratch.keep(signed.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "signed")
-    banded = signed.select("id", "n", F.posexplode("keys").alias("band", "k"))
-    side = lambda x: banded.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "band", "k")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    pairs = side("a").join(side("b"), ["band", "k"]).where(fits).select("a", "b").distinct()
-    of = lambda x: signed.select(F.col("id").alias(x), F.col("digest").alias(f"d{x}"), F.col("low").alias(f"low{x}"))
-    likely_pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(agreeing("lowa", "lowb") >= fewest).select("da", "db")
-    kept = scratch.keep(likely_pairs, "likely")
-    wanted = kept.select(F.col("da").alias("digest")).unionAll(kept.select(F.col("db").alias("digest"))).distinct()
-    fetched = texts.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    if raw:  # canonical again, but only for these
-        fetched = fetched.withColumn("key", X.canonical(F.col("key")))
-    sets = scratch.keep(fetched.select("digest", X.shingles(F.col("key")).alias("s")), "shingles")
-    one, other = sets.select(F.col("digest").alias("da"), F.col("s").alias("sa")), sets.select(F.col("digest").alias("db"), F.col("s").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    scored = kept.join(one, "da").join(other, "db").select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
+    near = _Near(texts, threshold, scratch, raw)
+    return near.verified(near.all_of(near.members), "all").select("a", "b", "jaccard")
+
+
+#: Buckets up to this size are compared pair by pair, larger ones by stars first.
+DENSE = 64
+
+
+def near_links(texts: DataFrame, threshold: float, scratch: Scratch, raw: bool = False, dense: int = DENSE) -> DataFrame:
+    """(a, b, jaccard): pairs as in ``near_pairs``, enough of them that the same texts hang together.
+
+    In a bucket of more than ``dense`` texts all are first compared with its least and its greatest one. What hangs together then is settled;
+    what does not is compared with all the others of its bucket, but for those of its own part. So a million copies with small edits make some
+    million comparisons, not 10^12, and no link between different parts is lost.
+    """
+    near = _Near(texts, threshold, scratch, raw)
+    links = near.verified(near.all_of(near.members.where(F.col("m") <= dense)), "small")
+    large = near.members.where(F.col("m") > dense)
+    if large.isEmpty():
+        return links.select("a", "b", "jaccard")
+    tips = near.signed.select("id", F.col("n").alias("nt"))
+    star = large.select("id", "n", F.explode(F.array("least", "most")).alias("tip")).where("id <> tip").join(tips.withColumnRenamed("id", "tip"), "tip")
+    star = star.where(near.fits("n", "nt")).select(F.least("id", "tip").alias("a"), F.greatest("id", "tip").alias("b")).distinct()
+    links = scratch.keep(links.unionAll(near.verified(star, "stars")), "links")
+    labels = least_labels(links.select(F.col("ia").alias("a"), F.col("ib").alias("b")), scratch).withColumnRenamed("node", "id")
+    parted = scratch.keep(large.join(labels, "id", "left").select("id", "n", "band", "k", F.coalesce("label", "id").alias("part")), "parted")
+    # The largest part of each bucket is not compared with itself; nor is any other.
+    counted = parted.groupBy("band", "k", "part").agg(F.count("*").alias("c"))
+    main = counted.groupBy("band", "k").agg(F.max_by("part", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = scratch.keep(parted.join(main, ["band", "k"]), "mixed")
+    rest = near.all_of(mixed.where("part <> main").drop("main"), mixed.drop("main"))
+    tested = star.withColumn("tested", F.lit(True))
+    more = near.verified(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    return links.unionAll(more).select("a", "b", "jaccard")
 
 
 def shingled(texts: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from gristmill.plans.shared import Scratch
 
 
 class Prepared:
-    """What a preparation yields: ``tagged`` (all records, with reasons), ``clean`` (kept ones), ``pairs`` (near duplicates)."""
+    """What a preparation yields: ``tagged`` (all records, with reasons), ``clean`` (kept ones), ``pairs`` (near duplicates; of more
+    than a few that are all alike, enough links to connect them)."""
 
     def __init__(self, tagged: DataFrame, clean: DataFrame, pairs: DataFrame | None):
         self.tagged, self.clean, self.pairs = tagged, clean, pairs
@@ -48,7 +49,7 @@ def prepare(records: DataFrame, settings: Settings, html_in_code: str = "error",
     pairs = None
     if settings.near_duplicate_grouping:
         texts = kept.select(F.col("content_sha256").alias("digest"), F.col("text").alias("key"))
-        pairs = scratch.keep(duplicates.near_pairs(texts, settings.near_duplicate_jaccard, scratch, raw=True), "pairs")
+        pairs = scratch.keep(duplicates.near_links(texts, settings.near_duplicate_jaccard, scratch, raw=True), "pairs")
     groups = duplicates.membership(arrivals, pairs, scratch, strict_keys).withColumnRenamed("group", "group_id")
     decided = first.join(groups, "content_sha256").withColumn("split", preparation.hash_split(F.col("group_id"), settings))
     clean = kept.drop("reason").withColumnRenamed("group_id", "external_group").join(scratch.keep(decided, "decided"), ["content_sha256", "ordinal"])

@@ -283,7 +283,7 @@ def g01_groups(spark, d):
     """The group of each distinct text over near duplicates and external keys, keys of copies included."""
     scratch = Scratch(spark, "members")
     keyed = scratch.keep(_keys(spark, d), "keys")
-    pairs = duplicates.near_pairs(keyed.select("digest", "key"), 0.85, scratch)
+    pairs = duplicates.near_links(keyed.select("digest", "key"), 0.85, scratch)
     return duplicates.membership(keyed.select(F.col("digest").alias("content_sha256"), "external"), pairs, scratch)
 
 

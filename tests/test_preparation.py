@@ -81,6 +81,59 @@ def test_near_pairs_equal_brute_force(spark):
             assert {(r["a"], r["b"]): r["jaccard"] for r in found.collect()} == pytest.approx(want)
 
 
+def grouped(texts, pairs):
+    root = {t: t for t in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {t: find(t) for t in texts}
+
+
+@pytest.mark.parametrize("dense", [1, 3, 64])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_links_make_the_same_groups(spark, dense, seed):
+    """Chains of edits, of which the ends are not alike, in buckets larger than what is compared pair by pair."""
+    drawn = random.Random(seed)
+    texts = []
+    for _ in range(5):
+        t = "".join(drawn.choice("abcdefghij klmnop") for _ in range(120))
+        for _ in range(25):
+            texts.append(t)
+            at = drawn.randrange(len(t))
+            t = t[:at] + drawn.choice("xyz") + t[at + 1 :]
+    texts = list(dict.fromkeys(texts))
+    digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    df = spark.createDataFrame(list(zip(digests, texts)), "digest string, key string")
+    every = {(r["a"], r["b"]) for r in duplicates.near_pairs(df, 0.85, Scratch(spark, "t")).collect()}
+    some = [(r["a"], r["b"]) for r in duplicates.near_links(df, 0.85, Scratch(spark, "t"), dense=dense).collect()]
+    assert set(some) <= every and grouped(digests, every) == grouped(digests, some)
+
+
+def test_a_hundred_thousand_near_copies(spark, monkeypatch):
+    """All alike but for a number at the end: 5 * 10^9 pairs, of which only a few for each text may be made."""
+    text = "One and the same notice is printed on every ticket that is sold at the counter of the old ferry, whoever buys it, in number "
+    df = spark.range(100_000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.concat(F.lit(text), F.col("id").cast("string")).alias("key"))
+    made = []
+    verified = duplicates._Near.verified
+
+    def counted(self, pairs, name):
+        kept = self.scratch.keep(pairs, f"counted-{name}")
+        made.append(kept.count())
+        return verified(self, kept, name)
+
+    monkeypatch.setattr(duplicates._Near, "verified", counted)
+    scratch = Scratch(spark, "t")
+    links = scratch.keep(duplicates.near_links(df, 0.85, scratch), "links")
+    assert sum(made) < 12 * 100_000 and links.count() < 12 * 100_000
+    assert least_labels(links, scratch).agg(F.count_distinct("label"), F.count("*")).first() == (1, 100_000)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(150)], [(0, i) for i in range(1, 60)], [(3, 1), (1, 3), (5, 4), (4, 9), (9, 1)]])
 def test_least_labels(spark, edges):
     got = {r["node"]: r["label"] for r in least_labels(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t")).collect()}
