@@ -61,8 +61,8 @@ def _factors(hashes: int) -> np.ndarray:
 
 
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key a band from its minima."""
-    keys = np.zeros(bands, dtype=np.uint64)
+    """One 64-bit key a band from its number and its minima."""
+    keys = np.arange(bands, dtype=np.uint64)
     for r in range(rows):
         keys = (keys ^ minima[r::rows].astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
         keys ^= keys >> np.uint64(31)
@@ -90,20 +90,19 @@ class _Near:
         keyed = texts.withColumn("key", X.canonical(F.col("key"))) if raw else texts
         signed = spread(keyed.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
         self.signed = scratch.keep(signed.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "signed")
-        banded = self.signed.select("id", "n", F.posexplode("keys").alias("band", "k"))
+        banded = self.signed.select("id", "n", F.explode("keys").alias("k"))
         # Most buckets hold one text. Counts combine before the shuffle; only buckets of several texts get their members.
-        sizes = banded.groupBy("band", "k").agg(F.count("*").alias("m"), F.min("id").alias("least"), F.max("id").alias("most")).where("m > 1")
-        self.members = scratch.keep(banded.join(sizes, ["band", "k"]), "members")
+        sizes = banded.groupBy("k").agg(F.count("*").alias("m"), F.min("id").alias("least")).where("m > 1")
+        self.members = scratch.keep(banded.join(scratch.keep(sizes, "sizes"), "k"), "members")
 
     def fits(self, a: str, b: str):
         return F.least(a, b) >= F.greatest(a, b) * self.threshold - 1e-9
 
-    def all_of(self, members: DataFrame, others: DataFrame | None = None) -> DataFrame:
-        """(a, b) of one bucket that fit in size; with ``others``, one of each."""
-        side = lambda x, of: of.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "band", "k", *[F.col(c).alias(f"{c}{x}") for c in of.columns if c == "part"])
-        joined = side("a", members).join(side("b", others if others is not None else members), ["band", "k"]).where(self.fits("na", "nb"))
-        joined = joined.where("a < b") if others is None else joined.where("parta <> partb")
-        return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def within(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """(a, b), a < b, of two members of a bucket, one of each table, that fit in size."""
+        side = lambda x, of: of.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "k")
+        joined = side("a", one).join(side("b", other), "k").where(self.fits("na", "nb"))
+        return (joined.where("a < b") if one is other else joined.where("a <> b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """(ia, ib, a, b, jaccard), a and b being digests, of candidates (a, b) that are similar enough.
@@ -128,7 +127,7 @@ class _Near:
         one, other = sets.select(F.col("digest").alias("da"), F.col("s").alias("sa")), sets.select(F.col("digest").alias("db"), F.col("s").alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         scored = kept.join(one, "da").join(other, "db").select(
-            "ia", "ib", F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")
+            F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard")
         )
         return scored.where(F.col("jaccard") >= self.threshold)
 
@@ -141,7 +140,7 @@ def near_pairs(texts: DataFrame, threshold: float, scratch: Scratch, raw: bool =
     as many rows as there are texts.
     """
     near = _Near(texts, threshold, scratch, raw)
-    return near.verified(near.all_of(near.members), "all").select("a", "b", "jaccard")
+    return near.verified(near.within(near.members, near.members), "all").select("a", "b", "jaccard")
 
 
 #: Buckets up to this size are compared pair by pair, larger ones by stars first.
@@ -151,28 +150,20 @@ DENSE = 64
 def near_links(texts: DataFrame, threshold: float, scratch: Scratch, raw: bool = False, dense: int = DENSE) -> DataFrame:
     """(a, b, jaccard): pairs as in ``near_pairs``, enough of them that the same texts hang together.
 
-    In a bucket of more than ``dense`` texts all are first compared with its least and its greatest one. What hangs together then is settled;
-    what does not is compared with all the others of its bucket, but for those of its own part. So a million copies with small edits make some
-    million comparisons, not 10^12, and no link between different parts is lost.
+    In a bucket of more than ``dense`` texts all are first compared with its least one. Those alike hang together by it, which settles all pairs
+    among them; each of the others is compared with the whole bucket. So a million copies with small edits make some million comparisons, not
+    10^12, and whatever hangs together by pairs does so by these links.
     """
     near = _Near(texts, threshold, scratch, raw)
-    links = near.verified(near.all_of(near.members.where(F.col("m") <= dense)), "small")
-    large = near.members.where(F.col("m") > dense)
-    if large.isEmpty():
+    small, large = near.members.where(F.col("m") <= dense), near.members.where(F.col("m") > dense)
+    tips = near.signed.select(F.col("id").alias("least"), F.col("n").alias("nt"))
+    star = large.where("id <> least").join(tips, "least").where(near.fits("n", "nt")).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    links = scratch.keep(near.verified(near.within(small, small).unionAll(star).distinct(), "first"), "links")
+    alike = links.select(F.col("ia").alias("least"), F.col("ib").alias("id")).withColumn("alike", F.lit(True))
+    others = scratch.keep(large.where("id <> least").join(alike, ["least", "id"], "left_anti"), "others")
+    if others.isEmpty():
         return links.select("a", "b", "jaccard")
-    tips = near.signed.select("id", F.col("n").alias("nt"))
-    star = large.select("id", "n", F.explode(F.array("least", "most")).alias("tip")).where("id <> tip").join(tips.withColumnRenamed("id", "tip"), "tip")
-    star = star.where(near.fits("n", "nt")).select(F.least("id", "tip").alias("a"), F.greatest("id", "tip").alias("b")).distinct()
-    links = scratch.keep(links.unionAll(near.verified(star, "stars")), "links")
-    labels = least_labels(links.select(F.col("ia").alias("a"), F.col("ib").alias("b")), scratch).withColumnRenamed("node", "id")
-    parted = scratch.keep(large.join(labels, "id", "left").select("id", "n", "band", "k", F.coalesce("label", "id").alias("part")), "parted")
-    # The largest part of each bucket is not compared with itself; nor is any other.
-    counted = parted.groupBy("band", "k", "part").agg(F.count("*").alias("c"))
-    main = counted.groupBy("band", "k").agg(F.max_by("part", "c").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = scratch.keep(parted.join(main, ["band", "k"]), "mixed")
-    rest = near.all_of(mixed.where("part <> main").drop("main"), mixed.drop("main"))
-    tested = star.withColumn("tested", F.lit(True))
-    more = near.verified(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    more = near.verified(near.within(others, large.where("id <> least")), "others")
     return links.unionAll(more).select("a", "b", "jaccard")
 
 

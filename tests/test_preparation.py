@@ -130,7 +130,8 @@ def test_a_hundred_thousand_near_copies(spark, monkeypatch):
     monkeypatch.setattr(duplicates._Near, "verified", counted)
     scratch = Scratch(spark, "t")
     links = scratch.keep(duplicates.near_links(df, 0.85, scratch), "links")
-    assert sum(made) < 12 * 100_000 and links.count() < 12 * 100_000
+    # In each of the 28 bands a text is compared with the least of its bucket at most, or with all of a small one.
+    assert sum(made) < 40 * 100_000 and links.count() < 40 * 100_000, made
     assert least_labels(links, scratch).agg(F.count_distinct("label"), F.count("*")).first() == (1, 100_000)
 
 
