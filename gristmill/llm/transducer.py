@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import itertools
 import json
 import os
 from collections.abc import Iterable, Iterator
@@ -25,6 +26,8 @@ import regex
 PRESPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept with their tokens by one worker; beyond that the memory is emptied and filled anew.
 MEMORY = 400_000
+#: Characters of a text whose words are listed at once.
+LONG = 1 << 18
 #: Longer words are streamed and not kept.
 KEPT_BYTES = 256
 
@@ -55,14 +58,13 @@ class Merges:
             rank = ranks[pair]
             if token not in self.parts or rank < self.parts[token][2]:
                 self.parts[token] = (*pair, rank)
-        #: Tokens that the merges never build from their own bytes cannot occur.
-        self.usable = {b: i for b, i in ids.items() if len(b) == 1 or self._merge(b) == [i]}
-        #: The lookahead that suffices: no token is longer.
-        self.lookahead = max(map(len, self.usable), default=1)
-        self.by_last: dict[int, list[int]] = {}
-        for b in self.usable:
-            self.by_last.setdefault(b[-1], []).append(len(b))
-        self.by_last = {k: sorted(set(v)) for k, v in self.by_last.items()}
+        #: The lookahead that suffices for the merge list: a token that is still to come begins within the length of the longest one.
+        self.lookahead = max(map(len, ids), default=1)
+        lengths: dict[int, set[int]] = {}
+        for b in ids:
+            lengths.setdefault(b[-1], set()).add(len(b))
+        self.by_last = {k: sorted(v) for k, v in lengths.items()}
+        self._built: dict[bytes, int] = {}
         self._compatible: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -112,6 +114,17 @@ class Merges:
             tokens = out
         return tokens
 
+    def token(self, word: bytes) -> int:
+        """The token that is these bytes, or -1: there is none, or the merges never build it from its own bytes, so that it cannot occur. Decided
+        when it is first asked for, so that a worker starts at once."""
+        known = self._built.get(word)
+        if known is None:
+            number = self.ids.get(word, -1)
+            known = self._built[word] = number if number < 0 or len(word) == 1 or self._merge(word) == [number] else -1
+            if number < 0 and len(self._built) > MEMORY:
+                self._built.clear()
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stand side by side: their bytes together encode to just these two."""
         known = self._compatible.get((left, right))
@@ -129,7 +142,7 @@ class Merges:
         last: list[int] = [-1]  # last[k]: last token of the prefix that ends at base + k
         start: list[int] = [0]  # where that token begins
         emitted = 0  # all before this position is out
-        usable, by_last, longest = self.usable, self.by_last, self.lookahead
+        usable, by_last, longest = self.token, self.by_last, self.lookahead
         for piece in pieces:
             for value in piece:
                 tail += bytes((value,))
@@ -138,8 +151,8 @@ class Merges:
                     begin = end - length
                     if begin < emitted or begin < base:
                         break
-                    token = usable.get(tail[begin - base :])
-                    if token is None:
+                    token = usable(tail[begin - base :])
+                    if token < 0:
                         continue
                     left = last[begin - base]
                     if left == -2:
@@ -203,13 +216,22 @@ class ByteEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         """int32 ids of a text of any length; empty for the empty text."""
-        words = self.split.findall(text)
-        known = self.known
-        try:
-            out = b"".join([known[w] for w in words])
-        except KeyError:
-            out = b"".join([known[w] if w in known else self._new(w) for w in words])
-        return np.frombuffer(out, dtype=np.int32)
+        known, lots = self.known, []
+        for words in self._lots(text):
+            try:
+                lots.append(b"".join([known[w] for w in words]))
+            except KeyError:
+                lots.append(b"".join([known[w] if w in known else self._new(w) for w in words]))
+        return np.frombuffer(b"".join(lots), dtype=np.int32)
+
+    def _lots(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, of a long one in lots, so that its words are never all held at once."""
+        if len(text) <= LONG:
+            yield self.split.findall(text)
+            return
+        found = self.split.finditer(text)
+        while words := [m.group() for m in itertools.islice(found, LONG // 8)]:
+            yield words
 
     def count(self, text: str) -> int:
         return len(self.ids(text))
