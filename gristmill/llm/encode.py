@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gristmill.llm import transducer
 from gristmill.session import spread
@@ -70,12 +71,13 @@ def _sizes(names: list[str], folder: str, batches: Iterator[pa.RecordBatch]) ->
             for k, e in enumerate(encoders):
                 sizes[k].append(e.count(t))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), *[pa.array(s, pa.int64()) for s in sizes]], names=["doc_id", *[f"n{k}" for k in range(len(names))]]
+            [batch.column(0).cast(pa.int64()), *[pa.array(s, pa.int64()) for s in sizes], batch.column(2)], names=["doc_id", *[f"n{k}" for k in range(len(names))], "content"]
         )
 
 
 def token_counts(documents: DataFrame, tokenizers: list[str], folder: str | None = None) -> DataFrame:
-    """(doc_id, n0, n1, ...): tokens of each document by each of the tokenizers; 0 for empty and null texts."""
+    """(doc_id, n0, n1, ..., content): tokens of each document by each of the tokenizers, 0 for empty and null texts, and a hash of the text."""
     at = folder or transducer.folder()
-    schema = ", ".join(["doc_id bigint", *[f"n{k} bigint" for k in range(len(tokenizers))]])
-    return spread(documents.select("doc_id", "text")).mapInArrow(lambda b: _sizes(tokenizers, at, b), schema)
+    schema = ", ".join(["doc_id bigint", *[f"n{k} bigint" for k in range(len(tokenizers))], "content bigint"])
+    rows = spread(documents.select("doc_id", "text")).withColumn("content", F.xxhash64("text"))
+    return rows.mapInArrow(lambda b: _sizes(tokenizers, at, b), schema)

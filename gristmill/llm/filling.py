@@ -52,8 +52,8 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    run, group, capacity = key
-    rows = rows.sort_values(["doc_id", "n"], kind="stable")
+    run, group, capacity, number = key
+    rows = rows.sort_values(["doc_id", "no_id", "n", "content"], kind="stable")
     # An id is a number and whether there is one: a column with nulls would come as floating point.
     docs = pd.Series(pd.arrays.IntegerArray(rows["doc_id"].to_numpy(dtype=np.int64), rows["no_id"].to_numpy(dtype=bool)))
     n = rows["n"].to_numpy(dtype=np.int64)
@@ -64,7 +64,7 @@ def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     item = np.flatnonzero(rest)
     container = first_fit_decreasing(rest[item], capacity) if len(item) else np.zeros(0, dtype=np.int64)
     used = int(container.max()) + 1 if len(item) else 0
-    number = np.concatenate([container, used + np.arange(len(whole))]) + (int(group) << 32)
+    number = np.concatenate([container, used + np.arange(len(whole))]) + (int(number) << 32)
     row = np.concatenate([item, whole])
     return pd.DataFrame(
         {
@@ -83,8 +83,8 @@ def filled(documents: DataFrame, packing: DataFrame, folder: str | None = None,
     For each row of packing (run_name, tokenizer, sequence_length), every document with a token occurs with all its tokens; it is
     divided only if it alone exceeds the capacity. Documents without tokens are in no container. Repeated rows are packed
     each; runs with a null field or a capacity under 1 are left out; empty tables give an empty result. The settings in packing are
-    read to the driver. The grouping depends on how the input is laid out in partitions; it is written once, so a lost task
-    packs the same again.
+    read to the driver. Which group a document falls to follows from its id and content, so the same rows give the same containers however
+    they lie in files and partitions. Runs of one name with other tokenizers or capacities have containers of their own.
     """
     spark = documents.sparkSession
     runs = [
@@ -95,24 +95,26 @@ def filled(documents: DataFrame, packing: DataFrame, folder: str | None = None,
         return spark.createDataFrame([], FILLED)
     scratch = Scratch(spark, "filling")
     names = sorted({r["tokenizer"] for r in runs})
-    counts = scratch.keep(token_counts(documents, names, folder).withColumn("seq", F.monotonically_increasing_id()), "counts")
+    counts = scratch.keep(token_counts(documents, names, folder), "counts")
     groups = max(1, -(-counts.count() // group))
     items = F.array(
         *[
             F.struct(
+                F.lit(k).alias("run"),
                 F.lit(r["run_name"]).alias("run_name"),
                 F.lit(int(r["sequence_length"])).alias("capacity"),
                 F.col(f"n{names.index(r['tokenizer'])}").alias("n"),
             )
-            for r in sorted(runs)
+            for k, r in enumerate(sorted(runs))
         ]
     )
+    group_of = F.pmod(F.xxhash64("doc_id", "content"), F.lit(groups))
     dealt = (
-        counts.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.pmod(F.xxhash64("doc_id", "seq"), F.lit(groups)).alias("grp"), F.explode(items).alias("i"))
-        .select("doc_id", "no_id", "grp", "i.run_name", "i.capacity", "i.n")
+        counts.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "content", group_of.alias("grp"), F.explode(items).alias("i"))
+        .select("doc_id", "no_id", "content", "grp", "i.run_name", "i.capacity", "i.n", (F.col("i.run") * F.lit(groups) + F.col("grp")).alias("number"))
         .where("n > 0")
     )
-    return dealt.groupBy("run_name", "grp", "capacity").applyInPandas(_pack, FILLED)
+    return dealt.groupBy("run_name", "grp", "capacity", "number").applyInPandas(_pack, FILLED)
 
 
 def fill_report(containers: DataFrame, packing: DataFrame) -> DataFrame:

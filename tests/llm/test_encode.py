@@ -127,3 +127,29 @@ def test_filling(spark):
     assert sum(r["doc_id"] is None for r in rows if r["run_name"] == "big") == 1
     assert filling.filled(docs.limit(0), runs).count() == 0 and filling.filled(docs, runs.limit(0)).count() == 0
     assert filling.fill_report(filling.filled(docs, runs, group=4), runs).count() == 3
+
+
+def test_layout_does_not_matter(spark, data):
+    from gristmill.session import table
+
+    docs, runs = table(spark, data, "documents"), table(spark, data, "packing")
+    docs = docs.unionAll(docs.limit(20))  # repeated rows too
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    one = plain(filling.filled(docs, runs, group=50))
+    assert one == plain(filling.filled(docs.repartition(7, "text").sortWithinPartitions("n_chars"), runs, group=50))
+
+
+def test_runs_of_one_name_keep_apart(spark):
+    docs = spark.createDataFrame([(i, "one two three four") for i in range(9)], "doc_id bigint, text string")
+    runs = spark.createDataFrame([("r", "byte_bpe_50k", 8), ("r", "byte_bpe_50k", 9), ("r", "byte_bpe_multi_50k", 8)], "run_name string, tokenizer string, sequence_length int")
+    held = {}
+    for r in filling.filled(docs, runs).collect():
+        held.setdefault(r["container"], []).append(r["n_tokens"])
+    assert sum(map(len, held.values())) == 27 and max(map(sum, held.values())) <= 9
+
+
+def test_long_texts_in_lots(ours, monkeypatch):
+    text = "Some words, and 가나다 more  words\n\n" * 400
+    whole = ours.ids(text).tolist()
+    monkeypatch.setattr(transducer, "LONG", 100)
+    assert ours.ids(text).tolist() == whole
