@@ -1,12 +1,13 @@
 """Subject areas of documents from subject-specific n-gram language models.
 
-For every subject an interpolated bigram model of word stems (bigram, backed by unigram, backed by all text) is trained on rated
-documents, beside two background models: one of sentences about nothing in particular and one of passing mentions and
+For every subject an interpolated bigram model of word stems (bigram, backed by unigram, backed by the same floor for every stem) is
+trained on rated documents, beside two background models: one of sentences about nothing in particular and one of passing mentions and
 comparisons. Raters name subjects of documents, not of sentences, and err; so training is expectation maximisation: sentences are
 shared out between the subjects of their document's raters, with a small chance for every other one, and the backgrounds.
 
-A sentence goes to the model with the lowest cross-entropy per token, weighed with the document's make-up, if that beats
-the backgrounds. A document is about the subjects with at least a share of its sentences that are about any; the share is
+A sentence goes to the model under which its cross-entropy is lowest, weighed with the document's make-up (models are compared on one and
+the same sentence, so whether per token or in sum makes no difference to the order), if its responsibility, backgrounds included, is at
+least SURE. A document is about the subjects with at least a share of its sentences that are about any; the share is
 calibrated on the rated documents.
 """
 
@@ -26,6 +27,8 @@ from gristmill.session import spread
 
 #: Rated documents that the models are trained on: those with the smallest hashes of their ids.
 RATED = 6_000
+#: And characters that they have in all; a document that would exceed it is left out of the training, never of the result.
+RATED_CHARS = 40_000_000
 #: A stem in fewer of them, or a bigram that occurs less often, is unknown.
 LEAST = 3
 ROUNDS = 8
@@ -239,8 +242,9 @@ def folded_subject(column) -> F.Column:
     return F.lower(F.regexp_replace(column, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, rated: int = RATED) -> Models:
-    """Models trained on at most ``rated`` labelled documents, which come to the driver; the other tables stay where they are."""
+def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, rated: int = RATED, chars: int = RATED_CHARS) -> Models:
+    """Models trained on at most ``rated`` labelled documents of together at most ``chars`` characters, which come to the driver; the other tables
+    stay where they are."""
     spark = documents.sparkSession
     subjects = sorted({r[0].strip().lower(): r[0] for r in areas.select("subject").where("subject is not null").distinct().toLocalIterator()}.items())
     names = [s for s, _ in subjects]
@@ -249,8 +253,16 @@ def fitted(documents: DataFrame, labels: DataFrame, areas: DataFrame, rated: int
     kept = {r["doc_id"]: set(r["named"]) for r in chosen.toLocalIterator()}
     if not kept:
         return train([], [], names)
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in kept], "doc_id bigint"))  # at most `rated` numbers
-    rows = sorted(documents.select("doc_id", "text").where("text is not null").join(ids, "doc_id", "left_semi").collect())
+    of = lambda wanted: F.broadcast(spark.createDataFrame([(i,) for i in wanted], "doc_id bigint"))  # noqa: E731  (at most `rated` numbers)
+    texts = documents.select("doc_id", "text").where("text is not null")
+    sizes = texts.join(of(kept), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n"))
+    long = {r[0]: r[1] for r in sizes.toLocalIterator()}
+    held, total = [], 0
+    for i in kept:
+        if total + long.get(i, 0) <= chars:
+            held.append(i)
+            total += long.get(i, 0)
+    rows = sorted(texts.join(of(held), "doc_id", "left_semi").collect()) if held else []
     models = train([r[1] for r in rows], [kept[r[0]] for r in rows], names)
     models.spelled = [s for _, s in subjects]
     return models

@@ -84,3 +84,13 @@ def test_tables(spark):
     assert subjects.subjects_of(none[0], frames[1], areas).count() == 0
     assert subjects.subjects_of(frames[0], none[1], areas).count() == 0
     assert subjects.subjects_of(frames[0], frames[1], areas.limit(0)).count() == 0
+
+
+def test_training_is_bounded_in_characters(spark, data):
+    from gristmill.session import table
+
+    docs, labels, areas = (table(spark, data, n) for n in ("documents", "subject_labels", "subject_areas"))
+    all_of, none = subjects.fitted(docs, labels, areas), subjects.fitted(docs, labels, areas, chars=0)
+    few = subjects.fitted(docs, labels, areas, chars=3000)
+    assert none.size == 1 and none.size <= few.size < all_of.size
+    assert none.spelled == all_of.spelled
