@@ -91,6 +91,6 @@ def test_training_is_bounded_in_characters(spark, data):
 
     docs, labels, areas = (table(spark, data, n) for n in ("documents", "subject_labels", "subject_areas"))
     all_of, none = subjects.fitted(docs, labels, areas), subjects.fitted(docs, labels, areas, chars=0)
-    few = subjects.fitted(docs, labels, areas, chars=3000)
-    assert none.size == 1 and none.size <= few.size < all_of.size
+    few = subjects.fitted(docs, labels, areas, chars=8000)
+    assert none.size == 1 and len(none.bigrams) == 0 and none.size <= few.size <= all_of.size and all_of.size > 1
     assert none.spelled == all_of.spelled
