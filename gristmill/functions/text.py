@@ -108,7 +108,11 @@ def shingles(canonical_text: Column, size: int = SHINGLE) -> Column:
 
 def minhash(shingle_array: Column, hashes: int = 8) -> Column:
     """One minimum a seed over 64-bit hashes."""
-    return F.array(*[F.array_min(F.transform(shingle_array, lambda s, k=k: F.xxhash64(F.lit(k), s))) for k in range(hashes)])
+
+    def least(seed: int) -> Column:  # a second argument of the function would be the place in the array
+        return F.array_min(F.transform(shingle_array, lambda s: F.xxhash64(F.lit(seed), s)))
+
+    return F.array(*[least(seed) for seed in range(hashes)])
 
 
 def folded_answer(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -127,16 +128,18 @@ def decoder(name: str, folder: str | None = None):
 
 
 def measurer(name: str, folder: str | None = None):
-    """Arrow UDF text -> (tokens, whether decoding gives the text again), so that no ids leave Python."""
+    """Arrow UDF text -> (tokens, seconds of encoding, whether decoding gives the text again), so that no ids leave Python."""
     at = folder or tokenizer_folder()
 
-    @F.pandas_udf("tokens int, same boolean")
+    @F.pandas_udf("tokens int, seconds double, same boolean")
     def measured(texts: pd.Series) -> pd.DataFrame:
         t, rows = tokenizer(name, at), []
         for text in texts.fillna(""):
+            began = time.perf_counter()
             ids = t.encode(text)
-            rows.append((len(ids), t.decode(ids) == text))
-        return pd.DataFrame(rows, columns=["tokens", "same"])
+            took = time.perf_counter() - began
+            rows.append((len(ids), took, t.decode(ids) == text))
+        return pd.DataFrame(rows, columns=["tokens", "seconds", "same"])
 
     return measured
 
@@ -147,9 +150,9 @@ def splitter(pattern: str = r"\s*\S+|\s+$"):
     return lambda text: F.regexp_extract_all(text, F.lit(f"(?U)({pattern})"))
 
 
-def broken_pieces(texts: DataFrame, split) -> DataFrame:
-    """Texts whose pieces do not make up the text again: none, for a sound splitter."""
-    return texts.withColumn("pieces", split(F.col("text"))).where(F.array_join("pieces", "") != F.col("text")).select("text")
+def broken_pieces(texts: DataFrame, split, *keys: str) -> DataFrame:
+    """Texts, or their keys, whose pieces do not make up the text again: none, for a sound splitter."""
+    return texts.withColumn("pieces", split(F.col("text"))).where(F.array_join("pieces", "") != F.col("text")).select(*(keys or ["text"]))
 
 
 def token_document(ids: Column, bos: int, eos: int) -> Column:
@@ -158,13 +161,13 @@ def token_document(ids: Column, bos: int, eos: int) -> Column:
 
 
 def tokenizer_report(measured: DataFrame) -> DataFrame:
-    """(domain, documents, tokens, utf8_bytes, characters, roundtrip_failures, tokens_per_byte) of rows (domain, text, tokens, same);
-    empty texts are left out."""
+    """(domain, documents, tokens, utf8_bytes, characters, seconds, roundtrip_failures, tokens_per_byte, bytes_per_second) of rows (domain, text,
+    tokens, seconds, same); empty texts are left out. Seconds are of one core: those of all tasks in sum."""
     per = measured.where("text <> ''").groupBy(F.coalesce("domain", F.lit("unknown")).alias("domain")).agg(
         F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.sum(F.octet_length("text")).alias("utf8_bytes"), F.sum(F.length("text")).alias("characters"),
-        F.count_if(~F.col("same")).alias("roundtrip_failures"),
+        F.sum("seconds").alias("seconds"), F.count_if(~F.col("same")).alias("roundtrip_failures"),
     )
-    return per.withColumn("tokens_per_byte", F.col("tokens") / F.col("utf8_bytes"))
+    return per.withColumns({"tokens_per_byte": F.col("tokens") / F.col("utf8_bytes"), "bytes_per_second": F.try_divide("utf8_bytes", "seconds")})
 
 
 def length_distribution(rows: DataFrame, value: str, limit: int, *keys: str) -> DataFrame:

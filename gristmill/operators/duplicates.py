@@ -187,9 +187,14 @@ def prefix_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFr
     left, right = rare.select(F.col("digest").alias("a"), F.col("n").alias("na"), "h"), rare.select(F.col("digest").alias("b"), F.col("n").alias("nb"), "h")
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
     pairs = left.join(right, "h").where(fits).select("a", "b").distinct()
+    return similar(pairs, sets, threshold)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of pairs (a, b) whose sets (digest, hashes) are similar enough."""
     ha, hb = sets.select(F.col("digest").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("digest").alias("b"), F.col("hashes").alias("hb"))
-    common_count = F.size(F.array_intersect("ha", "hb"))
-    scored = pairs.join(ha, "a").join(hb, "b").withColumn("jaccard", common_count / (F.size("ha") + F.size("hb") - common_count))
+    common = F.size(F.array_intersect("ha", "hb"))
+    scored = pairs.join(ha, "a").join(hb, "b").withColumn("jaccard", common / (F.size("ha") + F.size("hb") - common))
     return scored.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 

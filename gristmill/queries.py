@@ -14,7 +14,7 @@ from gristmill.plans import pack, stages
 from gristmill.plans import prepare as plan
 from gristmill.plans.shared import Scratch
 from gristmill.session import spread, table
-from gristmill.sources import records, wiki
+from gristmill.sources import files, records, wiki
 from gristmill.streaming import events as streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,12 @@ def s04_wiki(spark, d):
     return wiki.to_records(wiki.scan_pages(spark, root), "dump-1", "cc-by-sa-4.0", min_chars=40).select("id", "group_id", F.length("text").alias("chars"), "reason")
 
 
+@query("SELECT 'dump-1-' || doc_id AS id, 'dump-1:' || doc_id AS group_id FROM documents WHERE text <> ''")
+def s04_pages(spark, d):
+    """The pages of that dump, whatever their prose."""
+    return s04_wiki(spark, d).select("id", "group_id")
+
+
 @query("SELECT DISTINCT prompt || chr(10) AS text FROM (SELECT unnest(string_split(prompt, chr(10))) AS prompt FROM suite WHERE prompt IS NOT NULL)")
 def s07_lines(spark, d):
     """Prompts written as lines of text and read line by line."""
@@ -139,14 +145,27 @@ def s08_split_sink(spark, d):
     return spark.read.parquet(root).where("split <> 'train'").select("doc_id", "split")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS rows, true AS same FROM {n}" for n in ("documents", "docs", "links", "aliases", "suite")))
 def s17_fingerprint(spark, d):
-    """An order-free fingerprint of every table."""
-    parts = [records.content_fingerprint(t, *t.columns).withColumn("name", F.lit(n)) for n in ("documents", "docs", "links", "aliases", "suite") for t in [table(spark, d, n)]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("name", "rows", F.col("fingerprint").cast("string").alias("fingerprint"))
+    """An order-free fingerprint of every table: rows that it covers, and whether the table in another layout has the same."""
+    out = None
+    for n in ("documents", "docs", "links", "aliases", "suite"):
+        t = table(spark, d, n)
+        one, other = records.content_fingerprint(t, *t.columns), records.content_fingerprint(t.repartition(7), *t.columns)
+        both = one.join(other.select(F.col("fingerprint").alias("other")), F.lit(True)).select(F.lit(n).alias("name"), "rows", (F.col("fingerprint") == F.col("other")).alias("same"))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+@query("SELECT count(*) AS files, true AS same FROM (SELECT DISTINCT doc_id % 3 FROM documents)")
+def s17_checksums(spark, d):
+    """Checksums of files, read in pieces: those of one folder written twice agree file by file."""
+    roots = [Scratch(spark, f"sums{k}").root for k in (1, 2)]
+    for root in roots:
+        lines = _documents(spark, d).select((F.col("doc_id") % 3).alias("part"), "doc_id").repartition(3, "part").sortWithinPartitions("part", "doc_id")
+        lines.select("part", F.col("doc_id").cast("string")).write.partitionBy("part").text(root)
+    one, other = (files.checksums(spark, root).where("file like '%.txt'").select(F.regexp_extract("file", "part=[0-9]+", 0).alias("part"), "sha256") for root in roots)
+    return one.groupBy("part").agg(F.min("sha256").alias("x")).join(other.groupBy("part").agg(F.max("sha256").alias("y")), "part").agg(F.count("*").alias("files"), F.bool_and(F.col("x") == F.col("y")).alias("same"))
 
 
 # ---- texts ----------------------------------------------------------------------------------------------------------------------
@@ -183,11 +202,12 @@ def x16_shingles(spark, d):
     return keyed.select("doc_id", F.size(X.shingles(F.col("key"))).cast("bigint").alias("shingles"))
 
 
-@query()
+@query(f"SELECT sha256(k) AS digest, CAST(1 AS BIGINT) AS signatures, CAST(8 AS INTEGER) AS hashes FROM (SELECT DISTINCT {_CANONICAL % 'text'} AS k FROM documents WHERE text IS NOT NULL) WHERE k <> ''")
 def x17_minhash(spark, d):
-    """MinHash signatures."""
-    keyed = _spread(spark, d).where("text is not null").select("doc_id", X.canonical(F.col("text")).alias("key")).where("key <> ''")
-    return keyed.select("doc_id", X.minhash(X.shingles(F.col("key"))).alias("signature"))
+    """MinHash signatures: all copies of a canonical text have one and the same, of eight hashes."""
+    keyed = _spread(spark, d).where("text is not null").select(X.canonical(F.col("text")).alias("key")).where("key <> ''")
+    signed = keyed.select(X.digest(F.col("key")).alias("digest"), X.minhash(X.shingles(F.col("key"))).alias("signature"))
+    return signed.groupBy("digest").agg(F.count_distinct("signature").alias("signatures"), F.max(F.size("signature")).alias("hashes"))
 
 
 @query(r"SELECT id, regexp_replace(lower(nfc_normalize(a)), '[\s\p{Z}\x0b\x{85}\x1c-\x1f\p{P}]', '', 'g') AS folded FROM (SELECT id, unnest(answers) AS a FROM suite)")
@@ -266,10 +286,12 @@ def d03_prefix_pairs(spark, d):
     return duplicates.prefix_pairs(texts, 0.85, scratch)
 
 
-@query()
+@query(_PAIRS + "SELECT a, b FROM pairs")
 def d02_banded_candidates(spark, d):
-    """Candidates by the banded scheme of the reference."""
-    return duplicates.banded_candidates(_keys(spark, d).select("digest", "key").distinct(), 0.85)
+    """Candidates by the banded scheme of the reference, of which those are left that are similar enough."""
+    scratch = Scratch(spark, "banded")
+    texts = scratch.keep(_keys(spark, d).select("digest", "key").distinct(), "texts")
+    return duplicates.similar(duplicates.banded_candidates(texts, 0.85), scratch.keep(duplicates.shingled(texts), "sets"), 0.85).select("a", "b")
 
 
 _MEMBERS = ", e AS (SELECT DISTINCT external, digest FROM (SELECT group_id AS external, sha256(" + _CANONICAL % "text" + ") AS digest FROM documents WHERE text IS NOT NULL AND " + _CANONICAL % "text" + """ <> '') WHERE external <> ''),
@@ -320,16 +342,42 @@ def e01_prepare(spark, d):
     return prepared_summary(spark, d)
 
 
+_PLAIN = "(SELECT * FROM documents WHERE coalesce(content_type, 'text') <> 'html')"
+_PREPARED = f"""WITH RECURSIVE tagged AS (SELECT *, {_REASON} AS reason FROM (SELECT *, {_CLEAN.replace('text', 'u')} AS t FROM (SELECT *, coalesce(text, '') AS u FROM {_PLAIN}), preparation)),
+kept AS (SELECT doc_id, t AS text, group_id, source, domain, {_CANONICAL % 't'} AS k, sha256({_CANONICAL % 't'}) AS digest FROM tagged WHERE reason IS NULL),
+t AS (SELECT DISTINCT digest, k FROM kept),
+""" + _PAIRS[_PAIRS.index("s AS (") :].rstrip() + """,
+e AS (SELECT DISTINCT group_id AS external, digest FROM kept WHERE group_id <> ''),
+tie AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT 'x' || external, digest FROM e UNION SELECT digest, 'x' || external FROM e),
+reach(a, b) AS (SELECT digest, digest FROM n UNION SELECT r.a, t.b FROM reach r JOIN tie t ON r.b = t.a),
+grouped AS (SELECT a AS digest, min(b) AS g FROM reach WHERE b NOT LIKE 'x%' GROUP BY a),
+first AS (SELECT arg_min(text, doc_id) AS text, digest FROM kept GROUP BY digest),
+clean AS (SELECT """ + _SPLIT + " AS split, text FROM (SELECT text, test_ratio, validation_ratio, " + _BUCKET + """ AS b FROM first JOIN grouped USING (digest), preparation))
+SELECT * FROM (SELECT 'input' AS counter, CAST(count(*) AS BIGINT) AS value FROM tagged UNION ALL SELECT reason, count(*) FROM tagged WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL SELECT 'exact_duplicates_removed', count(*) - count(DISTINCT digest) FROM kept UNION ALL SELECT split || '_documents', count(*) FROM clean GROUP BY split UNION ALL SELECT split || '_utf8_bytes', sum(strlen(text)) FROM clean GROUP BY split) WHERE value > 0"""
+
+
+@query(_PREPARED)
+def e01_plain(spark, d):
+    """The whole preparation of what is not HTML: counters, but for the number of links."""
+    plain = records.raw_records(_spread(spark, d).where(F.coalesce("content_type", F.lit("text")) != "html"))
+    return plan.prepare(plain, _settings(spark, d)).counters().where("counter <> 'near_duplicate_links'")
+
+
 @query()
 def e01_clean(spark, d):
     """The clean records: digest, group, split and copies."""
     return prepared(spark, d).clean.select("content_sha256", "id", "group_id", "split", "copies")
 
 
-@query("SELECT '' AS group_id, CAST(0 AS BIGINT) AS splits WHERE false")
+@query(f"SELECT 'by document' AS assigned, group_id, count(DISTINCT split) AS splits FROM (SELECT group_id, {_SPLIT} AS split FROM (SELECT group_id, test_ratio, validation_ratio, {_BUCKET} AS b FROM (SELECT group_id, CAST(doc_id AS VARCHAR) AS g FROM documents), preparation)) GROUP BY group_id HAVING count(DISTINCT split) > 1")
 def g03_leaks(spark, d):
-    """Groups of the preparation in more than one split: none."""
-    return duplicates.torn_groups(prepared(spark, d).clean)
+    """Groups in more than one split, if documents were assigned one by one; and if groups are, of which there must be none."""
+    s, docs = _settings(spark, d), _documents(spark, d)
+    one = duplicates.torn_groups(docs.select("group_id", preparation.hash_split(F.col("doc_id").cast("string"), s).alias("split"))).withColumn("assigned", F.lit("by document"))
+    other = duplicates.torn_groups(docs.select("group_id", preparation.hash_split(F.col("group_id"), s).alias("split"))).withColumn("assigned", F.lit("by group"))
+    clean = duplicates.torn_groups(prepared(spark, d).clean).withColumn("assigned", F.lit("by the preparation"))
+    return one.unionByName(other).unionByName(clean).select("assigned", "group_id", "splits")
 
 
 # ---- aggregates -----------------------------------------------------------------------------------------------------------------
@@ -391,17 +439,29 @@ def t03_round_trip(spark, d):
     return texts.select("doc_id", corpus.encoder("byte_bpe_50k")(F.col("text")).alias("ids")).select("doc_id", corpus.decoder("byte_bpe_50k")(F.col("ids")).alias("text"))
 
 
-@query("SELECT text FROM documents WHERE false")
+@query(r"SELECT 'loses what leads' AS splitter, doc_id FROM documents WHERE regexp_matches(text, '^[\s\p{Z}\x0b\x{85}]')")
 def t06_broken_pieces(spark, d):
-    """Texts that the plain splitter does not give back: none."""
-    return corpus.broken_pieces(_documents(spark, d).where("text is not null"), corpus.splitter())
+    """Texts that a splitter does not give back: for one that loses leading white space those that begin so, for the sound one none."""
+    texts = _documents(spark, d).where("text is not null").select("doc_id", "text")
+    lossy = corpus.broken_pieces(texts, corpus.splitter(r"\S+\s*"), "doc_id").select(F.lit("loses what leads").alias("splitter"), "doc_id")
+    return lossy.unionByName(corpus.broken_pieces(texts, corpus.splitter(), "doc_id").select(F.lit("sound").alias("splitter"), "doc_id"))
 
 
 @query()
 def a05_tokenizer_report(spark, d):
-    """Documents, tokens, bytes and round-trip failures by domain."""
+    """Documents, tokens, bytes, seconds, rates and round-trip failures by domain."""
+    return corpus.tokenizer_report(_measured(spark, d))
+
+
+def _measured(spark, d):
     rows = _spread(spark, d).select("domain", "text", corpus.measurer("byte_bpe_50k")(F.col("text")).alias("m"))
-    return corpus.tokenizer_report(rows.select("domain", "text", "m.tokens", "m.same"))
+    return rows.select("domain", "text", "m.*")
+
+
+@query("SELECT coalesce(domain, 'unknown') AS domain, count(*) AS documents, CAST(sum(strlen(text)) AS BIGINT) AS utf8_bytes, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(0 AS BIGINT) AS roundtrip_failures FROM documents WHERE text <> '' GROUP BY 1")
+def a05_sizes(spark, d):
+    """What of the tokenizer report does not depend on the tokenizer."""
+    return corpus.tokenizer_report(_measured(spark, d)).select("domain", "documents", "utf8_bytes", "characters", "roundtrip_failures")
 
 
 # ---- windows, packing, order ------------------------------------------------------------------------------------------------------
@@ -475,20 +535,31 @@ def m03_chunks(spark, d):
     return chunks.select("doc_id", F.size("c").alias("chunks"), F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x) - 1).alias("scored"))
 
 
-@query("SELECT id FROM docs WHERE split = 'train'")
+@query("SELECT s AS split, count(*) FILTER (split = s) AS rows, count(*) FILTER (split IS DISTINCT FROM s) > 0 AS refused FROM docs, (VALUES ('train'), ('val'), ('test')) v(s) GROUP BY s")
 def f09_split_guard(spark, d):
-    """Records of one split, behind the guard that refuses any other."""
-    return pack.only_split(table(spark, d, "docs").where("split = 'train'"), "train").select("id")
-
-
-@query("SELECT count(*) AS documents FROM documents WHERE text IS NOT NULL")
+    """The guard of each split: how many records of that split pass it, and whether it refuses the whole table, which has others."""
+    docs, rows = table(spark, d, "docs"), []
+    for split in ("train", "val", "test"):
+        passed = pack.only_split(docs.where(F.col("split") == split), split).count()
+        try:
+            pack.only_split(docs, split).select("id").write.format("noop").mode("overwrite").save()
+            refused = False
+        except Exception as problem:
+            refused = "not of split" in str(problem)
+        rows.append((split, passed, refused))
+    return spark.createDataFrame(rows, "split string, rows bigint, refused boolean")
+
+
+@query("SELECT count(*) AS documents, CAST(sum(CAST('0x' || substr(sha256(strlen(text) || ':' || text), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM documents WHERE text IS NOT NULL")
 def t07_corpus_digest(spark, d):
-    """How many documents the order-free digest of the corpus covers; the digest is the same for the table turned round."""
-    one, other = pack.corpus_digest(_documents(spark, d)), pack.corpus_digest(_documents(spark, d).orderBy(F.desc("doc_id")))
-    return one.join(other, ["documents", "digest"]).select("documents")
+    """The order-free digest of the corpus."""
+    return pack.corpus_digest(_documents(spark, d)).select("documents", F.col("digest").cast("string").alias("digest"))
 
 
-@query()
+@query("""WITH n AS (SELECT count(*)::BIGINT AS n FROM docs), h AS (SELECT e, n, list_transform(string_split(sha256('42:' || e), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT) AS digits FROM range(2) t(e), n),
+f AS (SELECT e, n, list_reduce(digits, lambda a, x: (a * 16 + x) % n) AS r, list_reduce(digits, lambda a, x: (a * 16 + x) % (n * n)) // n AS shift FROM h),
+s AS (SELECT e, n, shift, list_filter(range(greatest(r, 1), greatest(r, 1) + 2000), lambda s: gcd(s, n) = 1)[1] AS stride FROM f)
+SELECT e * n + c AS cursor, (stride % n * c + shift) % n AS row FROM s, LATERAL (SELECT unnest(range(n)) AS c)""")
 def k04_epoch_order(spark, d):
     """Which record each of two epochs' cursors reads."""
     n = table(spark, d, "docs").count()
@@ -618,10 +689,10 @@ def m06_compare(spark, d):
     return evaluation.compare_reports(before, before.withColumn("value", F.col("value") * 0.5), same_tokenizer=False)
 
 
-@query()
+@query("SELECT 1.0::DOUBLE AS mean, 1.0::DOUBLE AS low, 1.0::DOUBLE AS high")
 def b07_bootstrap(spark, d):
-    """Interval of the mean difference between two values of each event."""
-    rows = table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("id"), F.col("value").alias("before"), (F.col("value") + 1).alias("after"))
+    """Interval of the mean difference between two values of each event; all differ by one, so every round must say so."""
+    rows = table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("id"), F.lit(1.0).alias("before"), F.lit(2.0).alias("after"))
     return evaluation.bootstrap_interval(rows, rounds=50)
 
 
@@ -631,10 +702,20 @@ def b08_latency(spark, d):
     return evaluation.latency(table(spark, d, "events"), "value", "event_type")
 
 
-@query("SELECT id, 'repeated id' AS problem FROM suite WHERE false")
+@query("""SELECT id, 'repeated id' AS problem FROM suite WHERE type = 'text' UNION ALL SELECT id, 'repeated id' FROM suite WHERE type = 'text' UNION ALL SELECT id || '/a', 'no answers' FROM suite WHERE type = 'qa'
+UNION ALL SELECT id || '/i', 'answer index' FROM suite WHERE type = 'multiple_choice' UNION ALL SELECT id || '/p', 'empty prompt' FROM suite WHERE type = 'generation' UNION ALL SELECT id || '/t', 'unknown type' FROM suite WHERE type = 'generation'
+UNION ALL SELECT NULL, 'missing id' FROM suite WHERE type = 'generation'""")
 def a10_suite_problems(spark, d):
-    """Items that an evaluation would not accept, blank answers aside."""
-    return evaluation.suite_problems(table(spark, d, "suite"))
+    """Items that an evaluation would not accept, in the suite with spoiled copies of its items beside it."""
+    suite = table(spark, d, "suite")
+    spoiled = lambda kind, end, **changes: suite.where(F.col("type") == kind).withColumn("id", F.concat("id", F.lit(end))).withColumns(changes)
+    parts = [
+        suite.where("type = 'text'"), spoiled("qa", "/a", answers=F.lit(None).cast("array<string>")), spoiled("multiple_choice", "/i", answer_index=F.lit(99)), spoiled("generation", "/p", prompt=F.lit("")),
+        spoiled("generation", "/t", type=F.lit("essay")), spoiled("generation", "", id=F.lit(None).cast("string")),
+    ]
+    for part in parts:
+        suite = suite.unionByName(part)
+    return evaluation.suite_problems(suite)
 
 
 _CONFIGS = [("base", 32000, 24, 1024, 16, 8, 64, 2816, "headwise", True), ("debug", 32000, 8, 512, 8, 4, 64, 1408, "headwise", True), ("untied", 50257, 12, 768, 12, 12, 64, 3072, "none", False)]
@@ -734,12 +815,14 @@ def b12_chat_pairs(spark, d):
 # ---- runs -----------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT * FROM (VALUES ('settings', true, ''), ('documents', true, ''), ('suite', true, ''), ('shared folder', true, ''), ('an empty table', false, ''), ('a missing table', false, 'AnalysisException')) t(\"check\", ok, detail)")
 def v02_preflight(spark, d):
-    """Checks of tables and settings, all reported."""
-    return stages.preflight(spark, {
+    """Checks of tables and settings, all reported; two of them must fail."""
+    done = stages.preflight(spark, {
         "settings": lambda: _settings(spark, d) is not None, "documents": lambda: not _documents(spark, d).isEmpty(), "suite": lambda: suite_sound(spark, d), "shared folder": lambda: bool(Scratch(spark, "check").root),
+        "an empty table": lambda: not _documents(spark, d).where("false").isEmpty(), "a missing table": lambda: table(spark, d, "no_such_table").isEmpty(),
     })
+    return done.withColumn("detail", F.regexp_extract("detail", r"^(\w*)", 1))
 
 
 def suite_sound(spark: SparkSession, d: str) -> bool:
@@ -814,13 +897,21 @@ def c09_as_of(spark, d):
     return streams.as_of(events.where(F.col("event_type") != kind).select("event_id", "user_id", "ts"), chosen, "user_id", "ts", "at", "last_purchase").select("event_id", "last_purchase")
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS events, sum(value) AS total FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS events, sum(value) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 hour', min(ts)) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '2 hours' FROM events)")
 def c10_stream_tumbling(spark, d):
-    """The events as a stream through the same windows, all of it, written and read again."""
+    """The events as a stream through the same windows, appended once the watermark has passed them; the oldest events are delivered again
+    after that and must change nothing."""
     scratch = Scratch(spark, "stream")
-    table(spark, d, "events").write.parquet(scratch.root + "/in")
-    stream = streams.tumbling(streams.event_stream(spark, scratch.root + "/in", files_per_trigger=1000))
-    out = scratch.root + "/out"
-    run = stream.writeStream.outputMode("complete").option("checkpointLocation", scratch.root + "/state").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(out)
+    events = table(spark, d, "events")
+    oldest = events.agg(F.min("ts")).first()[0]
+    events.coalesce(1).write.parquet(scratch.root + "/in")  # one file, one batch: what is late does not depend on the order of files
+    out, source = scratch.root + "/out", streams.event_stream(spark, scratch.root + "/in", files_per_trigger=1)
+
+    def deliver():
+        run = streams.tumbling(source).writeStream.outputMode("append").option("checkpointLocation", scratch.root + "/state").format("parquet").option("path", out).trigger(availableNow=True).start()
+        run.awaitTermination()
+
+    deliver()
+    events.where(F.col("ts") < F.lit(oldest) + F.expr("interval 1 day")).coalesce(1).write.mode("append").parquet(scratch.root + "/in")
+    deliver()
+    return spark.read.parquet(out)
\ No newline at end of file

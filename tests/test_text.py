@@ -98,3 +98,17 @@ def test_wiki_dump(spark, tmp_path):
 
 def test_email_pattern_is_unicode():
     assert re.match(r"[\w.+-]+@", "é@")  # the reference rule, as Python has it
+
+
+def test_minhash_estimates_similarity(spark):
+    import random
+
+    drawn = random.Random(3)
+    one = [f"w{i:05d}" for i in range(400)]
+    other = one[:300] + [f"v{i:05d}" for i in range(100)]  # 300 of 500 in common
+    shuffled = one[:]
+    drawn.shuffle(shuffled)
+    df = spark.createDataFrame([(1, one), (2, other), (3, shuffled)], "id int, s array<string>")
+    a, b, c = (r["m"] for r in df.select("id", X.minhash(F.col("s"), 128).alias("m")).orderBy("id").collect())
+    assert a == c and len(set(a)) == 128
+    assert abs(sum(x == y for x, y in zip(a, b)) / 128 - 0.6) < 0.15
