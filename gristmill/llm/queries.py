@@ -45,6 +45,22 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_splits(*_ties(spark, d))
 
 
+def p3_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with its group and the number of splits that the group's records are given, which must be one."""
+    placed = p3_splits(spark, d)
+    of_group = placed.groupBy("root_id").agg(F.count_distinct("split").alias("splits"))
+    return placed.join(of_group, "root_id").select("id", "root_id", "splits")
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct records and whether their share is within two per cent of the settings' for each split."""
+    wanted = F.create_map(*[x for s in splits.SPLITS for x in (F.lit(s), F.col(f"{s}_ratio"))])
+    ratios = table(spark, d, "preparation").select(F.explode(wanted).alias("split", "ratio"))
+    counted = p3_splits(spark, d).agg(F.count("*").alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in splits.SPLITS])
+    shares = counted.select(F.explode(F.create_map(*[x for s in splits.SPLITS for x in (F.lit(s), F.col(s) / F.col("n"))])).alias("split", "share"))
+    return shares.join(ratios, "split").select("split", (F.abs(F.col("share") - F.col("ratio")) < 0.02).alias("near"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Distinct personal values of each document."""
     return pii.personal_values(table(spark, d, "documents"))
@@ -60,6 +76,21 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return pii.type_counts(table(spark, d, "documents"))
 
 
+def p4_rest(spark: SparkSession, d: str) -> DataFrame:
+    """Every document restored from its redacted text and the values found: each placeholder stands where the value did, and nothing else has
+    changed."""
+    done = pii.redacted(table(spark, d, "documents"))
+    return done.select("doc_id", F.md5(F.aggregate("spans", F.col("text"), _put_back)).alias("digest"))
+
+
+def _put_back(text, span):
+    sign = F.lit(None).cast("string")
+    for kind, placeholder in pii.PLACEHOLDER.items():
+        sign = F.when(span["pii_type"] == kind, placeholder).otherwise(sign)
+    at = span["start"]  # what stands before is restored already
+    return F.concat(F.substring(text, F.lit(1), at), span["value"], F.substr(text, at + F.length(sign) + 1))
+
+
 def p5_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encoded(table(spark, d, "documents"))
@@ -80,6 +111,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return filling.fill_report(p6_containers(spark, d), table(spark, d, "packing"))
 
 
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Of each packing run, containers that hold too much and documents that were divided without need: none."""
+    packing, held = table(spark, d, "packing"), p6_containers(spark, d).join(table(spark, d, "packing").select("run_name", "sequence_length"), "run_name")
+    over = held.groupBy("run_name", "container", "sequence_length").agg(F.sum("n_tokens").alias("t")).groupBy("run_name").agg(F.count_if(F.col("t") > F.col("sequence_length")).alias("overfull"))
+    parts = held.groupBy("run_name", "doc_id", "sequence_length").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("t"))
+    torn = parts.groupBy("run_name").agg(F.count_if(F.col("parts") > F.ceil(F.col("t") / F.col("sequence_length"))).alias("torn"))
+    return packing.select("run_name").join(over, "run_name").join(torn, "run_name")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Subjects of each document."""
     return p7_shares(spark, d).select("doc_id", "subject").distinct()
@@ -100,8 +140,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_alignments, p2_found, p2_groups, p3_found, p3_splits, p4_found, p4_redacted, p4_counts, p5_ids, p5_decoded,
-            p6_containers, p6_fill, p7_found, p7_shares, p7_composition,
+            p1_found, p1_alignments, p2_found, p2_groups, p3_found, p3_splits, p3_placed, p3_shares, p4_found, p4_redacted, p4_rest, p4_counts, p5_ids, p5_decoded,
+            p6_containers, p6_fill, p6_sound, p7_found, p7_shares, p7_composition,
         )
     }
 
@@ -142,9 +182,14 @@ SELECT g.id FROM grouped g JOIN (
 
 
 def oracle_sql() -> dict[str, str]:
-    """Transitive closure over the ties: quadratic in the size of a group, so for small tables."""
+    """Groups by transitive closure over the ties, quadratic in the size of a group; of the other problems what must hold whatever the model finds."""
     return {
         "p2_found": _GROUPS + "SELECT root_id, id FROM grouped WHERE root_id < id",
         "p2_groups": _GROUPS + "SELECT id, root_id FROM grouped",
         "p3_found": _GROUPS + _TORN,
+        "p3_placed": _GROUPS + "SELECT id, root_id, CAST(1 AS BIGINT) AS splits FROM grouped",
+        "p3_shares": "SELECT unnest(['train', 'validation', 'test']) AS split, true AS near",
+        "p4_rest": "SELECT doc_id, md5(text) AS digest FROM documents",
+        "p5_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p6_sound": "SELECT run_name, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS torn FROM packing",
     }
