@@ -18,18 +18,27 @@ PAGE = T.StructType(
         T.StructField("_broken", T.StringType()),
     ]
 )
+_XML = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, title, ns, redirect, body) of every complete page; the codec follows the file's extension. A page that a cut-off
-    leaves incomplete has no id and is dropped by ``articles``."""
-    pages = (
-        spark.read.format("xml").schema(PAGE).option("rowTag", "page").option("ignoreSurroundingSpaces", "false").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_broken").load(path)
+    """(page_id, title, ns, redirect, body, broken) of every page; the codec follows the file's extension.
+
+    A dump is read as records that end with ``</page>``, so one file, plain or bzip2, is read by many tasks. A page that a cut-off leaves
+    incomplete has no id, is marked ``broken`` and is dropped by ``articles``; so is one row that stands for a compressed stream that ends early,
+    whose pages before the cut are kept.
+    """
+    reader = spark.read.option("lineSep", "</page>")
+    pieces = reader.option("ignoreCorruptFiles", "true").text(path).select(F.regexp_extract("value", r"(?s)<page[\s>].*$", 0).alias("page"), F.contains("value", F.lit("</mediawiki>")).alias("last"), F.col("_metadata.file_path").alias("file"))
+    # The end of the dump is the one piece without a page. A file without one was cut off.
+    read = pieces.where("page <> ''").select(F.from_xml(F.concat("page", F.lit("</page>")), PAGE, _XML).alias("p"), F.col("page").contains("</revision>").alias("whole"))
+    whole = F.col("whole") & F.col("p._broken").isNull()
+    pages = read.select(
+        F.when(whole, F.col("p.id")).alias("page_id"), F.col("p.title").alias("title"), F.col("p.ns").alias("ns"), F.col("p.redirect").isNotNull().alias("redirect"),
+        F.col("p.revision.text._VALUE").alias("body"), (~whole).alias("broken"),
     )
-    return pages.select(
-        F.col("id").alias("page_id"), "title", "ns", F.col("redirect").isNotNull().alias("redirect"), F.col("revision.text._VALUE").alias("body"), F.col("_broken").isNotNull().alias("broken")
-    )
+    ends = pieces.agg(F.count_if(F.col("last")).alias("ends"), F.count_distinct("file").alias("files")).where("ends < files")
+    return pages.unionByName(ends.select(*[F.lit(None).cast("string").alias(c) for c in ("page_id", "title", "ns")], F.lit(False).alias("redirect"), F.lit(None).cast("string").alias("body"), F.lit(True).alias("broken")))
 
 
 def articles(pages: DataFrame) -> DataFrame:

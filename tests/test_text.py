@@ -112,3 +112,39 @@ def test_minhash_estimates_similarity(spark):
     a, b, c = (r["m"] for r in df.select("id", X.minhash(F.col("s"), 128).alias("m")).orderBy("id").collect())
     assert a == c and len(set(a)) == 128
     assert abs(sum(x == y for x, y in zip(a, b)) / 128 - 0.6) < 0.15
+
+
+def dump(pages, chars, seed=1):
+    import random
+
+    drawn = random.Random(seed)
+    body = lambda: "".join(drawn.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(chars))
+    parts = [f"<page><title>t{i}</title><ns>0</ns><id>{i}</id><revision><id>1</id><text bytes=\"1\">{body()}</text></revision></page>" for i in range(pages)]
+    return ("<mediawiki>\n  <siteinfo><sitename>x</sitename></siteinfo>\n" + "\n".join(parts) + "\n</mediawiki>\n").encode()
+
+
+def test_compressed_dump_that_ends_early(spark, tmp_path):
+    """Cut within the compressed bytes: the pages of whole blocks are kept, and the cut is told."""
+    raw = dump(400, 10_000)
+    packed = bz2.compress(raw)
+    (tmp_path / "whole.xml.bz2").write_bytes(packed)
+    (tmp_path / "cut.xml.bz2").write_bytes(packed[: len(packed) * 7 // 10])
+    whole, cut = (wiki.scan_pages(spark, str(tmp_path / n)) for n in ("whole.xml.bz2", "cut.xml.bz2"))
+    assert whole.count() == 400 and whole.where("broken").count() == 0
+    kept = [r["page_id"] for r in wiki.articles(cut).select("page_id").collect()]
+    assert 100 < len(kept) < 300 and set(kept) == {str(i) for i in range(len(kept))}
+    counted = lambda pages: wiki.conversion_counters(pages, wiki.to_records(pages, "d", "l")).first()
+    assert counted(cut)["truncated"] and counted(cut)["kept"] == len(kept)
+    assert not counted(whole)["truncated"] and counted(whole)["kept"] == 400
+
+
+def test_one_dump_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "one.xml.bz2").write_bytes(bz2.compress(dump(300, 10_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        pages = wiki.scan_pages(spark, str(tmp_path / "one.xml.bz2"))
+        texts = spark.read.option("lineSep", "</page>").text(str(tmp_path / "one.xml.bz2"))
+        assert texts.rdd.getNumPartitions() > 2
+        assert sorted(int(r["page_id"]) for r in pages.select("page_id").collect()) == list(range(300))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
