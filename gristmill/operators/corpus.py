@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
 import os
 import time
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.sources import files
+
 UNKNOWN = "<unk>"
 #: Fixed value: how byte-level vocabularies cut a text before they merge.
 PRESPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -93,6 +97,47 @@ class Tokenizer:
             self.decode = lambda ids: library.decode(ids, skip_special_tokens=False)
 
 
+def save_vocabulary(vocabulary: DataFrame, folder: str) -> dict:
+    """A vocabulary (id, ch) as a file with its description; a folder that is there already is refused. At most 1.1 million rows."""
+    if files.exists(folder):
+        raise FileExistsError(folder)
+    rows = sorted((r["id"], r["ch"]) for r in vocabulary.toLocalIterator())
+    if [i for i, _ in rows] != list(range(len(rows))) or not rows or rows[0][1] != UNKNOWN:
+        raise ValueError("ids must run from 0, and 0 be the sign of the unknown")
+    content = json.dumps([ch for _, ch in rows], ensure_ascii=True).encode()
+    about = {"kind": "character_vocabulary", "sha256": hashlib.sha256(content).hexdigest(), "size": len(rows), "specials": {UNKNOWN: 0}}
+    files.write_whole(f"{folder}/vocabulary.json", content)
+    files.write_whole(f"{folder}/about.json", json.dumps(about, indent=2).encode())
+    return about
+
+
+def load_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, ch) as saved. Another checksum, another size, or special signs at other places than described are refused."""
+    about = files.read_json(f"{folder}/about.json")
+    if files.sha256(f"{folder}/vocabulary.json") != about["sha256"]:
+        raise ValueError("the vocabulary has another checksum")
+    signs = files.read_json(f"{folder}/vocabulary.json")
+    if len(signs) != about["size"]:
+        raise ValueError("the vocabulary has another size")
+    for sign, at in about["specials"].items():
+        if signs[at : at + 1] != [sign]:
+            raise ValueError(f"special sign {sign} is not at {at}")
+    return spark.createDataFrame(list(enumerate(signs)), "id int, ch string")
+
+
+def vocabulary_checks(texts: DataFrame, vocabulary: DataFrame, again: DataFrame, *keys: str) -> DataFrame:
+    """(check, failures) over texts (keys, text): round trips, equal ids at a second time and by the vocabulary ``again`` (as loaded), one id a
+    character, and nothing unknown in texts that the vocabulary was made of."""
+    one = encode_characters(texts, vocabulary, *keys, "text")
+    second = encode_characters(texts, again, *keys).withColumnRenamed("ids", "second")
+    back = decode_characters(one, vocabulary, *keys).withColumnRenamed("text", "back")
+    both = one.join(second, list(keys)).join(back, list(keys))
+    text = F.coalesce("text", F.lit(""))
+    failed = {"round_trip": F.col("back") != text, "reload": F.col("ids") != F.col("second"), "one_id_a_character": F.size("ids") != F.length(text), "unknown": F.array_contains("ids", 0)}
+    counted = both.agg(*[F.count_if(c).alias(n) for n, c in failed.items()])
+    return counted.select(F.explode(F.create_map(*[x for n in failed for x in (F.lit(n), F.col(n))])).alias("check", "failures"))
+
+
 _tokenizers: dict[tuple[str, str], Tokenizer] = {}
 
 

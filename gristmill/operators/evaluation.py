@@ -167,6 +167,16 @@ def budget(configs: DataFrame, tokens: int, batch: int, sequence: int, accumulat
     )
 
 
+def cost(plans: DataFrame) -> DataFrame:
+    """(plan, training_hours, run_hours, device_cost, total_cost) of plans (plan, tokens, tokens_per_second of all devices, margin, devices,
+    hourly_rate of one, storage, transfer, preparation): hours of training proper, with the margin for what comes beside, and what they cost."""
+    training = F.col("tokens") / F.col("tokens_per_second") / 3600
+    run = training * F.col("margin")
+    device = F.col("hourly_rate") * F.col("devices") * run
+    total = device + F.col("storage") + F.col("transfer") + F.col("preparation")
+    return plans.select("plan", training.alias("training_hours"), run.alias("run_hours"), device.alias("device_cost"), total.alias("total_cost"))
+
+
 def learning_rate(steps: DataFrame, total: int, warmup_ratio: float = 0.01, floor: float = 0.1) -> DataFrame:
     """(step, multiplier): a straight rise over the first steps (at least one, none at ratio 0), then half a cosine wave that ends at
     ``floor`` on the last step."""
@@ -226,6 +236,13 @@ def overlap(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return left.select(column).where(F.col(column).isNotNull()).distinct().join(right.select(column), column, "left_semi")
 
 
+def refuse_overlap(train: DataFrame, validation: DataFrame, column: str = "prompt") -> None:
+    """Raises if train and validation share a value, as prompts of fine-tuning must not."""
+    shared = overlap(train, validation, column).count()
+    if shared:
+        raise ValueError(f"train and validation share {shared} values of {column}")
+
+
 def suite_from(validation: DataFrame, prompts: DataFrame) -> DataFrame:
     """Text items of validation records (id, domain, text), and all of the fixed prompts (id, type, domain, prompt)."""
     texts = validation.select(F.concat(F.lit("text-"), F.col("id")).alias("id"), F.lit("text").alias("type"), "domain", "text")

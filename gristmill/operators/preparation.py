@@ -121,6 +121,15 @@ def hash_split(group: Column, settings: Settings) -> Column:
     return F.when(bucket < settings.test_ratio, "test").when(bucket < settings.test_ratio + settings.validation_ratio, "validation").otherwise("train")
 
 
+def held_out_after(rows: DataFrame, cut: Column, group: str = "group_id", time: str = "seen_at") -> DataFrame:
+    """Rows with a split: a group that has any row at or after ``cut`` is held out whole, so that no later record has a relative in train. Rows
+    without a group stand for themselves; rows without a time do not hold their group out."""
+    late = F.col(time) >= cut
+    groups = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.bool_or(late).alias("_late"))
+    joined = rows.join(groups, group, "left")
+    return joined.withColumn("split", F.when(F.coalesce(F.when(F.col(group).isNotNull(), F.col("_late")).otherwise(late), F.lit(False)), "test").otherwise("train")).drop("_late")
+
+
 def numbered(clean: DataFrame) -> DataFrame:
     """``doc_number`` in order of digests within each split, from 0.
 

@@ -319,6 +319,13 @@ def g02_hash_split(spark, d):
     return table(spark, d, "docs").select("id", "digest").distinct().select("id", preparation.hash_split(F.col("digest"), _settings(spark, d)).alias("split"))
 
 
+@query("SELECT id, digest, CASE WHEN coalesce(bool_or(seen_at >= TIMESTAMPTZ '2026-08-10 00:00:00+00') OVER (PARTITION BY g), false) THEN 'test' ELSE 'train' END AS split FROM (SELECT *, coalesce(group_id, '#' || row_number() OVER ()) AS g FROM docs)")
+def b09_temporal(spark, d):
+    """Records held out by time, whole groups at once."""
+    rows = table(spark, d, "docs").select("id", "digest", "group_id", "seen_at")
+    return preparation.held_out_after(rows, F.to_timestamp(F.lit("2026-08-10 00:00:00+00:00"))).select("id", "digest", "split")
+
+
 @query("SELECT group_id, count(DISTINCT lower(trim(split))) AS splits FROM docs GROUP BY group_id HAVING count(DISTINCT lower(trim(split))) > 1")
 def g03_torn_labels(spark, d):
     """Labels whose rows lie in several splits, as written."""
@@ -432,6 +439,15 @@ def t01_round_trip(spark, d):
     return corpus.decode_characters(corpus.encode_characters(texts, vocabulary, "id"), vocabulary, "id")
 
 
+@query("SELECT unnest(['round_trip', 'reload', 'one_id_a_character', 'unknown']) AS \"check\", CAST(0 AS BIGINT) AS failures")
+def t04_vocabulary_artifact(spark, d):
+    """The vocabulary of the documents saved and loaded again, checked over all documents."""
+    texts, root = _documents(spark, d).select("doc_id", "text"), Scratch(spark, "vocabulary").root
+    vocabulary = corpus.character_vocabulary(texts)
+    corpus.save_vocabulary(vocabulary, root)
+    return corpus.vocabulary_checks(texts, vocabulary, corpus.load_vocabulary(spark, root), "doc_id")
+
+
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def t03_round_trip(spark, d):
     """Documents through a public byte-level tokenizer and back."""
@@ -604,6 +620,19 @@ def u01_split_overlap(spark, d):
     return evaluation.overlap(docs.where("split = 'train'"), docs.where("split <> 'train'"), "digest")
 
 
+@query("SELECT count(DISTINCT payload) AS shared, count(*) > 0 AS refused FROM docs WHERE split = 'train' AND payload IN (SELECT payload FROM docs WHERE split <> 'train')")
+def u02_prompt_overlap(spark, d):
+    """Payloads that train shares with the other splits, and the refusal of such splits."""
+    docs = table(spark, d, "docs")
+    train, others = docs.where("split = 'train'"), docs.where("split <> 'train'")
+    try:
+        evaluation.refuse_overlap(train, others, "payload")
+        refused = False
+    except ValueError:
+        refused = True
+    return evaluation.overlap(train, others, "payload").agg(F.count("*").alias("shared"), F.lit(refused).alias("refused"))
+
+
 @query("SELECT 'text-' || record_id AS id, 'text' AS type, domain, text, NULL AS prompt FROM documents WHERE domain = 'traffic' UNION ALL SELECT id, type, domain, NULL, prompt FROM suite WHERE type = 'generation'")
 def u03_suite(spark, d):
     """A suite of the traffic documents and the prompts for generation."""
@@ -718,6 +747,16 @@ def a10_suite_problems(spark, d):
     return evaluation.suite_problems(suite)
 
 
+_PLANS = [("small", 1_000_000_000, 10_000.0, 1.3, 1, 0.5, 1.0, 2.0, 3.0), ("slow", 1_000_000_000, 1_000.0, 1.0, 8, 2.0, 0.0, 0.0, 0.0)]
+_PLAN_NAMES = "plan string, tokens bigint, tokens_per_second double, margin double, devices int, hourly_rate double, storage double, transfer double, preparation double"
+
+
+@query("SELECT p AS plan, t / s / 3600 AS training_hours, t / s / 3600 * m AS run_hours, r * n * (t / s / 3600 * m) AS device_cost, r * n * (t / s / 3600 * m) + a + b + c AS total_cost FROM (SELECT p, t::DOUBLE AS t, s::DOUBLE AS s, m::DOUBLE AS m, n, r::DOUBLE AS r, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c FROM (VALUES " + ", ".join(str(p) for p in _PLANS) + ") t(p, t, s, m, n, r, a, b, c))")
+def b10_cost(spark, d):
+    """Hours and cost of two plans of training."""
+    return evaluation.cost(spark.createDataFrame(_PLANS, _PLAN_NAMES))
+
+
 _CONFIGS = [("base", 32000, 24, 1024, 16, 8, 64, 2816, "headwise", True), ("debug", 32000, 8, 512, 8, 4, 64, 1408, "headwise", True), ("untied", 50257, 12, 768, 12, 12, 64, 3072, "none", False)]
 _CONFIG_NAMES = "profile string, vocab_size bigint, num_hidden_layers bigint, hidden_size bigint, num_attention_heads bigint, num_key_value_heads bigint, head_dim bigint, intermediate_size bigint, qk_norm string, tie_word_embeddings boolean"
 _CONFIG_SQL = "(VALUES " + ", ".join(str(c) for c in _CONFIGS) + ") t(profile, v, l, d, q, k, h, f, norm, tied)"

@@ -103,3 +103,51 @@ def test_sample_is_the_least_hashes(spark):
 def test_line_quality(spark):
     row = corpus.line_quality(spark.createDataFrame([(1, "홈\n◀ 이전 글   목록   다음 글 ▶\n본문입니다.\n본문입니다.")], "k int, text string"), "k").first()
     assert (row["lines"], row["repeated_lines"], row["menu_lines"]) == (4, 1, 1)
+
+
+def test_vocabulary_artifact(spark, tmp_path):
+    from gristmill.operators import corpus
+
+    texts = spark.createDataFrame([(1, "가나 ab"), (2, ""), (3, None), (4, "😀b")], "k int, text string")
+    vocabulary = corpus.character_vocabulary(texts)
+    about = corpus.save_vocabulary(vocabulary, str(tmp_path / "v"))
+    held = corpus.load_vocabulary(spark, str(tmp_path / "v"))
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, vocabulary.collect())) and about["size"] == 7
+    assert {r["check"]: r["failures"] for r in corpus.vocabulary_checks(texts, vocabulary, held, "k").collect()} == {"round_trip": 0, "reload": 0, "one_id_a_character": 0, "unknown": 0}
+    other = spark.createDataFrame([(1, "zz가")], "k int, text string")
+    assert {r["check"]: r["failures"] for r in corpus.vocabulary_checks(other, vocabulary, held, "k").collect()} == {"round_trip": 1, "reload": 0, "one_id_a_character": 0, "unknown": 1}
+    with pytest.raises(FileExistsError):
+        corpus.save_vocabulary(vocabulary, str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="ids"):
+        corpus.save_vocabulary(vocabulary.where("id <> 3"), str(tmp_path / "w"))
+    path = tmp_path / "v" / "vocabulary.json"
+    path.write_text(path.read_text().replace('"a"', '"c"'))
+    with pytest.raises(ValueError, match="checksum"):
+        corpus.load_vocabulary(spark, str(tmp_path / "v"))
+    import hashlib
+    import json
+
+    description = tmp_path / "v" / "about.json"
+    fine = json.loads(description.read_text()) | {"sha256": hashlib.sha256(path.read_bytes()).hexdigest()}
+    for wrong, problem in ((fine | {"size": 3}, "size"), (fine | {"specials": {"<unk>": 2}}, "special")):
+        description.write_text(json.dumps(wrong))
+        with pytest.raises(ValueError, match=problem):
+            corpus.load_vocabulary(spark, str(tmp_path / "v"))
+
+
+def test_shared_prompts_are_refused(spark):
+    from gristmill.operators import evaluation
+
+    one = spark.createDataFrame([("a",), ("b",), (None,)], "prompt string")
+    evaluation.refuse_overlap(one, spark.createDataFrame([("c",), (None,)], "prompt string"))
+    with pytest.raises(ValueError, match="share 1"):
+        evaluation.refuse_overlap(one, spark.createDataFrame([("b",), ("b",)], "prompt string"))
+
+
+def test_temporal_hold_out(spark):
+    from gristmill.operators import preparation
+
+    rows = [(1, "g", "2026-01-01"), (2, "g", "2026-03-01"), (3, None, "2026-03-02"), (4, None, None), (5, "h", None), (6, "h", "2026-01-05")]
+    df = spark.createDataFrame(rows, "id int, group_id string, seen_at string").withColumn("seen_at", F.to_timestamp("seen_at"))
+    got = {r["id"]: r["split"] for r in preparation.held_out_after(df, F.to_timestamp(F.lit("2026-02-01"))).collect()}
+    assert got == {1: "test", 2: "test", 3: "test", 4: "train", 5: "train", 6: "train"}

@@ -105,3 +105,15 @@ def test_corpus_run(spark, data, tmp_path):
     spark.range(1).write.mode("append").parquet(f"{other.output('prepare')}/clean/split=train")
     with pytest.raises(ValueError, match="not what was prepared"):
         call(other)
+
+
+def test_sources_and_settings_are_sound():
+    """Every module compiles, and every JSON file beside them can be read."""
+    import json
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    for path in [*root.glob("*.py"), *root.glob("gristmill/**/*.py"), *root.glob("tests/**/*.py")]:
+        compile(path.read_text(encoding="utf-8"), str(path), "exec")
+    for path in root.glob("*.json"):
+        json.loads(path.read_text(encoding="utf-8"))
