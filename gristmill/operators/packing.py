@@ -2,7 +2,8 @@
 
 Next fit is a recurrence: where a document goes depends on all before it. Only the layout is sequential, and it needs no more than
 the lengths; it runs over each split's blocks of documents with an exact hand-over: the state at a block's start is one number
-(tokens in the open row), so a first pass finds for each block what it does to every possible state at once.
+(tokens in the open row), so a first pass finds for each block what it does to every possible state at once. What FAN blocks do one after
+the other is again such a table, so tables are chained in a tree on the cluster, and the driver sees FAN of them at most.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.plans.shared import Scratch
+
 LAYOUT = "doc_number bigint, chunk int, row_number bigint, at int, start int, n int"
 #: Documents of one block of the layout.
 BLOCK = 50_000
+#: Tables that are chained by one task, or by the driver at the top of the tree.
+FAN = 256
 
 
 def _walk(lengths: np.ndarray, length: int, filled: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -67,6 +72,27 @@ def _effect(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[which], state[which]
 
 
+STARTS = "block bigint, first_row bigint, filled int"
+
+
+def _chained(rows: pd.DataFrame) -> pd.DataFrame:
+    """What consecutive blocks do one after the other."""
+    rows = rows.sort_values("block")
+    closed, left = np.array(rows["closed"].iloc[0]), np.array(rows["left"].iloc[0])
+    for more, onward in zip(rows["closed"].iloc[1:], rows["left"].iloc[1:]):
+        closed, left = closed + np.asarray(more)[left], np.asarray(onward)[left]
+    return pd.DataFrame({"block": [int(rows["up"].iloc[0])], "closed": [closed.tolist()], "left": [left.tolist()]})
+
+
+def _starts(row: int, at: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """Row and place at which each of consecutive blocks begins, from those of the first."""
+    out = []
+    for block, closed, left in zip(rows["block"], rows["closed"], rows["left"]):
+        out.append((int(block), row, at))
+        row, at = row + int(closed[at]), int(left[at])
+    return pd.DataFrame(out, columns=["block", "first_row", "filled"])
+
+
 def layout(documents: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """(doc_number, chunk, row_number, at, start, n) of documents (doc_number, n_tokens): tokens start .. start + n of the document
     lie in row row_number from place at. Numbers follow the order of documents; a document of under 2 tokens keeps its number and
@@ -80,12 +106,17 @@ def layout(documents: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
         closed, left = _effect(rows.sort_values("doc_number")["n_tokens"].to_numpy(), length)
         return pd.DataFrame({"block": [key[0]], "closed": [closed.tolist()], "left": [left.tolist()]})
 
-    at, row, begins = 0, 0, []
-    effects = lots.groupBy("block").applyInPandas(effect, "block bigint, closed array<bigint>, left array<bigint>")
-    for b, closed, left in effects.orderBy("block").toLocalIterator():  # one block's table at a time
-        begins.append((b, row, at))
-        row, at = row + closed[at], left[at]
-    starts = F.broadcast(spark.createDataFrame(begins, "block bigint, first_row bigint, filled int"))  # a row a block
+    table = "block bigint, closed array<bigint>, left array<bigint>"
+    scratch = Scratch(spark, "layout")
+    levels = [scratch.keep(lots.groupBy("block").applyInPandas(effect, table), "effects")]
+    while levels[-1].count() > FAN:
+        up = levels[-1].withColumn("up", F.floor(F.col("block") / FAN))
+        levels.append(scratch.keep(up.groupBy("up").applyInPandas(_chained, table), "chained"))
+    begins = _starts(0, 0, levels[-1].orderBy("block").toPandas())
+    starts = spark.createDataFrame(begins, STARTS)
+    for lower in reversed(levels[:-1]):
+        above = lower.withColumn("up", F.floor(F.col("block") / FAN)).join(starts.withColumnRenamed("block", "up"), "up")
+        starts = scratch.keep(above.groupBy("up").applyInPandas(lambda rows: _starts(int(rows["first_row"].iloc[0]), int(rows["filled"].iloc[0]), rows.sort_values("block")), STARTS), "starts")
 
     def place(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_number")

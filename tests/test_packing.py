@@ -26,8 +26,9 @@ def next_fit(documents, length):
     return rows + ([row] if row else [])
 
 
-@pytest.mark.parametrize("length, block, seed", [(5, 3, 1), (8, 7, 2), (16, 1000, 3), (2, 4, 4), (7, 1, 5)])
-def test_rows_equal_plain_next_fit(spark, length, block, seed):
+@pytest.mark.parametrize("length, block, seed, fan", [(5, 3, 1, 256), (8, 7, 2, 2), (16, 1000, 3, 256), (2, 4, 4, 3), (7, 1, 5, 4)])
+def test_rows_equal_plain_next_fit(spark, length, block, seed, fan, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", fan)  # several levels of the tree
     drawn = random.Random(seed)
     sizes = [drawn.choice([0, 1, 2, 3, length - 1, length, length + 1, 3 * length, drawn.randint(0, 4 * length)]) for _ in range(60)]
     documents = [(i, list(range(1000 * i, 1000 * i + n))) for i, n in enumerate(sizes)]
