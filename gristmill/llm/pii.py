@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.pii_spans import BODIES, FAMILY, GIVEN, GIVEN_ONE, GIVEN_TWO, HONORIFICS, LABELS, LONG_SURNAMES, ORDINARY_KO, ROLES, SURNAMES, TITLES, TYPES, candidates, view
+from gristmill.llm.pii_spans import BODIES, FAMILY, GIVEN, GIVEN_ONE, GIVEN_TWO, HONORIFICS, LABELS, LONG_SURNAMES, MORE_NAMES, ORDINARY_KO, ROLES, SURNAMES, TITLES, TYPES, candidates, view
 from gristmill.llm.semicrf import SemiMarkov
 from gristmill.session import spread
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Sentences that the model is fitted on.
-SENTENCES = 5_000
+SENTENCES = 10_000
 
 # ---- made-up sentences ----------------------------------------------------------------------------------------------------
 
@@ -30,7 +30,7 @@ _WITH = """
 {role} <name> <email>|{role} <name>, <phone>|{role} <name> (<email>)|{role}: <name>|{role}: <name> / <phone>|{role} <name>|{role} <name> {hon} {verb}|{role} <name>{p} {verb}|{role}=<name>, mail=<email>|{role}=<name>;{thing}=<phone>|{role} : <name> ({n4})
 {label}: <name>|{label} <name>|{label}: <name> / 주민번호 <id_number>|{label} : <name>, {thing} : <phone>|{label}: <name>\n주소: <address>|{label}은 <name>이다|{label} | <name> | <phone>|{label} | <name> | <email> | <address>
 <name> 씨가 {verb}|<name> 씨는 {thing}{o} {verb}|<name> 씨의 {thing}|<name> {hon}께 {thing}{o} 보냈다.|<name>{hon}이 {verb}|<name> {hon}의 {thing} <email>|<name>의 {thing} <phone>|<name>의 새 주소는 <address>|<name>의 사무실은 <address>에 있다.|<name>의 집 <address>
-<name>{p} {verb}|<name>{p} {thing}{o} {verb}|{when} <name>{p} {verb}|{thing}에서 <name>{p} {thing}{o} {verb}|{when} {thing}{o} <name>{p} {verb}|{noun}{p} <name>에게 {verb}|{noun}{o} <name>한테 빌렸다.|<name>, <name> 두 사람이 {verb}|<name>과 <name>이 {when} {verb}
+<name>{p} {verb}|<name>{p} {thing}{o} {verb}|{when} <name>{p} {verb}|{thing}에서 <name>{p} {thing}{o} {verb}|{when} {thing}{o} <name>{p} {verb}|{noun}{p} <name>에게 {verb}|{noun}{o} <korean>한테 빌렸다.|<korean>{p} {noun}{o} {verb}|<korean>{p} {verb}|{when} <korean>{p} {noun}{o} {verb}|{noun} <korean>{p} {verb}|{noun}에서 <korean>{o} {verb}|<korean>, {when} {verb}|<korean>의 {noun}|{noun} - <korean>|{noun}: <korean>|<korean>{p} {noun}{p} {verb}|<name>, <name> 두 사람이 {verb}|<name>과 <name>이 {when} {verb}
 <name> 드림|<name> 올림|<name> 배상|{thing} 담당은 <name>, {thing} 담당은 <name>이다.|저는 <name>입니다.|저는 <name>이라고 합니다.|{role} <name>과 {role} <name>{p} {verb}|"{label}": "<name>", "{thing}": "<phone>"|{role} <name> 진술에 따르면 <address>였다.|<name> 거주지 <address>
 <name> {title}{p} {verb}|<name> {title}|<name> {title}의 {thing}|<name> {hon} 신청분|<name>({n2})|<name>: {noun}{o} {verb}|<name> <phone>|<name> <email>|<name> (<id_number>)|<name>, <address>, <phone>|<name> / <id_number> / <address>|{role} <name>, <address>|{role} <name> <id_number>|{role} <name> ({id}) 대신 <phone>|보낸이 <name>\n가는 곳 <address>
 주민번호 <id_number>|{noun} 등록 번호 <id_number>|면허 <id_number> 소지|면허증 <id_number>{p} {verb}|번호 <id_number>{o} {verb}|신분 확인 <id_number>|개인 번호는 <id_number>|외국인 등록 <id_number>|{thing} 삭제 대상 <id_number>|식별 번호 <id_number>, 휴대폰 <phone>|고객 번호 대신 <id_number>{o} 적었다.
@@ -38,17 +38,19 @@ _WITH = """
 메일 <email>|전자 메일은 <email>{o} 쓴다.|<email>로 {verb}|<email> 앞으로|답은 <email>에 남겨 주세요.|{noun} 신고 <email>|{thing}: <email>|TO="<email>"|<email>{p} {verb}|<<email>>|[<email>]|{noun}은 <email> 하나뿐이다.
 주소 <address>|<address>에 산다.|<address>으로 옮겼다.|{thing} 받을 주소: <address>|<address>에서 {verb}|{noun}{p} <address> 부근이다.|<address> 앞|<address>의 {noun}|소재지 <address>|{when} <address>에 {verb}|<address>
 {erole} <name> {everb}|{erole} <name>|{erole}: <name>|{erole}: <name>, <phone>|{erole}: <name> <<email>>|# {erole} <name> <<email>>|// {erole} <name> <phone>|{erole} <name> (<email>) {everb}|{erole} <name>, ID <id_number>|"{elabel}": "<name>", "mail": "<email>"|{'{elabel}': '<name>', 'phone': '<phone>', 'home': '<address>'}
-<known> {everb}|when <known> {everb}|that <known> {everb}|the old <known> {everb}|<known> and her {enoun}|with <known> or <known>|for <known>'s {enoun}|to <known>|<known> {everb} the {enoun}.|The {enoun} was signed by <known>.|by <known>|Photo: <known>|<known>, {n2}, {everb}|<known> and <known> {everb}|My {enoun} came from <known>.|We met <known> near the {enoun}.|It was <known> who {everb} it.|<known>'s {enoun}|"Not at all," <known> said.|The {enoun}, <known>, {everb}.|Ask <known> about the {enoun}.|Call <known> on <phone>.
+<known> {everb}|when <known> {everb}|that <known> {everb}|the old <known> {everb}|<known> and her {enoun}|with <known> or <known>|for <known>'s {enoun}|to <known>|<known> is my {enoun}.|<known> had the {enoun}.|a {enoun} for <known>|seen <known> there|{word} <known> {everb}|<known> has a {enoun}|<known>!|<known> {everb} the {enoun}.|The {enoun} was signed by <known>.|by <known>|Photo: <known>|<known>, {n2}, {everb}|<known> and <known> {everb}|My {enoun} came from <known>.|We met <known> near the {enoun}.|It was <known> who {everb} it.|<known>'s {enoun}|"Not at all," <known> said.|The {enoun}, <known>, {everb}.|Ask <known> about the {enoun}.|Call <known> on <phone>.
 Mr. <name> {everb}|Dr <name> {everb}|Dear <name>,|Hello <name>,|Yours, <name>|Best regards, <name>|Kind regards,\n<name>|Signed: <name>|From: <name> <<email>>|To: <name>|Prepared by <name>, tel. <phone>|Write to <name> at <email>.|For details see <name> ({thing} <phone>).|{elabel}: <name>|{elabel} = <name>|<name> | <phone> | <email>|<name>, <address>
 <name> lives at <address>.|<name> of <address>|Ship to <address>.|{enoun} at <address> is closed.|Home: <address>|I moved to <address>, phone <phone>.|New address: <address>|Visit <address> after {n2}.|SSN <id_number>|licence no. <id_number>|National ID <id_number>, {elabel} <name>|social security <id_number>|{erole} <name>, licence <id_number>
 Phone: <phone>|Fax <phone>|Text <phone> today.|Ring <phone> for the {enoun}.|mobile <phone>; mail <email>|Email <email>|Reply to <email>.|{enoun} bugs: <email>|Send the {enoun} to <email>|mailto:<email>|{enoun} fixes to <email>.|{erole} <name> {hon} {verb}|<name>; <phone>; {place}|{role} <name> {hon}, <phone>
 <name>의 전화는 <phone>|<name>의 주소 <address>
+{c} <known> {c}|{c} {c} <known>.|<known> {c} {c}|{c} <known>, {c}|{c} <known> {c} {enoun}|{c} {enoun} {c} <known> {c}|<known> {c} the {enoun}|{c}, <known>, {c}|{c} <known> {c} <known>|{c} <known>.|{enoun} {c} <known>|<known> {c} {n4}
 """
 _WITHOUT = """
 {noun}{p} {title}의 {noun}{o} {verb}|{noun}과 {title}{p} {verb}|{title}{p} {noun}{o} {verb}|{title}, {noun}|{sino} {title}{p} {verb}|{odd} {noun} {n2}%|{noun}하였다고 {verb}|{noun}되며 {noun}{p} {verb}|{noun}하는 {noun}{p} {verb}|{sino}{p} {noun}{o} {verb}|{sino}의 {noun}{p} {verb}|{noun} {sino}{p} {verb}|{sino} {noun}{p} {verb}|{sino}, {sino}, {noun}|{when} {sino}{o} {verb}|- {sino}: {sino}{p} {verb}|{noun}{p} {noun}{o} {verb}|{when} {noun}{p} {verb}|{noun} {noun}{p} {verb}|{noun}의 {noun}{o} {verb}|{noun}과 {noun}{p} {when} {verb}|{noun}에서 {noun}까지 {n2}분 걸린다.|{noun} 가운데 {n2}개{p} {verb}|{noun}: {noun}, {noun}|- {noun}: {noun}{p} {verb}|{noun}, {noun}, {noun}|{noun}에는 {noun}{p} {verb}|{odd}{p} {verb}|{odd}의 {noun}{p} {verb}|{odd}에서 {noun}{o} {verb}|{odd}과 {odd} 사이에서 {noun}{p} {verb}|{odd} {noun}|{odd}|({odd}, {n4}) {noun} 보기.|{odd}식 {noun}|{noun} {odd}{p} {verb}|<p>{odd}</p>|{n2}번째 {noun}{p} {odd}의 {noun}{o} {verb}
 {role} {noun}{p} {verb}|{role}{p} {verb}|{role}에게 {noun}{o} 물었다.|{label}{o} 적어 주세요.|{label} {noun}{p} {verb}|{role} {noun} {noun}{o} {verb}|{fam} {hon}께 {verb}|{fam} {hon}{p} {verb}|{role} {fam} {hon}{p} {verb}|{role}, {noun}|{label}, {noun}, {noun} 항목|{role} 여러분|{role} {noun} 안내|이름 모를 {noun}{p} {verb}|{role} 없는 {noun}|대표 {noun}|{role} {noun} {noun} {noun}|{noun} 씨앗{o} {verb}|{role} 회의는 {n2}시에 열린다.
-{enoun} of {place} {everb2}|{place} {everb2} the {enoun}.|The {place} {everb2}.|In {place}, the {enoun} {everb2}.|According to {place}, no {enoun} {everb2}.|{place} and {place} {everb2}.|({place}, {n4}) on the {enoun}|Notes on {place}|- {enoun}: {place}|Between {place} and the {enoun}|{heading}|"{heading}" is a song.|{heading} {everb2}.|Long before {thing_name}, the {enoun} {everb2}.|the {enoun} owed {thing_name} nothing|Which one was {thing_name}? A: {thing_name}|Q: Where is {place}?\nA: {place}|Answer: {thing_name}|답: {thing_name}|{thing_name} 열매{p} {verb}|After {place} {everb2}, {thing_name} {everb2}.|as {place} put it|and only {thing_name} {everb} it|{thing_name}|with {thing_name}|{thing_name} {everb} the {enoun}.
+{enoun} of {place} {everb2}|{place} {everb2} the {enoun}.|The {place} {everb2}.|In {place}, the {enoun} {everb2}.|According to {place}, no {enoun} {everb2}.|{place} and {place} {everb2}.|({place}, {n4}) on the {enoun}|Notes on {place}|- {enoun}: {place}|Between {place} and the {enoun}|{heading}|"{heading}" is a song.|{heading} {everb2}.|Long before {thing_name}, the {enoun} {everb2}.|the {enoun} owed {thing_name} nothing|Which one was {thing_name}? A: {thing_name}|Q: Where is {place}?\nA: {place}|Answer: {thing_name}|답: {thing_name}|{thing_name} 열매{p} {verb}|After {place} {everb2}, {thing_name} {everb2}.|as {place} put it|and only {thing_name} {everb} it|{thing_name}|{thing_name}|{place}|with {thing_name}|{thing_name} {everb} the {enoun}.
 {erole} {place} {everb2}|{erole} the {enoun}|{elabel} the {enoun} first.|Contact {place} for the {enoun}.|Ask {heading} again.|Dear {heading},|The {elabel} {word} is common.|Signed copies of {heading}|Regards from {place}|Author notes on {place}|Call the {enoun}.|{word} {word} {n2}.{n1}|by {place}|from {place}|near {place}|with {place}|{place}, {place}|{word}, {word} and {word}|{WORDS}|{WORDS} {word}|class {Camel}({Camel}):|return {Camel}.{camel}();|def {camel}(self):|@{camel}|@{camel} def {camel}|{camel} at {camel}.{camel}|SELECT {camel}, {elabel} FROM {camel} WHERE {camel} = {n2};|WHERE {camel}_id > {n4}|{camel}@{camel}:~$ ls
+{c} {place} {c}|{c} {thing_name} {c}|{c} {heading} {c}|{thing_name} {c} {c}|{c} {place}, {c}|{c} {c} {thing_name}.|{place} {c} the {enoun}|{c} {thing_name} {c} {enoun}|{c}, {place}, {c}|{heading} {c} {c}|{place} {c} {n4}|{c} {thing_name} {c} {thing_name}|{c} {thing_name}, {c}|{c} {enoun} {c} {thing_name}.|{thing_name}, {c} {c}|{c} {c} {thing_name} {c}|{WORDS} {c}
 {ekind} {n4}-{n2}-{n4}|{ekind} {n3}-{n3}-{n4}|{ekind} no. {n3}-{n2}-{n4}|{ekind} {n6}{n6}{n1}|{ekind} {n1}.{n2}.{n3}|{ekind} {n3}.{n3}.{n4}|{kind} {n4}-{n2}-{n4}|{kind} {n3}-{n2}-{n6}|{kind} {n6}{n6}{n6}|{kind} {n6}{n6}{n1}|{kind} {n4}-{n3}-{n4}|{kind} {n3}-{n2}-{n4} {noun}|{kind} {n1}.{n3}.{n2}|{kind} {n3}.{n3}.{n1} {noun}{p} {verb}|{kind} {n4}-0{n2}-{n4}|{kind} {n6}-{n6}{n1}|{noun} {n4}.{n2}.{n2} ~ {n4}.{n2}.{n2}|{noun} 0{n2}.{n2}에서 0{n2}.{n2}까지|{kind}: {n2}-{n2}-{n6}-{n1}|{n4}년 {noun}{p} {verb}|{n4}년과 {n4}년 사이|{n1},{n3},{n3}원|{noun} {n2}.{n2}%|IP {n3}.{n2}.{n2}.{n1}|{kind} {n3}-{n2}-{n5}
 {road} 쪽 {n2}번 버스|{road} 인근 {n2}개 {noun}|{road}에서 {noun}{o} {verb}|{road} {n2}개 {noun}{p} {verb}|{si}에는 {noun}{p} 많다.|{si} {gu}에서 {noun}{o} {verb}|{road}{p} {verb}|{road}부터 {si}까지 {n2}km|{si} 주민 {n3}명{p} {verb}|{street} is {n2} miles long.|The {n2} {street} bus|{street} {everb2}.|Left onto {street}|{town} and {street}|{n2} {word} {street} lines|주소는 곧 알린다.|메일 주소의 골뱅이 앞|전화는 나중에|{noun} @ {noun}|{enoun} @ {n2}|look at the dot above|{enoun} at the dot of {n2}|연락처 {noun}{p} {verb}|전화 {noun}{o} {verb}|{noun} 접수 {noun}
 """
@@ -66,6 +68,10 @@ _THINGS = "메일 전화 휴대폰 팩스 연락처 문자 이력서 편지 소
 _WHEN = "어제 오늘 내일 지난주 다음 달에 아침에 오후에 밤늦게 그날 방금 다시 해마다 조금씩 오래전에".split()
 _PARTICLE = "은 는 이 가 도 만 까지 에게 에서 과 와 의".split()
 _ENGLISH_NOUNS = "garden report letter bridge meeting invoice painting ticket recipe window engine lesson song contract budget river harvest parcel shelf lantern crystal verdict orbit kernel".split()
+_COMMON = (
+    "was is had has will would can could with for by from to and or but near after before when while if at on in of about against between like as than then died married seen sang agreed met called knew saw told asked who whose that this his her their our my the old young late early former new first "
+    "last many some every no not very so there here today yesterday again once never always sold kept left gave took made said works lives owns reads plays ran won lost born opened closed began ended went came"
+).split()
 _PERSON_VERBS = "said told wrote called walked joined signed teaches lives works moved asked answered thanked paid drove painted founded leads won scored laughed resigned complained arrived sang cooked".split()
 _BODY_VERBS = "closed opened reported published printed hosted exported was foggy|is large|was ignored|met on Tuesday|has no windows|drew attention|disagree|stands empty|was kept|came up".split("|")
 _BODY_VERBS = _BODY_VERBS[0].split()[:-2] + ["was foggy", *_BODY_VERBS[1:]]
@@ -73,7 +79,7 @@ _KINDS = "일련번호 관리번호 문서번호 순번 판본 버전 부품번
 _KINDS_EN = "Serial,Version,Part,Invoice,Order,ISBN,Model,Build,Item,Revision".split(",")
 _PLACE_ENDS = sorted(w.capitalize() for w in BODIES)
 _ENGLISH_WORDS = "Golden,Silver,Central,Northern,Old,New,Great,Machine,Open,Happy,Blue,Red,Winter,Royal,Deep,Quiet,Salt,Long,Green,United,Public,Lost,Error,Chapter,Terms,Privacy,Customer,Order,Learning,Garden,Story,Data,Page,Version,Music,Science".split(",")
-_GIVEN, _FAMILY, _GIVEN_ONE, _GIVEN_TWO = sorted(GIVEN), sorted(FAMILY), sorted(GIVEN_ONE), sorted(GIVEN_TWO)
+_GIVEN, _FAMILY, _MORE, _GIVEN_ONE, _GIVEN_TWO = sorted(GIVEN), sorted(FAMILY), sorted(MORE_NAMES), sorted(GIVEN_ONE), sorted(GIVEN_TWO)
 _MAILS = "hello minho.k sora j_park team contact.us lab admin2 r.white anna.b press-office dev hr daisy77 kwon_s billing no-reply cafe1234 newsdesk paul".split()
 _HOSTS = "example.com example.net example.org mail.example.com inbox.example.co.kr lab-1.example.ac.kr shop.example.io a.b.example.de team.example.app news.test host.invalid corp.example.fr".split()
 _SI = "서울특별시 부산광역시 대구광역시 인천광역시 광주광역시 대전광역시 울산광역시 세종특별자치시 수원시 성남시 청주시 전주시 창원시 포항시 춘천시 서울시 부산시 대구 인천 서울 부산".split()
@@ -103,20 +109,26 @@ def _invented(r: random.Random, n: int) -> str:
 
 def _name(r: random.Random) -> str:
     if r.random() < 0.58:
-        long = r.random() < 0.07
-        family = r.choice(LONG_SURNAMES) if long else r.choice(SURNAMES[:40] if r.random() < 0.75 else SURNAMES)
-        if r.random() < 0.6:
-            given = r.choice(_GIVEN_ONE) + r.choice(_GIVEN_TWO)
-        else:
-            given = r.choice([_syllable(r), r.choice(_GIVEN_ONE)]) + _syllable(r)
-        kind = r.random()
-        return family + (" " if kind < 0.1 else "") + (given[0] if 0.1 <= kind < 0.15 else given + r.choice(_GIVEN_TWO) if 0.15 <= kind < 0.18 and not long else given)
+        return _korean(r, 0.6)
     return _western(r, 0.6)
 
 
+def _korean(r: random.Random, usual: float = 1.0) -> str:
+    long = r.random() < 0.07
+    family = r.choice(LONG_SURNAMES) if long else r.choice(SURNAMES[:40] if r.random() < 0.75 else SURNAMES)
+    if r.random() < usual:
+        given = r.choice(_GIVEN_ONE) + r.choice(_GIVEN_TWO)
+    else:
+        given = r.choice([_syllable(r), r.choice(_GIVEN_ONE)]) + _syllable(r)
+    kind = r.random() if usual < 1 else 1.0
+    return family + (" " if kind < 0.1 else "") + (given[0] if 0.1 <= kind < 0.15 else given + r.choice(_GIVEN_TWO) if 0.15 <= kind < 0.18 and not long else given)
+
+
 def _western(r: random.Random, known: float = 0.95) -> str:
-    first = r.choice(_GIVEN).capitalize() if r.random() < known else _invented(r, r.choice([1, 2, 2]))
-    last = r.choice(_FAMILY).capitalize() if r.random() < 0.4 else _invented(r, r.choice([1, 2, 2, 3]))
+    if r.random() < known:
+        first, last = (r.choice(names if r.random() < 0.5 else _MORE).capitalize() for names in (_GIVEN, _FAMILY))
+    else:
+        first, last = _invented(r, r.choice([1, 2, 2])), _invented(r, r.choice([1, 2, 2, 3]))
     last = r.choice(["O'", "Mc", "D'"]) + last if r.random() < 0.08 else last
     kind = r.random()
     if kind < 0.06:
@@ -192,7 +204,7 @@ def _id_number(r: random.Random) -> str:
 def _address(r: random.Random) -> str:
     kind, n = r.random(), str(r.randint(1, 990))
     if kind < 0.25:
-        street, town = r.choice(_STREETS), r.choice(_TOWNS)
+        street, town = r.choice(_STREETS), r.choice(_TOWNS) if r.random() < 0.6 else " ".join(_invented(r, r.choice([1, 2])) for _ in range(r.choice([1, 2, 2])))
         return r.choice([f"{n} {street}, {town}", f"Flat {r.randint(1, 40)}, {n} {street}, {town}", f"{n}B {street}, Apt {r.randint(1, 40)}, {town}"])
     if kind < 0.5:
         lot = r.choice(["", "산 "]) + n + r.choice(["", "-" + _digits(r, 1)]) + r.choice(["번지", ""])
@@ -204,7 +216,7 @@ def _address(r: random.Random) -> str:
     return f"{r.choice(_SI)} {r.choice(_GU)} {r.choice(_ROADS)}{side} {n}{r.choice(['', '-' + _digits(r, 2)])}{tail}"
 
 
-_MAKE = {"name": _name, "known": _western, "email": _email, "phone": _phone, "id_number": _id_number, "address": _address}
+_MAKE = {"name": _name, "known": _western, "korean": _korean, "email": _email, "phone": _phone, "id_number": _id_number, "address": _address}
 
 
 def made_up(n: int = SENTENCES, seed: int = 11) -> list[tuple[str, set[tuple[int, int, str]]]]:
@@ -222,7 +234,7 @@ def made_up(n: int = SENTENCES, seed: int = 11) -> list[tuple[str, set[tuple[int
     return out
 
 
-_SLOT = re.compile(r"(<(?:name|known|email|phone|id_number|address)>|\{[A-Za-z_]+\d?\})")
+_SLOT = re.compile(r"(<(?:name|known|korean|email|phone|id_number|address)>|\{[A-Za-z_]+\d?\})")
 
 
 def _filled(frame: str, text: str, gold: set[tuple[int, int, str]], r: random.Random) -> str:
@@ -230,7 +242,7 @@ def _filled(frame: str, text: str, gold: set[tuple[int, int, str]], r: random.Ra
         slot = part[1:-1]
         if part[:1] == "<" and slot in _MAKE:
             value = _MAKE[slot](r)
-            gold.add((len(text), len(text) + len(value), "name" if slot == "known" else slot))
+            gold.add((len(text), len(text) + len(value), "name" if slot in ("known", "korean") else slot))
             text += value
         elif part[:1] == "{" and _SLOT.fullmatch(part):
             text += _filler(slot, r)
@@ -266,7 +278,7 @@ def _filler(slot: str, r: random.Random) -> str:
         return r.choice([word, word.capitalize(), word.capitalize(), word + r.choice([":", ""])])
     return r.choice({
         "role": _ROLES_KO, "label": _LABELS_KO, "elabel": _LABELS_EN, "hon": HONORIFICS, "title": TITLES, "noun": _NOUNS, "verb": _VERBS, "thing": _THINGS, "when": _WHEN, "p": _PARTICLE, "o": ["을", "를"], "enoun": _ENGLISH_NOUNS, "everb": _PERSON_VERBS,
-        "everb2": _BODY_VERBS, "word": _ENGLISH_WORDS, "kind": _KINDS, "ekind": _KINDS_EN, "road": _ROADS, "si": _SI, "gu": _GU, "street": _STREETS, "town": _TOWNS, "fam": SURNAMES[:30],
+        "everb2": _BODY_VERBS, "c": _COMMON, "word": _ENGLISH_WORDS, "kind": _KINDS, "ekind": _KINDS_EN, "road": _ROADS, "si": _SI, "gu": _GU, "street": _STREETS, "town": _TOWNS, "fam": SURNAMES[:30],
     }[slot])
 
 

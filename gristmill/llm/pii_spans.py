@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -78,7 +79,10 @@ SURNAMES = (
 ).split()
 LONG_SURNAMES = "남궁 황보 제갈 사공 선우 서문 독고 동방 망절".split()
 #: Syllables that given names often have in the first and in the second place.
-GIVEN_ONE, GIVEN_TWO = set("민서지현준우수영은혜예태성재동원정경미상진윤소유채승기하도시나다가보선세연주희명병종철광용인규남춘순옥말해라아효슬찬건한새봄"), set("준민서현우수영은혜호진희연아빈석철훈경숙자원윤지은하나라주미정선화순옥자식구규만환찬혁욱엽겸율린솔별늘람휘성태재섭범권률온결")
+GIVEN_ONE = set("민서지현준우수영은혜예태성재동원정경미상진윤소유채승기하도시나다가보선세연주희명병종철광용인규남춘순옥말해라아효슬찬건한새봄문흥본요학필형호화덕두복완운웅조창홍환훈향범석강근금란무백설산여일장초치탁길")
+GIVEN_TWO = set("준서민현우수영은혜호진희연아빈석철훈경숙자원윤지하나라주미정선화순옥식구규만환찬혁욱엽겸율린솔별늘람휘성태재섭범권률온결국길근문필학한애용택덕모엘슬담돌동명백빛심양월종중창탁향헌형홍후유인롬름")
+#: Given names whose second syllable ends many ordinary words.
+GIVEN_WHOLE = set("슬기 유리 규리 나리 혜리 미리 애리 주리 보리 두리 예리 채리 소리 새미 세라 유라 보라".split())
 #: Last words of bodies and places that look like names.
 BODIES = set(
     "institute hall works society valley university college school company inc ltd corp group bank museum press house park street road lane avenue way drive bay beach island islands mountains mountain hills hill forest garden gardens square tower gate castle palace airport "
@@ -120,14 +124,26 @@ _WORDS_TWO = (
     "방법 방송 방향 방문 방식 방학 공사 공원 공부 공장 공기 공간 공연 공개 구조 구성 구매 구간 구름 구분 기록 기술 기관 기본 기준 기능 기업 기간 기온 기차 여행 여러 여름 여자 여전 여기 여부 우리 우선 우수 우산 우유 우편 유지 유리 유일 유명 유형 연구 연락 연결 연습 연말 연도 사람 사용 사업 사회 사실 사진 사이 사고 사례 "
     "도시 도로 도움 도서 도구 도착 소리 소식 소개 소설 소비 소년 성과 성공 성격 성인 성장 배경 배달 배우 배송 백화 손님 손해 홍보 홍수 황금 남쪽 남자 남은 남편 노력 노인 노래 노동 노트 하루 하나 하지 하늘 하천 하면 하는 허가 허용 심사 심리 심각 차이 차량 차례 차츰 민원 민족 민간 진행 진단 진짜 진료 현재 현장 현금 현대 현실 "
     "원인 원래 원칙 원고 천천 천장 천둥 함께 함수 변화 변경 변수 추가 추천 추진 추석 석유 선택 선생 선거 선수 설명 설치 설정 마을 마음 마지 마감 마당 위치 위험 위원 위해 표현 표시 표준 명령 명절 반응 반복 반대 반면 라면 왕국 금액 금지 금융 인구 인간 인기 인터 제도 제품 제출 제목 제안 모임 모두 모든 모델 어제 어떤 어디 "
-    "은행 용도 용어 예산 예약 예상 예술 예정 부분 부족 부모 부산 복잡 복사 태도 태풍 목적 목록 형태 형식 피해 감독 감사 감소 음식 음악 빈도 동안 동네 동물 동일 온도 온라 호텔 범위 승인 승객 간단 간격 상황 상태 상품 상담 단계 단어 단체 당시 당일 계획 계산 계약 계절 경제 경우 경험 경기 경찰 경로 길이 양식 양쪽 윤리 권리 권한 송금 송신 유적 채널 채용 엄격 봉투 부품"
+    "은행 용도 용어 예산 예약 예상 예술 예정 부분 부족 부모 부산 복잡 복사 태도 태풍 목적 목록 형태 형식 피해 감독 감사 감소 음식 음악 빈도 동안 동네 동물 동일 온도 온라 호텔 범위 승인 승객 간단 간격 상황 상태 상품 상담 단계 단어 단체 당시 당일 계획 계산 계약 계절 경제 경우 경험 경기 경찰 경로 길이 양식 양쪽 윤리 권리 권한 소유 심전 송금 송신 유적 채널 채용 엄격 봉투 부품"
 ).split()
 _WORDS_THREE = (
     "하지만 이야기 고양이 강아지 지하철 도서관 박물관 자동차 전시회 기념일 신청서 계약서 안내문 이메일 고객센터 지원자 주인공 위원회 한국어 유치원 고등학 초등학 노트북 서비스 시스템 이용자 정류장 정거장 주차장 공무원 연구소 연구원 사무실 사업자 사용자 소비자 전문가 어머니 선생님 여러분 여름철 현대인 민주화 경찰서 장학금 제주도 전라도 강원도 경기도 인터넷 오랫동 이번에 "
-    "하늘색 유리창 강의실 남대문 조선시 세종대 문화재 원자재 구청장 시청자 신호등 심사평 방송국 안경점 임대료 장마철 노인정 금요일 목요일 수요일 일요일 토요일 오징어 고구마 지우개 사다리 기러기 두루미 이파리 배드민 우체국 어린이 한가운 마찬가 오늘날 이처럼 그러나 그리고 하여금 도대체 어쨌든"
+    "하늘색 유리창 강의실 남대문 조선시 세종대 문화재 원자재 구청장 시청자 신호등 심사평 방송국 안경점 임대료 장마철 노인정 금요일 목요일 수요일 일요일 토요일 오징어 고구마 지우개 사다리 기러기 현미경 망원경 내시경 안경점 진동수 주파수 원동기 천문대 방문자 공연장 변호인 여론조 추진력 소방서 석유화 선진국 설명서 마라톤 원소기 두루미 이파리 배드민 우체국 어린이 한가운 마찬가 오늘날 이처럼 그러나 그리고 하여금 도대체 어쨌든"
 ).split()
 ORDINARY_KO = set(_WORDS_TWO) | set(_WORDS_THREE)
 
+#: More names, which the model meets in training as ones that it does not know.
+MORE_NAMES = set(
+    "abigail adele agnes albert alfred allison angelo audrey barry bernard bertha bradley brenda bruno calvin camille carmen caroline cecilia chester clara clarence clifford connor craig crystal curtis dean debbie denise dominic donna doris dorothy douglas dustin edgar eileen eleanor ella ellen elliot ernest ethel eugenia "
+    "felicity fiona frances frederick gavin geoffrey gerald gilbert gina gladys gordon greta harold harvey hazel herbert howard hubert irene irma ivy jasmine jerome jill joanna jocelyn joyce june katrina keith kirsten kurt lena leonard leslie lester lorraine lucille lydia mabel marcel marian marvin maureen maurice mildred "
+    "milton molly muriel myra nadia neil nelson nina norman olive oswald pamela paula pauline penelope perry rafael ramon regina rita roger roland rosemary ross rufus sabrina seth sheila sidney stanley stella sylvia tanya theodore tina tracy ursula valerie vera vernon violet virginia wallace wanda warren wendy wilma winifred "
+    "abbott armstrong atkins austin bailey baldwin barnes barton bates beck becker berg bishop blake bowman bradford brooks bryant buckley burke burton byrne cameron carlson carr chambers chandler chapman clayton coleman collins conway cooper craft crane crosby cunningham dalton davidson dawson dempsey dickson donovan douglas "
+    "drake duncan eaton elliott emerson erickson farmer farrell fleming fletcher foster fowler franklin frost gallagher gardner garrett gilmore goodman gould greene griffith hale hammond hancock hansen harding harper harrington hart haynes henderson higgins hobbs hoffman holland hopkins houston howell hubbard hudson ingram "
+    "jacobs jennings jenkins johnston keller kelley kirby lambert lancaster larson lawrence lawson leonard lindsay logan lowe lynch maddox malone manning marsh mathews maxwell mccarthy mckinney meadows merritt monroe montgomery moran morgan morris moss mueller newton norris obrien parker parsons patterson payne pearson perkins "
+    "peters phillips pierce pope powell pratt preston quinn ramsey randall reed rhodes richards riley robbins rowe ryan sanders saunders sawyer schultz sharp shelton sherman simmons skinner snyder spencer stanton stephens stewart strickland summers sutton swanson tate thornton todd townsend travis turner underwood vance vaughn "
+    "wade wagner walsh walters watkins watson weaver weiss whitaker whitney wilkins wolfe woodward wyatt yates zimmerman".split()
+)
+
 # ---- candidates -----------------------------------------------------------------------------------------------------------
 
 
@@ -319,7 +335,7 @@ def _korean_cuts(word: str) -> list[tuple[int, bool, bool, bool, list[str]]]:
             if end > len(word) or given != 2 and space:
                 continue
             rest = word[end:]
-            if rest and rest not in _SUFFIXES or any(end == e for e, *_ in out) or given == 3 and word[end - 2 : end] in _ENDINGS:
+            if word[head:end] in _TITLED or rest and rest not in _SUFFIXES or any(end == e for e, *_ in out) or given == 3 and word[end - 2 : end] in _ENDINGS:
                 continue
             honored, common = rest.startswith(_HONORED), f not in SURNAMES or SURNAMES.index(f) < COMMON
             plain = word.replace(" ", "")
@@ -327,7 +343,7 @@ def _korean_cuts(word: str) -> list[tuple[int, bool, bool, bool, list[str]]]:
             if given == 2 and not rest and word[end - 1] in "과는을를에의고":
                 continue
             usual = given == 2 and (word[head] in GIVEN_ONE and word[head + 1] in GIVEN_TWO if common else word[head] in _MOST_ONE and word[head + 1] in _MOST_TWO)
-            verb = word[end - 1] in "하되" and bool(rest) and rest[0] in _VERBAL
+            verb = word[end - 1] in "하되한된했" and bool(rest) and rest[0] in _VERBAL
             bare = usual and not (space or ordinary or verb or not rest and word[end - 1] in "은이가만도로나") or given == 1 and len(f) == 2
             features = ["korean", f"cut={len(f)}{given}", f"space={space}", f"family={f if common else 'rare'}", f"ordinary={ordinary}", f"verb={verb}", f"rest={rest}", f"honored={honored}"]
             if given == 2:
@@ -338,7 +354,10 @@ def _korean_cuts(word: str) -> list[tuple[int, bool, bool, bool, list[str]]]:
 
 
 #: Family names, from the most frequent, that a name without a sign beside it may have.
-COMMON = 40
+COMMON = 58
+#: Syllables that make longer words of words.
+_NOUN_ENDS = set("선권도장자기소학법실부서금사점관회국체표품물제적계감층차량비률역력값판론")
+_TITLED = set(HONORIFICS) | set(TITLES)
 #: What verbs go on with after 하 or 되.
 _VERBAL = "였다며고는여이"
 _TITLE_WORDS = {t + p for t in TITLES for p in ["", *_PARTICLES]}
@@ -389,16 +408,34 @@ def _korean_names(text: str) -> Iterator[Span]:
             yield _span(text, start, end, "name", *features, f"signed={signed},bare={bare}", f"signed={signed},{features[4]}")
 
 
+def _trigrams(name: str) -> list[str]:
+    padded = f"^{name}$"
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+
+_letters = Counter(t for n in [*GIVEN, *FAMILY, *MORE_NAMES] for t in _trigrams(n))
+
+
+@functools.lru_cache(maxsize=100_000)
+def _like(name: str) -> int:
+    """How much a word is spelled like names are, 0 to 3, by the trigrams of its letters in the lists; a name of the lists does not count itself."""
+    own = name in GIVEN or name in FAMILY or name in MORE_NAMES
+    parts = _trigrams(name.split("-")[0])
+    seen = sum(_letters[t] > own for t in parts) / len(parts)
+    return (seen > 0.35) + (seen > 0.6) + (seen > 0.85)
+
+
 def _western(words: list[str], comma: bool) -> list[str]:
     names = [w.lower() for w in words if not w.endswith(".") and w[0].isupper()]
     first, last = (names[-1], names[0]) if comma else (names[0], names[-1])
     caps = all(w.isupper() for w in words)
     known = f"{first.split('-')[0] in GIVEN}{last in FAMILY}"
     turned = not comma and first in FAMILY and last not in FAMILY
-    bodies = min(2, sum(n in BODIES for n in names))
     ordinary = min(2, sum(n in _ORDINARY for n in names))
+    like = f"{_like(first)}{_like(last)}"
+    bodies = min(2, sum(n in BODIES for n in names))
     return [
-        "western", f"words={len(names)}", f"known={known}", f"known={known},{len(names)}", f"turned={turned}", f"middle={any(w.endswith('.') for w in words[1:])}", f"initial={words[0].endswith('.')}", f"small={any(w[0].islower() for w in words)}",
+        "western", f"words={len(names)}", f"known={known}", f"known={known},{len(names)}", f"turned={turned}", f"like={like}", f"like={like},{known}", f"like={like},{ordinary}", f"middle={any(w.endswith('.') for w in words[1:])}", f"initial={words[0].endswith('.')}", f"small={any(w[0].islower() for w in words)}",
         f"caps={caps}", f"caps={caps},{known}", f"comma={comma}", f"bodies={bodies}", f"ordinary={ordinary}", f"ordinary={ordinary},{known}", f"ends={last[-3:]}", f"hyphen={'-' in first + last}", f"accent={not (first + last).isascii()}",
         f"inner={any(c.isupper() for w in words for c in w[1:] if not w.isupper())}",
     ]
