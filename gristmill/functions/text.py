@@ -83,9 +83,14 @@ def contact_counts(text: Column) -> tuple[Column, Column]:
     return F.regexp_count(text, F.lit(EMAIL)), F.regexp_count(F.regexp_replace(text, EMAIL, "[EMAIL]"), F.lit(MOBILE))
 
 
+def canonical_text(text: str) -> str:
+    """``canonical`` of one text."""
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFC", text)).split())
+
+
 @F.pandas_udf(T.StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " ".join((t if t.isascii() else unicodedata.normalize("NFC", t)).split()), na_action="ignore")
+    return texts.map(canonical_text, na_action="ignore")
 
 
 def canonical(text: Column) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +80,23 @@ class _Near:
         likely = threshold + (1 - threshold) / 256
         self.fewest = hashes * likely - 5.4 * math.sqrt(hashes * likely * (1 - likely))
 
-        def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [signature(k, hashes) for k in batch["key"]]
-                yield pd.DataFrame({
-                    "digest": batch["digest"].to_numpy(), "n": [n for n, _ in found], "keys": [band_keys(m, bands, rows) for _, m in found],
-                    "low": [(m & np.uint32(255)).astype(np.uint8).tobytes() for _, m in found],
-                })
-
-        keyed = texts.withColumn("key", X.canonical(F.col("key"))) if raw else texts
-        signed = spread(keyed.where("key <> ''")).mapInPandas(sign, "digest string, n int, keys array<bigint>, low binary")
+                kept, sizes, keys, low = [], [], [], []
+                for i, text in enumerate(batch.column(1)):
+                    key = X.canonical_text(text.as_py()) if raw else text.as_py()
+                    if not key:
+                        continue
+                    n, minima = signature(key, hashes)
+                    kept.append(i)
+                    sizes.append(n)
+                    keys.append(band_keys(minima, bands, rows))
+                    low.append((minima & np.uint32(255)).astype(np.uint8).tobytes())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * bands, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
+                columns = [batch.column(0).take(pa.array(kept, pa.int64())).cast(pa.string()), pa.array(sizes, pa.int32()), lists, pa.array(low, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "n", "keys", "low"])
+
+        signed = spread(texts.select("digest", "key").where("key <> ''")).mapInArrow(sign, "digest string, n int, keys array<bigint>, low binary")
         self.signed = scratch.keep(signed.dropDuplicates(["digest"]).withColumn("id", F.monotonically_increasing_id()), "signed")
         banded = self.signed.select("id", "n", F.explode("keys").alias("k"))
         # Most buckets hold one text. Counts combine before the shuffle; only buckets of several texts get their members.
