@@ -65,6 +65,36 @@ def first_best(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def suite_predictions(suite: DataFrame, windows: DataFrame, choices: DataFrame, generated: DataFrame) -> DataFrame:
+    """One row an item of a suite, by its type: (id, type, domain, nll, tokens, utf8_bytes, scores, predicted_index, correct, prediction, eos, repetition,
+    exact_match, character_f1), null where a type has no use for a column.
+
+    A model's part comes as tables: ``windows`` (id, nll, tokens) of the windows of texts, ``choices`` (id, choice, score) with the whole log-likelihood
+    of each choice by its number from 0, ``generated`` (id, prediction, eos). A suite without items, with an item that ``suite_problems`` names, or with
+    one that nothing was scored for is refused.
+    """
+    if suite.isEmpty():
+        raise ValueError("the suite has no items")
+    bad = suite_problems(suite).limit(5).collect()
+    if bad:
+        raise ValueError("unsound items: " + ", ".join(f"{r['id']}: {r['problem']}" for r in bad))
+    texts = windows.groupBy("id").agg(F.sum("nll").alias("nll"), F.sum("tokens").cast("bigint").alias("tokens"))
+    listed = choices.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("choice", "score"))), lambda x: x["score"]).alias("scores"))  # as many as an item has choices
+    made = generated.select("id", "prediction", F.col("eos").cast("boolean").alias("eos"), X.repetition(F.col("prediction")).alias("repetition"))
+    asked = suite.where("type = 'qa'").join(generated.select("id", "prediction"), "id").select("id", "prediction", "answers")
+    of = lambda kind, c: F.when(F.col("type").isin(*kind), F.col(c))
+    base = suite.select("id", "type", domain_of(F.col("domain")).alias("domain"), F.when(F.col("type") == "text", F.octet_length("text").cast("bigint")).alias("utf8_bytes"), "answer_index", F.size("choices").alias("_n"))
+    joined = base.join(texts, "id", "left").join(listed, "id", "left").join(made, "id", "left").join(answer_scores(asked), "id", "left")
+    scored = F.when(F.col("type") == "text", F.coalesce(F.col("tokens") > 0, F.lit(False))).when(F.col("type") == "multiple_choice", F.size("scores") == F.col("_n")).otherwise(F.col("prediction").isNotNull())
+    kind = F.when(scored, F.col("type")).otherwise(F.raise_error(F.concat(F.lit("nothing was scored for "), "id")))
+    told, chosen, free = ("text",), ("multiple_choice",), ("qa", "generation")
+    best = F.when(F.col("type") == "multiple_choice", first_best(F.col("scores")))
+    return joined.withColumn("type", kind).select(
+        "id", "type", "domain", of(told, "nll").alias("nll"), of(told, "tokens").alias("tokens"), "utf8_bytes", of(chosen, "scores").alias("scores"), best.alias("predicted_index"),
+        (best == F.col("answer_index")).alias("correct"), of(free, "prediction").alias("prediction"), of(free, "eos").alias("eos"), of(free, "repetition").alias("repetition"), "exact_match", "character_f1",
+    )
+
+
 def text_metrics(scored: DataFrame) -> DataFrame:
     """(domain, nll, tokens, utf8_bytes, ce, perplexity, bits_per_byte) from rows (domain, nll, tokens, utf8_bytes): sums first, then
     ratios. A perplexity beyond exp(700) is null."""

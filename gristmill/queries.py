@@ -697,6 +697,21 @@ def _results(spark, d):
     return base.join(m01_answer_scores(spark, d), "id", "left")
 
 
+@query(f"""SELECT s.id, s.type, coalesce(s.domain, 'korean_general') AS domain, CASE WHEN s.type = 'text' THEN length(text) * 0.5 END::DOUBLE AS nll, CASE WHEN s.type = 'text' THEN length(text) END AS tokens, CASE WHEN s.type = 'text' THEN strlen(text) END AS utf8_bytes,
+CASE WHEN s.type = 'multiple_choice' THEN list_position(list_transform(choices, lambda c: length(c)), list_max(list_transform(choices, lambda c: length(c)))) - 1 END::INTEGER AS predicted_index,
+CASE WHEN s.type = 'multiple_choice' THEN list_position(list_transform(choices, lambda c: length(c)), list_max(list_transform(choices, lambda c: length(c)))) - 1 = answer_index END AS correct,
+CASE WHEN s.type IN ('qa', 'generation') THEN prompt LIKE '%.' END AS eos, CASE WHEN s.type IN ('qa', 'generation') THEN z.repetition END AS repetition, r.exact_match, r.character_f1
+FROM suite s LEFT JOIN ({_ANSWER_SCORES}) r ON s.id = r.id LEFT JOIN ({_repeats("(SELECT id, prompt FROM suite WHERE prompt IS NOT NULL)", "id", "prompt")}) z ON s.id = z.id""")
+def m05_suite(spark, d):
+    """The suite evaluated by types: half a nat a character, choices scored by length, prompts given back as predictions."""
+    suite = table(spark, d, "suite")
+    half = suite.where("type = 'text'").select("id", F.explode(F.array(F.floor(F.length("text") / 2), F.length("text") - F.floor(F.length("text") / 2))).alias("tokens"))
+    windows = half.select("id", (F.col("tokens") * 0.5).alias("nll"), "tokens")
+    choices = suite.where("type = 'multiple_choice'").select("id", F.posexplode("choices").alias("choice", "c")).select("id", "choice", F.length("c").cast("double").alias("score"))
+    made = suite.where("prompt is not null").select("id", F.col("prompt").alias("prediction"), F.col("prompt").endswith(".").alias("eos"))
+    return evaluation.suite_predictions(suite, windows, choices, made).drop("scores", "prediction")
+
+
 @query(f"""SELECT task, count(*) AS count, avg(correct) FILTER (type = 'multiple_choice') AS accuracy, avg(exact_match) FILTER (type = 'qa') AS exact_match, avg(character_f1) FILTER (type = 'qa') AS character_f1,
 avg(repetition) FILTER (type IN ('qa', 'generation')) AS mean_repetition, avg(eos) FILTER (type IN ('qa', 'generation')) AS eos_rate FROM {_RESULTS} GROUP BY task""")
 def a08_task_metrics(spark, d):

@@ -151,3 +151,27 @@ def test_temporal_hold_out(spark):
     df = spark.createDataFrame(rows, "id int, group_id string, seen_at string").withColumn("seen_at", F.to_timestamp("seen_at"))
     got = {r["id"]: r["split"] for r in preparation.held_out_after(df, F.to_timestamp(F.lit("2026-02-01"))).collect()}
     assert got == {1: "test", 2: "test", 3: "test", 4: "train", 5: "train", 6: "train"}
+
+
+def test_suite_by_types(spark):
+    suite = spark.createDataFrame(
+        [("t", "text", None, "abc", None, None, None, None), ("m", "multiple_choice", "code", None, "p", ["a", "b", "c"], 1, None), ("q", "qa", "x", None, "p", None, None, ["A b", "z"]), ("g", "generation", "x", None, "p", None, None, None)],
+        "id string, type string, domain string, text string, prompt string, choices array<string>, answer_index int, answers array<string>",
+    )
+    windows = spark.createDataFrame([("t", 1.0, 2), ("t", 0.5, 1)], "id string, nll double, tokens int")
+    choices = spark.createDataFrame([("m", 2, -1.0), ("m", 0, -3.0), ("m", 1, -1.0)], "id string, choice int, score double")
+    made = spark.createDataFrame([("q", "a B!", True), ("g", "abcdabcd", False)], "id string, prediction string, eos boolean")
+    got = {r["id"]: r for r in evaluation.suite_predictions(suite, windows, choices, made).collect()}
+    assert (got["t"]["nll"], got["t"]["tokens"], got["t"]["utf8_bytes"], got["t"]["domain"]) == (1.5, 3, 3, "korean_general")
+    assert got["m"]["scores"] == [-3.0, -1.0, -1.0] and got["m"]["predicted_index"] == 1 and got["m"]["correct"] is True and got["m"]["prediction"] is None
+    assert (got["q"]["exact_match"], got["q"]["character_f1"], got["q"]["eos"]) == (1.0, 1.0, True)
+    assert got["g"]["repetition"] == pytest.approx(1 - 4 / 5) and got["g"]["exact_match"] is None and got["g"]["nll"] is None
+    report = evaluation.text_metrics(evaluation.suite_predictions(suite, windows, choices, made).where("type = 'text'")).collect()
+    assert report[0]["ce"] == 0.5
+    with pytest.raises(ValueError, match="no items"):
+        evaluation.suite_predictions(suite.where("false"), windows, choices, made)
+    with pytest.raises(ValueError, match="repeated id"):
+        evaluation.suite_predictions(suite.unionAll(suite), windows, choices, made)
+    for less in ((windows.where("false"), choices, made), (windows, choices.where("choice > 0"), made), (windows, choices, made.where("id = 'q'"))):
+        with pytest.raises(Exception, match="nothing was scored"):
+            evaluation.suite_predictions(suite, *less).collect()
