@@ -145,6 +145,14 @@ def packed_rows(layout_rows: DataFrame, tokens: DataFrame, length: int, pad: int
     )
 
 
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(doc_number, ids) of packed rows: the tokens of each document in order, the one that a row repeats from the row before left out."""
+    places = rows.select("row_number", F.posexplode(F.arrays_zip("input_ids", "document_ids")).alias("at", "x")).where("x.document_ids >= 0")
+    pieces = places.groupBy(F.col("x.document_ids").alias("doc_number"), "row_number").agg(F.array_sort(F.collect_list(F.struct("at", F.col("x.input_ids").alias("id")))).alias("p"))  # a row's places at most
+    whole = pieces.groupBy("doc_number").agg(F.array_sort(F.collect_list(F.struct("row_number", F.col("p.id").alias("ids")))).alias("pieces"))  # one document
+    return whole.select("doc_number", F.flatten(F.transform("pieces", lambda p, i: F.when(i == 0, p["ids"]).otherwise(F.slice(p["ids"], 2, F.size(p["ids"]))))).alias("ids"))
+
+
 def valid_targets(document_ids: Column, attention_mask: Column) -> Column:
     """Neighbours in a row of one document, both unmasked."""
     n = F.size(document_ids) - 1

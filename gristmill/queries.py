@@ -358,17 +358,28 @@ e AS (SELECT DISTINCT group_id AS external, digest FROM kept WHERE group_id <> '
 tie AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT 'x' || external, digest FROM e UNION SELECT digest, 'x' || external FROM e),
 reach(a, b) AS (SELECT digest, digest FROM n UNION SELECT r.a, t.b FROM reach r JOIN tie t ON r.b = t.a),
 grouped AS (SELECT a AS digest, min(b) AS g FROM reach WHERE b NOT LIKE 'x%' GROUP BY a),
-first AS (SELECT arg_min(text, doc_id) AS text, digest FROM kept GROUP BY digest),
-clean AS (SELECT """ + _SPLIT + " AS split, text FROM (SELECT text, test_ratio, validation_ratio, " + _BUCKET + """ AS b FROM first JOIN grouped USING (digest), preparation))
-SELECT * FROM (SELECT 'input' AS counter, CAST(count(*) AS BIGINT) AS value FROM tagged UNION ALL SELECT reason, count(*) FROM tagged WHERE reason IS NOT NULL GROUP BY reason
+first AS (SELECT arg_min(text, doc_id) AS text, min(doc_id) AS doc_id, count(*) AS copies, digest FROM kept GROUP BY digest),
+clean AS (SELECT """ + _SPLIT + " AS split, text, doc_id, digest, g, copies FROM (SELECT text, doc_id, digest, g, copies, test_ratio, validation_ratio, " + _BUCKET + """ AS b FROM first JOIN grouped USING (digest), preparation))
+"""
+_COUNTERS = """SELECT * FROM (SELECT 'input' AS counter, CAST(count(*) AS BIGINT) AS value FROM tagged UNION ALL SELECT reason, count(*) FROM tagged WHERE reason IS NOT NULL GROUP BY reason
 UNION ALL SELECT 'exact_duplicates_removed', count(*) - count(DISTINCT digest) FROM kept UNION ALL SELECT split || '_documents', count(*) FROM clean GROUP BY split UNION ALL SELECT split || '_utf8_bytes', sum(strlen(text)) FROM clean GROUP BY split) WHERE value > 0"""
 
 
-@query(_PREPARED)
+def _plain(spark, d):
+    plain = records.raw_records(_spread(spark, d).where(F.coalesce("content_type", F.lit("text")) != "html"))
+    return plan.prepare(plain, _settings(spark, d))
+
+
+@query(_PREPARED + _COUNTERS)
 def e01_plain(spark, d):
     """The whole preparation of what is not HTML: counters, but for the number of links."""
-    plain = records.raw_records(_spread(spark, d).where(F.coalesce("content_type", F.lit("text")) != "html"))
-    return plan.prepare(plain, _settings(spark, d)).counters().where("counter <> 'near_duplicate_links'")
+    return _plain(spark, d).counters().where("counter <> 'near_duplicate_links'")
+
+
+@query(_PREPARED + "SELECT doc_id, digest AS content_sha256, sha256(text) AS text_sha256, g AS group_id, split, copies FROM clean")
+def e01_plain_clean(spark, d):
+    """The clean records of what is not HTML: digest, text, group, split and copies."""
+    return _plain(spark, d).clean.select(F.col("ordinal").alias("doc_id"), "content_sha256", X.digest(F.col("text")).alias("text_sha256"), "group_id", "split", "copies")
 
 
 @query()
@@ -536,6 +547,16 @@ def k03_packed(spark, d):
     return pack.pack_split(clean, "train", "byte_bpe_50k", _ROW, 50256, 50256, 50256).select("row_number", "input_ids", "document_ids")
 
 
+@query(f"SELECT row_number() OVER (ORDER BY digest) - 1 AS doc_number, text FROM (SELECT sha256(g) AS digest, text, {_SPLIT} AS split FROM (SELECT g, text, test_ratio, validation_ratio, {_BUCKET} AS b FROM (SELECT CAST(doc_id AS VARCHAR) AS g, text FROM documents WHERE text IS NOT NULL), preparation)) WHERE split = 'train'")
+def k03_unpacked(spark, d):
+    """The documents of one split encoded, packed in rows of 1,024, taken out of them and decoded again."""
+    key = F.col("doc_id").cast("string")
+    texts = _spread(spark, d).where("text is not null").select(X.digest(key).alias("content_sha256"), preparation.hash_split(key, _settings(spark, d)).alias("split"), "text")
+    rows = pack.pack_split(texts.where("split = 'train'"), "train", "byte_bpe_50k", _ROW, 50256, 50256, 50256)
+    ids = packing.unpacked(rows).select("doc_number", F.slice("ids", 2, F.size("ids") - 2).alias("ids"))  # without the signs of beginning and end
+    return ids.select("doc_number", corpus.decoder("byte_bpe_50k")(F.col("ids")).alias("text"))
+
+
 @query("SELECT record_id, ordinal FROM (SELECT record_id, doc_id AS ordinal FROM documents, preparation WHERE list_contains(allowed_licenses, license) AND coalesce(record_id, '') <> '' AND coalesce(source, '') <> '' AND coalesce(domain, '') <> '' ORDER BY doc_id LIMIT 50)")
 def k08_first_kept(spark, d):
     """The first fifty records that provenance lets pass."""
