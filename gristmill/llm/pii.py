@@ -38,7 +38,7 @@ _WITH = """
 메일 <email>|전자 메일은 <email>{o} 쓴다.|<email>로 {verb}|<email> 앞으로|답은 <email>에 남겨 주세요.|{noun} 신고 <email>|{thing}: <email>|TO="<email>"|<email>{p} {verb}|<<email>>|[<email>]|{noun}은 <email> 하나뿐이다.
 주소 <address>|<address>에 산다.|<address>으로 옮겼다.|{thing} 받을 주소: <address>|<address>에서 {verb}|{noun}{p} <address> 부근이다.|<address> 앞|<address>의 {noun}|소재지 <address>|{when} <address>에 {verb}|<address>
 {erole} <name> {everb}|{erole} <name>|{erole}: <name>|{erole}: <name>, <phone>|{erole}: <name> <<email>>|# {erole} <name> <<email>>|// {erole} <name> <phone>|{erole} <name> (<email>) {everb}|{erole} <name>, ID <id_number>|"{elabel}": "<name>", "mail": "<email>"|{'{elabel}': '<name>', 'phone': '<phone>', 'home': '<address>'}
-<known> {everb}|when <known> {everb}|that <known> {everb}|the old <known> {everb}|<known> and her {enoun}|with <known> or <known>|for <known>'s {enoun}|to <known>|<known> is my {enoun}.|<known> had the {enoun}.|a {enoun} for <known>|seen <known> there|{word} <known> {everb}|<known> has a {enoun}|<known>!|<known> {everb} the {enoun}.|The {enoun} was signed by <known>.|by <known>|Photo: <known>|<known>, {n2}, {everb}|<known> and <known> {everb}|My {enoun} came from <known>.|We met <known> near the {enoun}.|It was <known> who {everb} it.|<known>'s {enoun}|"Not at all," <known> said.|The {enoun}, <known>, {everb}.|Ask <known> about the {enoun}.|Call <known> on <phone>.
+<known> {everb}|when <known> {everb}|that <known> {everb}|the old <known> {everb}|<known> and her {enoun}|with <known> or <known>|for <known>'s {enoun}|to <known>|<known> is my {enoun}.|<known> had the {enoun}.|a {enoun} for <known>|seen <known> there|<known> was at the {enoun}.|<known> was {c}|<known> is {c} {c}|<known> has {c}|with <known> {c}|{c} <known> in {n4}|<known> at {n2}|{word} <known> {everb}|<known> has a {enoun}|<known>!|<known> {everb} the {enoun}.|The {enoun} was signed by <known>.|by <known>|Photo: <known>|<known>, {n2}, {everb}|<known> and <known> {everb}|My {enoun} came from <known>.|We met <known> near the {enoun}.|It was <known> who {everb} it.|<known>'s {enoun}|"Not at all," <known> said.|The {enoun}, <known>, {everb}.|Ask <known> about the {enoun}.|Call <known> on <phone>.
 Mr. <name> {everb}|Dr <name> {everb}|Dear <name>,|Hello <name>,|Yours, <name>|Best regards, <name>|Kind regards,\n<name>|Signed: <name>|From: <name> <<email>>|To: <name>|Prepared by <name>, tel. <phone>|Write to <name> at <email>.|For details see <name> ({thing} <phone>).|{elabel}: <name>|{elabel} = <name>|<name> | <phone> | <email>|<name>, <address>
 <name> lives at <address>.|<name> of <address>|Ship to <address>.|{enoun} at <address> is closed.|Home: <address>|I moved to <address>, phone <phone>.|New address: <address>|Visit <address> after {n2}.|SSN <id_number>|licence no. <id_number>|National ID <id_number>, {elabel} <name>|social security <id_number>|{erole} <name>, licence <id_number>
 Phone: <phone>|Fax <phone>|Text <phone> today.|Ring <phone> for the {enoun}.|mobile <phone>; mail <email>|Email <email>|Reply to <email>.|{enoun} bugs: <email>|Send the {enoun} to <email>|mailto:<email>|{enoun} fixes to <email>.|{erole} <name> {hon} {verb}|<name>; <phone>; {place}|{role} <name> {hon}, <phone>
@@ -48,9 +48,9 @@ Phone: <phone>|Fax <phone>|Text <phone> today.|Ring <phone> for the {enoun}.|mob
 _WITHOUT = """
 {noun}{p} {title}의 {noun}{o} {verb}|{noun}과 {title}{p} {verb}|{title}{p} {noun}{o} {verb}|{title}, {noun}|{sino} {title}{p} {verb}|{odd} {noun} {n2}%|{noun}하였다고 {verb}|{noun}되며 {noun}{p} {verb}|{noun}하는 {noun}{p} {verb}|{sino}{p} {noun}{o} {verb}|{sino}의 {noun}{p} {verb}|{noun} {sino}{p} {verb}|{sino} {noun}{p} {verb}|{sino}, {sino}, {noun}|{when} {sino}{o} {verb}|- {sino}: {sino}{p} {verb}|{noun}{p} {noun}{o} {verb}|{when} {noun}{p} {verb}|{noun} {noun}{p} {verb}|{noun}의 {noun}{o} {verb}|{noun}과 {noun}{p} {when} {verb}|{noun}에서 {noun}까지 {n2}분 걸린다.|{noun} 가운데 {n2}개{p} {verb}|{noun}: {noun}, {noun}|- {noun}: {noun}{p} {verb}|{noun}, {noun}, {noun}|{noun}에는 {noun}{p} {verb}|{odd}{p} {verb}|{odd}의 {noun}{p} {verb}|{odd}에서 {noun}{o} {verb}|{odd}과 {odd} 사이에서 {noun}{p} {verb}|{odd} {noun}|{odd}|({odd}, {n4}) {noun} 보기.|{odd}식 {noun}|{noun} {odd}{p} {verb}|<p>{odd}</p>|{n2}번째 {noun}{p} {odd}의 {noun}{o} {verb}
 {role} {noun}{p} {verb}|{role}{p} {verb}|{role}에게 {noun}{o} 물었다.|{label}{o} 적어 주세요.|{label} {noun}{p} {verb}|{role} {noun} {noun}{o} {verb}|{fam} {hon}께 {verb}|{fam} {hon}{p} {verb}|{role} {fam} {hon}{p} {verb}|{role}, {noun}|{label}, {noun}, {noun} 항목|{role} 여러분|{role} {noun} 안내|이름 모를 {noun}{p} {verb}|{role} 없는 {noun}|대표 {noun}|{role} {noun} {noun} {noun}|{noun} 씨앗{o} {verb}|{role} 회의는 {n2}시에 열린다.
-{enoun} of {place} {everb2}|{place} {everb2} the {enoun}.|The {place} {everb2}.|In {place}, the {enoun} {everb2}.|According to {place}, no {enoun} {everb2}.|{place} and {place} {everb2}.|({place}, {n4}) on the {enoun}|Notes on {place}|- {enoun}: {place}|Between {place} and the {enoun}|{heading}|"{heading}" is a song.|{heading} {everb2}.|Long before {thing_name}, the {enoun} {everb2}.|the {enoun} owed {thing_name} nothing|Which one was {thing_name}? A: {thing_name}|Q: Where is {place}?\nA: {place}|Answer: {thing_name}|답: {thing_name}|{thing_name} 열매{p} {verb}|After {place} {everb2}, {thing_name} {everb2}.|as {place} put it|and only {thing_name} {everb} it|{thing_name}|{thing_name}|{place}|with {thing_name}|{thing_name} {everb} the {enoun}.
+{enoun} of {place} {everb2}|{place} {everb2} the {enoun}.|The {place} {everb2}.|In {place}, the {enoun} {everb2}.|According to {place}, no {enoun} {everb2}.|{place} and {place} {everb2}.|({place}, {n4}) on the {enoun}|Notes on {place}|- {enoun}: {place}|Between {place} and the {enoun}|{heading}|"{heading}" is a song.|{heading} {everb2}.|Long before {thing_name}, the {enoun} {everb2}.|the {enoun} owed {thing_name} nothing|Which one was {thing_name}? A: {thing_name}|Q: Where is {place}?\nA: {place}|Answer: {thing_name}|답: {thing_name}|{thing_name} 열매{p} {verb}|After {place} {everb2}, {thing_name} {everb2}.|as {place} put it|and only {thing_name} {everb} it|{thing_name}|{thing_name}|{place}|{thing_name} {everb} the {enoun}.
 {erole} {place} {everb2}|{erole} the {enoun}|{elabel} the {enoun} first.|Contact {place} for the {enoun}.|Ask {heading} again.|Dear {heading},|The {elabel} {word} is common.|Signed copies of {heading}|Regards from {place}|Author notes on {place}|Call the {enoun}.|{word} {word} {n2}.{n1}|by {place}|from {place}|near {place}|with {place}|{place}, {place}|{word}, {word} and {word}|{WORDS}|{WORDS} {word}|class {Camel}({Camel}):|return {Camel}.{camel}();|def {camel}(self):|@{camel}|@{camel} def {camel}|{camel} at {camel}.{camel}|SELECT {camel}, {elabel} FROM {camel} WHERE {camel} = {n2};|WHERE {camel}_id > {n4}|{camel}@{camel}:~$ ls
-{c} {place} {c}|{c} {thing_name} {c}|{c} {heading} {c}|{thing_name} {c} {c}|{c} {place}, {c}|{c} {c} {thing_name}.|{place} {c} the {enoun}|{c} {thing_name} {c} {enoun}|{c}, {place}, {c}|{heading} {c} {c}|{place} {c} {n4}|{c} {thing_name} {c} {thing_name}|{c} {thing_name}, {c}|{c} {enoun} {c} {thing_name}.|{thing_name}, {c} {c}|{c} {c} {thing_name} {c}|{WORDS} {c}
+{c} {place} {c}|{c} {thing_name} {c}|{c} {heading} {c}|{thing_name} {c} {c}|{c} {place}, {c}|{c} {c} {thing_name}.|{place} {c} the {enoun}|{c} {thing_name} {c} {enoun}|{c}, {place}, {c}|{heading} {c} {c}|{place} {c} {n4}|{c} {thing_name} {c} {thing_name}|{c} {thing_name}, {c}|{c} {enoun} {c} {thing_name}.|{thing_name}, {c} {c}|{c} {c} {thing_name} {c}|{WORDS} {c}|{c} {WORDS} {c}|{thing_name} {c} {c} {c}|for {thing_name}, {c}|{thing_name} was {c}|{c} {c} {thing_name}, {c}
 {ekind} {n4}-{n2}-{n4}|{ekind} {n3}-{n3}-{n4}|{ekind} no. {n3}-{n2}-{n4}|{ekind} {n6}{n6}{n1}|{ekind} {n1}.{n2}.{n3}|{ekind} {n3}.{n3}.{n4}|{kind} {n4}-{n2}-{n4}|{kind} {n3}-{n2}-{n6}|{kind} {n6}{n6}{n6}|{kind} {n6}{n6}{n1}|{kind} {n4}-{n3}-{n4}|{kind} {n3}-{n2}-{n4} {noun}|{kind} {n1}.{n3}.{n2}|{kind} {n3}.{n3}.{n1} {noun}{p} {verb}|{kind} {n4}-0{n2}-{n4}|{kind} {n6}-{n6}{n1}|{noun} {n4}.{n2}.{n2} ~ {n4}.{n2}.{n2}|{noun} 0{n2}.{n2}에서 0{n2}.{n2}까지|{kind}: {n2}-{n2}-{n6}-{n1}|{n4}년 {noun}{p} {verb}|{n4}년과 {n4}년 사이|{n1},{n3},{n3}원|{noun} {n2}.{n2}%|IP {n3}.{n2}.{n2}.{n1}|{kind} {n3}-{n2}-{n5}
 {road} 쪽 {n2}번 버스|{road} 인근 {n2}개 {noun}|{road}에서 {noun}{o} {verb}|{road} {n2}개 {noun}{p} {verb}|{si}에는 {noun}{p} 많다.|{si} {gu}에서 {noun}{o} {verb}|{road}{p} {verb}|{road}부터 {si}까지 {n2}km|{si} 주민 {n3}명{p} {verb}|{street} is {n2} miles long.|The {n2} {street} bus|{street} {everb2}.|Left onto {street}|{town} and {street}|{n2} {word} {street} lines|주소는 곧 알린다.|메일 주소의 골뱅이 앞|전화는 나중에|{noun} @ {noun}|{enoun} @ {n2}|look at the dot above|{enoun} at the dot of {n2}|연락처 {noun}{p} {verb}|전화 {noun}{o} {verb}|{noun} 접수 {noun}
 """

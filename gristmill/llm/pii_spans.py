@@ -7,6 +7,7 @@ decomposed letters are composed; ``View.at`` leads every place of the view back
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -59,7 +60,7 @@ ROLES = set(
     "담당자 담당 작성자 작성 신청인 신청자 접수자 접수인 민원인 목격자 증인 수신인 발신인 수취인 보낸이 받는이 사람 예금주 입금자 대표자 대표 대표이사 사장 환자 보호자 고객 회원 저자 지은이 글쓴이 필자 옮긴이 번역 글 그림 사진 "
     "제공은 문의 피해자 피고인 피의자 원고 참고인 의뢰인 계약자 임차인 임대인 학생 교사 원장 기자 연구자 연구원 책임자 관리자 가입자 예약자 당첨자 수상자 참석 참석자 참가자 발표자 진행자 운전자 승객 배우 가수 감독 작가 시인 화가 선수 코치 "
     "총무 반장 의사 간호사 교수 박사 변호사 판사 검사 형사 목사 신부 스님 어머니 아버지 아들 딸 동생 누나 언니 오빠 형 남편 아내 친구 이웃 심사위원 위원 이사 주연 조연 고 편집 취재 발신 수신 참조 "
-    "author maintainer contact signed attn applicant patient customer user owner witness member reviewer manager sender recipient signatory contributor reporter editor translator tenant buyer seller professor captain judge mayor nurse "
+    "author maintainer contact signed attn applicant patient customer user owner witness member reviewer manager sender recipient signatory contributor reporter editor translator tenant buyer seller professor captain judge mayor nurse chairman chairwoman president director minister secretary "
     "sergeant detective senator president brother sister son daughter wife husband neighbour friend colleague winner by mr mrs ms miss dr prof sir cc from to dear ask regards sincerely yours cheers best thanks lists called named".split()
 )
 LABELS = set("성명 이름 성함 회원명 고객명 환자명 입금자명 예금주명 수취인명 신청인명 담당자명 작성자명 회원정보 name fullname owner_name username author_name".split())
@@ -95,7 +96,7 @@ NOBODY_ENDS = set("institute works society valley university college school comp
 _NO_NAME = set(
     "the a an of and or in on at for with to from by this that these those it its he she we they you i is are was were be been if when while as but not no yes so then than there here what which who whose how why where please dear contact ask call signed author name mr mrs ms miss dr prof professor "
     "sincerely regards yours best cheers thanks thank tel phone email mail id ssn address monday tuesday wednesday thursday friday saturday sunday january february march july august september october november december after before according unlike each every both between add see about even although "
-    "because since until under over into photo translated written reported reviewed filed meet interview questions captain nurse judge mayor her his my our their your".split()
+    "because since until under over into photo translated written reported reviewed filed meet interview questions captain nurse judge mayor her his my our their your yesterday today tomorrow once later yes never always often perhaps however meanwhile whenever did does do has have had would could chairman chairwoman president director minister next last every some many another only also again still just use".split()
 )
 #: Ordinary English words that titles, places and products are made of.
 _ORDINARY = set(
@@ -228,7 +229,7 @@ def _context(text: str, start: int, end: int) -> list[str]:
         line = "\n" in signs
         signs = "\n" if line else signs.replace(" ", "")[-2:]
         bare = _PARTICLE.sub("", word) or word
-        kind = "label" if word in LABELS or bare in LABELS else "role" if word in ROLES or bare in ROLES else "nobodys" if word in NOBODYS or bare in NOBODYS else "capital" if left.group(1)[0].isupper() else "word"
+        kind = "label" if word in LABELS or bare in LABELS else "role" if word in ROLES or bare in ROLES else "nobodys" if word in NOBODYS or bare in NOBODYS else "capital" if left.group(1)[0].isupper() and word not in _NO_NAME else "word"
         out += [f"l={word}", f"ls={signs}", f"l:{kind}", f"l:{kind}{signs}", f"l:{kind},{bare != word}"]
     else:
         signs = before.replace(" ", "")[-2:]
@@ -413,16 +414,29 @@ def _trigrams(name: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-_letters = Counter(t for n in [*GIVEN, *FAMILY, *MORE_NAMES] for t in _trigrams(n))
+_listed = GIVEN | FAMILY | MORE_NAMES
+_letters = Counter(t for n in _listed for t in _trigrams(n))
+_pairs = Counter(t[:2] for n in _listed for t in _trigrams(n))
+_ends = Counter(t[1:] for n in _listed for t in _trigrams(n))
+_single = Counter(t[1] for n in _listed for t in _trigrams(n))
 
 
 @functools.lru_cache(maxsize=100_000)
+def _spelling(name: str) -> float:
+    """How a word is spelled by an interpolated model of the letters of the lists: mean logarithm of each letter's chance after the two before it. A
+    name of the lists does not count itself."""
+    name = name.split("-")[0]
+    own, parts, total = name in _listed, _trigrams(name), 0.0
+    for t in parts:
+        backed = (max(0, _ends[t[1:]] - own) + 0.5) / (max(0, _single[t[1]] - own) + 13)
+        total += math.log((max(0, _letters[t] - own) + 4 * backed) / (max(0, _pairs[t[:2]] - own) + 4))
+    return total / len(parts)
+
+
 def _like(name: str) -> int:
-    """How much a word is spelled like names are, 0 to 3, by the trigrams of its letters in the lists; a name of the lists does not count itself."""
-    own = name in GIVEN or name in FAMILY or name in MORE_NAMES
-    parts = _trigrams(name.split("-")[0])
-    seen = sum(_letters[t] > own for t in parts) / len(parts)
-    return (seen > 0.35) + (seen > 0.6) + (seen > 0.85)
+    """0 to 3: the more, the more a word is spelled like a name."""
+    spelled = _spelling(name)
+    return (spelled > -3.4) + (spelled > -2.9) + (spelled > -2.4)
 
 
 def _western(words: list[str], comma: bool) -> list[str]:
@@ -432,10 +446,10 @@ def _western(words: list[str], comma: bool) -> list[str]:
     known = f"{first.split('-')[0] in GIVEN}{last in FAMILY}"
     turned = not comma and first in FAMILY and last not in FAMILY
     ordinary = min(2, sum(n in _ORDINARY for n in names))
-    like = f"{_like(first)}{_like(last)}"
+    like, spelled = f"{_like(first)}{_like(last)}", round(min(-4.0, max(-9.0, 1.0 * (_spelling(first) + _spelling(last)))) * 2)
     bodies = min(2, sum(n in BODIES for n in names))
     return [
-        "western", f"words={len(names)}", f"known={known}", f"known={known},{len(names)}", f"turned={turned}", f"like={like}", f"like={like},{known}", f"like={like},{ordinary}", f"middle={any(w.endswith('.') for w in words[1:])}", f"initial={words[0].endswith('.')}", f"small={any(w[0].islower() for w in words)}",
+        "western", f"words={len(names)}", f"known={known}", f"known={known},{len(names)}", f"turned={turned}", f"like={like}", f"like={like},{known}", f"like={like},{ordinary}", f"spelled={spelled}", f"spelled={spelled},{known}", f"middle={any(w.endswith('.') for w in words[1:])}", f"initial={words[0].endswith('.')}", f"small={any(w[0].islower() for w in words)}",
         f"caps={caps}", f"caps={caps},{known}", f"comma={comma}", f"bodies={bodies}", f"ordinary={ordinary}", f"ordinary={ordinary},{known}", f"ends={last[-3:]}", f"hyphen={'-' in first + last}", f"accent={not (first + last).isascii()}",
         f"inner={any(c.isupper() for w in words for c in w[1:] if not w.isupper())}",
     ]
