@@ -2,12 +2,14 @@
 
 Candidates come from banded MinHash, whose shuffle is a few hundred bytes a text whatever its length: enough bands that a pair at the
 threshold is missed with a chance below MISS, less than the reference's own eight bands allow. Every candidate is then verified on
-its shingles. ``prefix_pairs`` is the lossless way beside it (AllPairs, PPJoin): with shingles in order of how few documents have
-them, two sets of similarity t or more share one of their first n - ceil(t n) + 1; it shuffles every shingle.
+its shingles. ``prefix_pairs`` is the lossless way beside it. It began as the prefix filter (AllPairs, PPJoin), whose candidates grow
+with the square of the corpus wherever texts share phrases; now it is the pigeonhole over ranges of the hash space (PartEnum), with the
+pigeonring's second look at the ranges that follow: no pair is missed either, and hardly any other pair is listed.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 from collections.abc import Iterator
@@ -37,14 +39,19 @@ def banding(threshold: float) -> tuple[int, int]:
     raise AssertionError
 
 
-def signature(text: str, hashes: int) -> tuple[int, np.ndarray]:
-    """(distinct shingles, minimum of each of ``hashes`` 32-bit hash functions over them)."""
+def shingle_codes(text: str) -> np.ndarray:
+    """A 64-bit number for every shingle as it comes, not yet mixed."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     width = min(X.SHINGLE, len(codes))
     base = np.zeros(len(codes) - width + 1, dtype=np.uint64)
     for i in range(width):
         base = base * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - width + 1 + i]
-    base = np.unique(base)
+    return base
+
+
+def signature(text: str, hashes: int) -> tuple[int, np.ndarray]:
+    """(distinct shingles, minimum of each of ``hashes`` 32-bit hash functions over them)."""
+    base = np.unique(shingle_codes(text))
     base ^= base >> np.uint64(29)
     base *= np.uint64(0xBF58476D1CE4E5B9)
     mixed = (base >> np.uint64(32)).astype(np.uint32)
@@ -175,35 +182,218 @@ def near_links(texts: DataFrame, threshold: float, scratch: Scratch, raw: bool =
     return links.unionAll(more).select("a", "b", "jaccard")
 
 
-def shingled(texts: DataFrame) -> DataFrame:
-    """(digest, hashes, n) of texts (digest, key): sorted distinct 64-bit hashes of the shingles. Similarity is decided on hashes;
-    two shingles of one pair of texts collide with a chance below 1e-12."""
-    hashes = F.array_sort(F.array_distinct(F.transform(X.shingles(F.col("key")), lambda s: F.xxhash64(s))))
-    return texts.select("digest", hashes.alias("hashes")).withColumn("n", F.size("hashes"))
+class Ranges:
+    """The lossless scheme. Two sets of n and m shingles at the threshold t or above differ in at most (1 - t) / (1 + t) (n + m). Sizes fall
+    into classes such that the larger of two sets that fit is in the class of the smaller or the next. For a class with at most H differences
+    the hash space is cut into H + 1 ranges: some range holds the same shingles in both sets, and it can be chosen such that the next
+    ``AHEAD`` ranges together differ in ``AHEAD`` shingles at most (else every range would start a run with more differences than its
+    share, and so would the whole ring). Hence a posting for every range: a hash of its shingles, and the parities of what follows."""
 
+    AHEAD = 4
 
-def prefix_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """What ``near_pairs`` gives, without a chance to miss any, at a shuffle of all shingles."""
-    sets = scratch.keep(shingled(texts), "shingles")
-    postings = sets.select("digest", "n", F.explode("hashes").alias("h"))
-    common = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    # A shingle of one document joins nothing; it takes its place in the order all the same, in front.
-    shared = postings.join(common, "h").groupBy("digest", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ranked"))
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    alone = F.col("n") - F.size("ranked")
-    rare = shared.withColumn("rare", F.slice("ranked", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))).select("digest", "n", F.explode("rare.h").alias("h"))
-    left, right = rare.select(F.col("digest").alias("a"), F.col("n").alias("na"), "h"), rare.select(F.col("digest").alias("b"), F.col("n").alias("nb"), "h")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    pairs = left.join(right, "h").where(fits).select("a", "b").distinct()
-    return similar(pairs, sets, threshold)
+    def __init__(self, threshold: float):
+        self.threshold, self.tops = threshold, [1]
+
+    def of_size(self, n: int) -> int:
+        """Class of the sets of n shingles."""
+        while self.tops[-1] < n:
+            self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] / self.threshold + 1e-9)))
+        return bisect.bisect_left(self.tops, n)
+
+    def differences(self, n, m):
+        """Most differences of two sets of n and m shingles that are similar enough."""
+        return np.floor((1 - self.threshold) / (1 + self.threshold) * (n + m) + 1e-9)
+
+    def postings(self, hashed: np.ndarray, size_class: int) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit keys, 32-bit parities) of sorted hashes for pairs whose smaller set is of the class."""
+        top = self.tops[size_class]
+        ranges = int(self.differences(top, int(top / self.threshold + 1e-9))) + 1
+        starts = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
+        at = np.concatenate([[0], np.searchsorted(hashed, starts << np.uint64(32)), [len(hashed)]])
+        sums = np.concatenate([_ZERO, np.cumsum(_mixed(hashed))])[at]
+        parities = np.concatenate([_ZERO, np.bitwise_xor.accumulate(np.uint64(1) << (hashed & np.uint64(31)))])[at]
+        keys = _mixed(_mixed(sums[1:] - sums[:-1] + np.arange(ranges, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + np.uint64(size_class))
+        each, ahead = parities[1:] ^ parities[:-1], np.zeros(ranges, dtype=np.uint64)
+        for k in range(1, min(self.AHEAD, ranges - 1) + 1):
+            ahead ^= np.roll(each, -k)
+        return keys, ahead
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of pairs (a, b) whose sets (digest, hashes) are similar enough."""
-    ha, hb = sets.select(F.col("digest").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("digest").alias("b"), F.col("hashes").alias("hb"))
-    common = F.size(F.array_intersect("ha", "hb"))
-    scored = pairs.join(ha, "a").join(hb, "b").withColumn("jaccard", common / (F.size("ha") + F.size("hb") - common))
-    return scored.where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+_ZERO = np.zeros(1, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(30))
+
+
+def _hashed(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    base = shingle_codes(text)
+    base ^= base >> np.uint64(29)
+    base *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(base ^ (base >> np.uint64(32)))
+
+
+def _parities(hashed: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of a hash: whether an odd number of hashes has it. At least two bits a hash. The bits of two sets
+    differ in no more places than the sets in elements; the halves of a wider one, one on the other, are the narrower one."""
+    width = 1 << max(6, int(2 * len(hashed) - 1).bit_length())
+    return np.packbits(np.bincount((hashed & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def _apart(left: pd.Series, right: pd.Series) -> np.ndarray:
+    """Places in which bits of ``_parities`` differ."""
+    out = np.zeros(len(left), dtype=np.int64)
+    for (n, m), at in pd.DataFrame({"n": left.map(len), "m": right.map(len)}).reset_index(drop=True).groupby(["n", "m"]).indices.items():
+        x, y = (np.frombuffer(b"".join(s.iloc[at]), dtype=np.uint64).reshape(len(at), -1) for s in (left, right))
+        while x.shape[1] != y.shape[1]:
+            fold = lambda z: z[:, : z.shape[1] // 2] ^ z[:, z.shape[1] // 2 :]
+            x, y = (fold(x), y) if x.shape[1] > y.shape[1] else (x, fold(y))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+def _marks(ids: DataFrame) -> dict[int, np.ndarray]:
+    """Ids of ``monotonically_increasing_id``, as a bit for every row of a partition: what goes to the driver is an eighth of a byte a row."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        at = np.unique(rows.column("at").to_numpy())
+        bits = np.zeros(int(at[-1]) + 1, dtype=np.uint8)
+        bits[at] = 1
+        return pa.table({"part": rows.column("part").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    placed = ids.select(F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    return {r["part"]: np.frombuffer(r["bits"], dtype=np.uint8) for r in placed.groupBy("part").applyInArrow(pack, "part bigint, bits binary").collect()}
+
+
+def _marked(ids: np.ndarray, marks: dict[int, np.ndarray]) -> np.ndarray:
+    """Which of the ids have a mark."""
+    out, parts, at = np.zeros(len(ids), dtype=bool), ids >> 33, ids & ((1 << 33) - 1)
+    for part in np.unique(parts):
+        bits = marks.get(int(part))
+        if bits is not None:
+            here = np.flatnonzero((parts == part) & (at >> 3 < len(bits)))
+            out[here] = bits[at[here] >> 3] >> (7 - (at[here] & 7)) & 1
+    return out
+
+
+def _chosen(texts: DataFrame, marks: dict[int, np.ndarray], wanted: bool) -> DataFrame:
+    """Rows of texts (id, ...) that have a mark, or those that have none. No text is moved for it."""
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(batch.column(0).to_numpy(), sent.value) == wanted))
+
+    return texts.mapInArrow(choose, texts.schema)
+
+
+def _sharing(first: DataFrame, ranges: Ranges, buckets: int) -> DataFrame:
+    """(a, b), a < b, ids of texts (id, key) that share a posting of ``ranges``. Postings travel as packed arrays of 8 bytes each: one row a batch
+    of texts, bucket of keys and role, being the smaller (own class) or the larger (the class before)."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch.column(0).to_numpy())))
+            roles = ([], [])
+            for text in batch.column(1):
+                hashed = _hashed(text.as_py())
+                own = ranges.of_size(len(hashed))
+                roles[0].append(ranges.postings(hashed, own))
+                roles[1].append(ranges.postings(hashed, own - 1) if own else (_ZERO[:0], _ZERO[:0]))
+            ids = batch.column(0).to_numpy()
+            deltas = _narrow(np.diff(ids, prepend=ids[:1]))
+            rows = []
+            for role, done in enumerate(roles) if len(ids) else ():
+                keys = np.concatenate([k for k, _ in done])
+                packed = keys << np.uint64(32) | np.concatenate([x for _, x in done])
+                owner = np.repeat(np.arange(len(done)), [len(k) for k, _ in done])
+                bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+                for b, (begin, end) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+                    if end > begin:
+                        here = order[begin:end]
+                        rows.append((b, role, int(ids[0]), len(ids), deltas, _narrow(np.bincount(owner[here], minlength=len(ids))), packed[here].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "role", "first", "texts", "deltas", "counts", "packed"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        ids, keys, ahead, larger = [], [], [], []
+        for r in rows.to_pylist():
+            packed = np.frombuffer(r["packed"], dtype=np.uint64)
+            own = r["first"] + np.cumsum(_wide(r["deltas"], r["texts"]))
+            ids.append(np.repeat(own, _wide(r["counts"], r["texts"])))
+            keys.append((packed >> np.uint64(32)).astype(np.uint32))
+            ahead.append(packed.astype(np.uint32))
+            larger.append(np.full(len(packed), r["role"], dtype=np.uint8))
+        ids, keys, ahead, larger = map(np.concatenate, (ids, keys, ahead, larger))
+        order = np.lexsort((larger, keys))
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        lengths = np.diff(np.append(starts, len(keys)))
+        several = np.repeat(lengths > 1, lengths)
+        order, ends = order[several], np.repeat(np.cumsum(lengths[lengths > 1]), lengths[lengths > 1])
+        ids, ahead, larger = ids[order], ahead[order], larger[order]
+        found, left, step = [], np.flatnonzero(larger == 0), 1
+        while len(left := left[left + step < ends[left]]):
+            near = left[np.bitwise_count(ahead[left] ^ ahead[left + step]) <= ranges.AHEAD]
+            x, y = ids[near], ids[near + step]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            if step % 64 == 0:
+                found = [np.unique(np.concatenate(found), axis=0)]
+            step += 1
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    posted = first.mapInArrow(post, "bucket int, role int, first bigint, texts int, deltas binary, counts binary, packed binary")
+    return posted.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    return numbers.astype(np.min_scalar_type(int(numbers.max()))).tobytes()
+
+
+def _wide(content: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(content, dtype=f"u{len(content) // n}").astype(np.int64)
+
+
+def _similar_texts(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b, jaccard, sa, sb): all pairs of different texts (digest, key) of similarity ``threshold`` or more, a < b, and their shingles."""
+    spark, ranges = texts.sparkSession, Ranges(threshold)
+    kept = scratch.keep(texts.where("key <> ''").select(F.monotonically_increasing_id().alias("id"), F.unhex("digest").alias("digest"), "key"), "texts", compression="zstd")
+    least = kept.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    copies = _marks(kept.select("id", "digest").join(least, "digest").where("id <> least"))
+    first = _chosen(kept.select("id", "key"), copies, False)
+    buckets = min(4096, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    pairs = scratch.keep(_sharing(first, ranges, buckets), "pairs")
+    ends = lambda df: df.select(F.col("a").alias("id")).unionAll(df.select("b"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = [_hashed(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashed], pa.int32()), pa.array([_parities(h) for h in hashed], pa.binary())], names=["id", "n", "bits"])
+
+    @F.pandas_udf("boolean")
+    def close(na: pd.Series, nb: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(_apart(x, y) <= ranges.differences(na.to_numpy(), nb.to_numpy()))
+
+    sketches = scratch.keep(_chosen(kept.select("id", "key"), _marks(ends(pairs)), True).mapInArrow(sketch, "id bigint, n int, bits binary"), "sketches")
+    of = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    fitting = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    likely = scratch.keep(fitting.where(close("na", "nb", "bitsa", "bitsb")).select("a", "b"), "likely")
+    wanted = _chosen(kept, _marks(ends(likely)), True)
+    text = lambda x: wanted.select(F.col("id").alias(x), F.lower(F.hex("digest")).alias(f"d{x}"), F.col("key").alias(f"key{x}"))
+    sets = likely.join(text("a"), "a").join(text("b"), "b").select("da", "db", X.shingles(F.col("keya")).alias("sa"), X.shingles(F.col("keyb")).alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    scored = sets.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"), "sa", "sb")
+    return scored.where(F.col("jaccard") >= threshold)
+
+
+def prefix_pairs(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """What ``near_pairs`` gives, without a chance to miss any; texts may come with copies, which count once."""
+    return _similar_texts(texts, threshold, scratch).select("a", "b", "jaccard")
 
 
 def banded_candidates(texts: DataFrame, threshold: float, bands: int = 8) -> DataFrame:
@@ -219,6 +409,15 @@ def banded_candidates(texts: DataFrame, threshold: float, bands: int = 8) -> Dat
     return left.join(right, ["band", "least", "size_class"]).where(fits).select("a", "b").distinct()
 
 
+def banded_pairs(texts: DataFrame, threshold: float, scratch: Scratch, bands: int = 8) -> DataFrame:
+    """(a, b): what is left of ``banded_candidates`` when those that are not similar enough are gone. One minimum in common is so little that most
+    candidates are of that kind, and their number grows with the square of the corpus; so the similar pairs come first, and those stay
+    that the scheme names."""
+    pairs = _similar_texts(texts, threshold, scratch)
+    shared = F.zip_with(X.minhash(F.col("sa"), bands), X.minhash(F.col("sb"), bands), lambda x, y: x == y)
+    return pairs.where(F.exists(shared, lambda same: same)).select("a", "b")
+
+
 def membership(arrivals: DataFrame, pairs: DataFrame | None, scratch: Scratch, strict: bool = False) -> DataFrame:
     """(content_sha256, group) for arrivals (content_sha256, external): the least digest of the component over near pairs and
     shared external keys; keys of dropped copies count, so ``arrivals`` has a row for every record, copies included. Null is no key; an

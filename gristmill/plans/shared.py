@@ -45,12 +45,12 @@ class Scratch:
         self._n = 0
         atexit.register(self.drop_all)
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", compression: str | None = None) -> DataFrame:
         """Write ``df`` and return the reader of what was written."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         schema = df.schema
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         kept = self.spark.read.schema(schema).parquet(path)
         kept._scratch_path = path
         return kept

@@ -289,9 +289,7 @@ def d03_prefix_pairs(spark, d):
 @query(_PAIRS + "SELECT a, b FROM pairs")
 def d02_banded_candidates(spark, d):
     """Candidates by the banded scheme of the reference, of which those are left that are similar enough."""
-    scratch = Scratch(spark, "banded")
-    texts = scratch.keep(_keys(spark, d).select("digest", "key").distinct(), "texts")
-    return duplicates.similar(duplicates.banded_candidates(texts, 0.85), scratch.keep(duplicates.shingled(texts), "sets"), 0.85).select("a", "b")
+    return duplicates.banded_pairs(_keys(spark, d).select("digest", "key"), 0.85, Scratch(spark, "banded"))
 
 
 _MEMBERS = ", e AS (SELECT DISTINCT external, digest FROM (SELECT group_id AS external, sha256(" + _CANONICAL % "text" + ") AS digest FROM documents WHERE text IS NOT NULL AND " + _CANONICAL % "text" + """ <> '') WHERE external <> ''),

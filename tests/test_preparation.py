@@ -81,6 +81,39 @@ def test_near_pairs_equal_brute_force(spark):
             assert {(r["a"], r["b"]): r["jaccard"] for r in found.collect()} == pytest.approx(want)
 
 
+@pytest.fixture(scope="module")
+def phrases(spark):
+    """Many texts of few phrases: any two share shingles, hardly any two are alike; among them copies and edits of some."""
+    drawn = random.Random(11)
+    words = ["".join(drawn.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(60)]
+    texts = [" ".join(drawn.choice(words) for _ in range(drawn.randint(4, 30))) for _ in range(700)]
+    texts += [t[:-3] + "zq" for t in texts[:40]] + texts[:20]
+    folder = Scratch(spark, "phrases").root
+    spark.createDataFrame([(hashlib.sha256(t.encode()).hexdigest(), t) for t in texts], "digest string, key string").write.parquet(folder)
+    shingles = {hashlib.sha256(t.encode()).hexdigest(): {t[i : i + 5] for i in range(len(t) - 4)} for t in texts}
+    alike = {(a, b) for a, x in shingles.items() for b, y in shingles.items() if a < b and len(x & y) >= 0.85 * len(x | y)}
+    assert len(alike) >= 40
+    return spark.read.parquet(folder), alike
+
+
+class Written(Scratch):
+    """Counts the rows of what is kept."""
+
+    def keep(self, df, name="t", **how):
+        kept = super().keep(df, name, **how)
+        self.rows = getattr(self, "rows", {}) | {name: kept.count()}
+        return kept
+
+
+def test_banded_pairs_are_the_candidates_that_are_alike(spark, phrases):
+    texts, alike = phrases
+    candidates = {(r["a"], r["b"]) for r in duplicates.banded_candidates(texts.distinct(), 0.85).collect()}
+    scratch = Written(spark, "t")
+    assert len(candidates) > 100 * len(alike)
+    assert {(r["a"], r["b"]) for r in duplicates.banded_pairs(texts, 0.85, scratch).collect()} == candidates & alike
+    assert scratch.rows["pairs"] < 3 * len(alike)
+
+
 def grouped(texts, pairs):
     root = {t: t for t in texts}
 
