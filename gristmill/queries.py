@@ -280,10 +280,8 @@ def d03_near_pairs(spark, d):
 
 @query(_PAIRS + "SELECT a, b, jaccard FROM pairs")
 def d03_prefix_pairs(spark, d):
-    """The same by the lossless prefix filter."""
-    scratch = Scratch(spark, "prefix")
-    texts = scratch.keep(_keys(spark, d).select("digest", "key").distinct(), "texts")
-    return duplicates.prefix_pairs(texts, 0.85, scratch)
+    """The same by the lossless way."""
+    return duplicates.prefix_pairs(_keys(spark, d).select("digest", "key"), 0.85, Scratch(spark, "prefix"))
 
 
 @query(_PAIRS + "SELECT a, b FROM pairs")

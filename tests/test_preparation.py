@@ -105,6 +105,13 @@ class Written(Scratch):
         return kept
 
 
+def test_lossless_pairs_list_hardly_any_other(spark, phrases):
+    texts, alike = phrases
+    scratch = Written(spark, "t")
+    assert {(r["a"], r["b"]) for r in duplicates.prefix_pairs(texts, 0.85, scratch).collect()} == alike
+    assert len(alike) <= scratch.rows["pairs"] < 3 * len(alike) and "shingles" not in scratch.rows
+
+
 def test_banded_pairs_are_the_candidates_that_are_alike(spark, phrases):
     texts, alike = phrases
     candidates = {(r["a"], r["b"]) for r in duplicates.banded_candidates(texts.distinct(), 0.85).collect()}
