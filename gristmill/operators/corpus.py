@@ -7,9 +7,11 @@ import hashlib
 import json
 import os
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,26 +49,38 @@ def _code_points(vocabulary: DataFrame) -> np.ndarray:
     return table
 
 
+def _ids(table: np.ndarray, text: str) -> np.ndarray:
+    return table[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+
+
+def _signs(table: np.ndarray) -> dict[int, str]:
+    """Sign of each id; 0 stands for the sign of the unknown."""
+    known = np.flatnonzero(table)
+    return {int(table[c]): chr(c) for c in known} | {0: UNKNOWN}
+
+
+def _spelt(signs: dict[int, str], ids: np.ndarray) -> str:
+    return "".join(map(signs.__getitem__, ids.tolist()))
+
+
 def encode_characters(texts: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
     """(keys, ids) by a vocabulary (id, ch); what it does not have is 0; null and empty texts give an empty list."""
     table = texts.sparkSession.sparkContext.broadcast(_code_points(vocabulary))
 
     @F.pandas_udf("array<int>")
     def ids(column: pd.Series) -> pd.Series:
-        return pd.Series([table.value[np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)] for t in column.fillna("")])
+        return pd.Series([_ids(table.value, t) for t in column.fillna("")])
 
     return texts.select(*keys, ids("text").alias("ids"))
 
 
 def decode_characters(encoded: DataFrame, vocabulary: DataFrame, *keys: str) -> DataFrame:
     """(keys, text) of (keys, ids); id 0 stands for the sign of the unknown."""
-    table = _code_points(vocabulary)
-    known = np.flatnonzero(table)
-    back = encoded.sparkSession.sparkContext.broadcast({int(table[c]): chr(c) for c in known} | {0: UNKNOWN})
+    back = encoded.sparkSession.sparkContext.broadcast(_signs(_code_points(vocabulary)))
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
-        return pd.Series(["".join([back.value[int(i)] for i in ids]) for ids in column])
+        return pd.Series([_spelt(back.value, ids) for ids in column])
 
     return encoded.select(*keys, text("ids").alias("text"))
 
@@ -127,15 +141,26 @@ def load_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 def vocabulary_checks(texts: DataFrame, vocabulary: DataFrame, again: DataFrame, *keys: str) -> DataFrame:
     """(check, failures) over texts (keys, text): round trips, equal ids at a second time and by the vocabulary ``again`` (as loaded), one id a
-    character, and nothing unknown in texts that the vocabulary was made of."""
-    one = encode_characters(texts, vocabulary, *keys, "text")
-    second = encode_characters(texts, again, *keys).withColumnRenamed("ids", "second")
-    back = decode_characters(one, vocabulary, *keys).withColumnRenamed("text", "back")
-    both = one.join(second, list(keys)).join(back, list(keys))
+    character, and nothing unknown in texts that the vocabulary was made of. Each row counts by itself, whatever its keys: one pass in which
+    the ids of a text, which take more room than the text, leave Python as four counts."""
+    one, other = _code_points(vocabulary), _code_points(again)
+    sent = texts.sparkSession.sparkContext.broadcast((one, other, _signs(one)))
+    names = ("round_trip", "reload", "one_id_a_character", "unknown")
+
+    def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, other, signs = sent.value
+        for batch in batches:
+            counts = np.zeros(len(names), dtype=np.int64)
+            for text, length in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
+                ids = _ids(one, text)
+                counts += (_spelt(signs, ids) != text, not np.array_equal(ids, _ids(other, text)), len(ids) != length.as_py(), not ids.all())
+            yield pa.RecordBatch.from_arrays([pa.array([n]) for n in counts], names=list(names))
+
     text = F.coalesce("text", F.lit(""))
-    failed = {"round_trip": F.col("back") != text, "reload": F.col("ids") != F.col("second"), "one_id_a_character": F.size("ids") != F.length(text), "unknown": F.array_contains("ids", 0)}
-    counted = both.agg(*[F.count_if(c).alias(n) for n, c in failed.items()])
-    return counted.select(F.explode(F.create_map(*[x for n in failed for x in (F.lit(n), F.col(n))])).alias("check", "failures"))
+    counted = texts.select(text.alias("text"), F.length(text).alias("length")).mapInArrow(failed, ", ".join(f"{n} bigint" for n in names))
+    summed = counted.agg(*[F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias(n) for n in names])
+    return summed.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("check", "failures"))
 
 
 _tokenizers: dict[tuple[str, str], Tokenizer] = {}

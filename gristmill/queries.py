@@ -449,10 +449,10 @@ def t01_round_trip(spark, d):
 @query("SELECT unnest(['round_trip', 'reload', 'one_id_a_character', 'unknown']) AS \"check\", CAST(0 AS BIGINT) AS failures")
 def t04_vocabulary_artifact(spark, d):
     """The vocabulary of the documents saved and loaded again, checked over all documents."""
-    texts, root = _documents(spark, d).select("doc_id", "text"), Scratch(spark, "vocabulary").root
-    vocabulary = corpus.character_vocabulary(texts)
-    corpus.save_vocabulary(vocabulary, root)
-    return corpus.vocabulary_checks(texts, vocabulary, corpus.load_vocabulary(spark, root), "doc_id")
+    texts, scratch = _documents(spark, d).select("doc_id", "text"), Scratch(spark, "vocabulary")
+    vocabulary = scratch.keep(corpus.character_vocabulary(texts), "vocabulary")  # else it is made anew each time it is read
+    corpus.save_vocabulary(vocabulary, f"{scratch.root}/saved")
+    return corpus.vocabulary_checks(texts, vocabulary, corpus.load_vocabulary(spark, f"{scratch.root}/saved"), "doc_id")
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")

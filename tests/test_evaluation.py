@@ -135,6 +135,20 @@ def test_vocabulary_artifact(spark, tmp_path):
             corpus.load_vocabulary(spark, str(tmp_path / "v"))
 
 
+def test_vocabulary_checks_are_one_pass_in_which_each_row_counts(spark):
+    from gristmill.operators import corpus
+
+    texts = spark.createDataFrame([(1, "ab"), (1, "ab"), (None, "zz"), (None, None), (2, "b😀"), (2, "<unk>")], "k int, text string")
+    vocabulary = corpus.character_vocabulary(texts.where("text <> 'zz'")).localCheckpoint()
+    lacking = vocabulary.where("ch <> '😀'")
+    checks = corpus.vocabulary_checks(texts, vocabulary, lacking, "k")
+    assert {r["check"]: r["failures"] for r in checks.collect()} == {"round_trip": 1, "reload": 1, "one_id_a_character": 0, "unknown": 1}
+    plan = checks._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    assert checks.schema == corpus.vocabulary_checks(texts.limit(0), vocabulary, vocabulary, "k").schema
+    assert {r["failures"] for r in corpus.vocabulary_checks(texts.limit(0), vocabulary, vocabulary, "k").collect()} == {0}
+
+
 def test_shared_prompts_are_refused(spark):
     from gristmill.operators import evaluation
 
