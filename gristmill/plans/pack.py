@@ -183,6 +183,11 @@ def first_kept(records: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
 
 
 def text_chunks(ids, limit: int):
-    """Windows of at most ``limit`` ids that share one id with the next, so that every neighbour is scored once."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - 2, F.lit(0)), F.lit(limit - 1))
-    return F.when(F.size(ids) < 2, F.array().cast("array<array<int>>")).otherwise(F.transform(starts, lambda s: F.slice(ids, s + 1, F.lit(limit))))
+    """Windows of at most ``limit`` ids that share one id with the next, so that every neighbour is scored once. The ids are bound to a name, as
+    what stands in a function of windows is evaluated for each of them."""
+
+    def windows(ids):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - 2, F.lit(0)), F.lit(limit - 1))
+        return F.when(F.size(ids) < 2, F.array().cast("array<array<int>>")).otherwise(F.transform(starts, lambda s: F.slice(ids, s + 1, F.lit(limit))))
+
+    return F.element_at(F.transform(F.array(ids), windows), 1)

@@ -135,3 +135,16 @@ def test_guards(spark):
     assert [r["c"] for r in chunks] == [[[0, 1, 2, 3], [3, 4, 5, 6]], [], [], [[1, 2]]]
     ordered = spark.createDataFrame([(3, None), (1, "bad"), (2, None), (0, None)], "ordinal int, reason string")
     assert [r["ordinal"] for r in pack.first_kept(ordered, 2).collect()] == [0, 2]
+
+
+def test_ids_are_made_once_a_text_not_once_a_window(spark):
+    """Ids out of Python cannot stand in a function of windows at all; those of an expression took the square of the length there."""
+    from gristmill.operators.corpus import encoder
+    from gristmill.plans import pack
+
+    made = pack.text_chunks(encoder("byte_bpe_50k")(F.col("t")), 4)
+    ids, chunks = spark.createDataFrame([(" a b c d e",)], "t string").select(encoder("byte_bpe_50k")("t"), made).first()
+    assert len(ids) > 4 and chunks == [ids[k : k + 4] for k in range(0, len(ids) - 1, 3)]
+    for n, want in ((0, None), (1, None), (2, [[7, 7]])):
+        repeated = F.transform(F.sequence(F.lit(1), F.col("n")), lambda x: F.lit(7))
+        assert spark.createDataFrame([(n,)], "n int").select(pack.text_chunks(F.when(F.col("n") > 0, repeated).otherwise(F.array().cast("array<int>")), 4).alias("c")).first()["c"] == (want or [])
